@@ -136,7 +136,7 @@ def robots_allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     )
     per_host = told.groupBy("_host").agg(F.collect_set("_rule").alias("_rules"))
     joined = paged.join(per_host, "_host", "left")
-    hits = F.filter("_rules", lambda r: F.col("_path").rlike(r["pattern"]))
+    hits = F.filter("_rules", lambda r: F.rlike(F.col("_path"), r["pattern"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_host", "_path", "_rules")
 
