@@ -642,22 +642,22 @@ def ledger_costs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ledger_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.ledger_rollup(_costs(spark, sf)).withColumn("cost_usd", F.round("cost_usd", 6))
+    return ledger.ledger_rollup(_costs(spark, sf)).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 @query
 def running_cost(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.running_cost(_costs(spark, sf)).select("seq", F.round("spent", 6).alias("spent"))
+    return ledger.running_cost(_costs(spark, sf)).select("seq", F.round("spent", 9).alias("spent"))
 
 
 @query
 def cost_cap_breach(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.cap_breach(_costs(spark, sf), COST_CAP).select("seq", F.round("spent", 6).alias("spent"))
+    return ledger.cap_breach(_costs(spark, sf), COST_CAP).select("seq", F.round("spent", 9).alias("spent"))
 
 
 @query
 def cost_by_stage(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.cost_by_stage(_costs(spark, sf)).withColumn("cost_usd", F.round("cost_usd", 6))
+    return ledger.cost_by_stage(_costs(spark, sf)).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 @query

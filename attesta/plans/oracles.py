@@ -560,12 +560,12 @@ SELECT c.conv_id, c.turn, coalesce(markdown, '') AS markdown FROM conversations
     sql["ledger_costs"] = f"WITH {_CALLS} SELECT seq, round(cost, 9) AS cost_usd FROM costs"
     sql["ledger_grouping_sets"] = f"""
 WITH {_CALLS} SELECT CASE WHEN grouping(model) = 0 THEN 'model' WHEN grouping(stage) = 0 THEN 'stage' WHEN grouping(iteration) = 0 THEN 'iteration' ELSE 'total' END AS dimension,
-  coalesce(model, stage, iteration::VARCHAR, '') AS value, round(sum(cost), 6) AS cost_usd, sum(t_in)::BIGINT AS input_tokens, sum(t_out)::BIGINT AS output_tokens,
+  coalesce(model, stage, iteration::VARCHAR, '') AS value, round(sum(cost), 9) AS cost_usd, sum(t_in)::BIGINT AS input_tokens, sum(t_out)::BIGINT AS output_tokens,
   sum(t_w)::BIGINT AS cache_write_tokens, sum(t_r)::BIGINT AS cache_read_tokens FROM costs GROUP BY GROUPING SETS ((model), (stage), (iteration), ())"""
     running = "run AS (SELECT seq, sum(cost) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS spent FROM costs)"
-    sql["running_cost"] = f"WITH {_CALLS}, {running} SELECT seq, round(spent, 6) AS spent FROM run"
-    sql["cost_cap_breach"] = f"WITH {_CALLS}, {running} SELECT seq, round(spent, 6) AS spent FROM run WHERE spent > 50 ORDER BY seq LIMIT 1"
-    sql["cost_by_stage"] = f"WITH {_CALLS} SELECT stage, round(sum(cost), 6) AS cost_usd FROM costs GROUP BY stage HAVING sum(cost) > 0"
+    sql["running_cost"] = f"WITH {_CALLS}, {running} SELECT seq, round(spent, 9) AS spent FROM run"
+    sql["cost_cap_breach"] = f"WITH {_CALLS}, {running} SELECT seq, round(spent, 9) AS spent FROM run WHERE spent > 50 ORDER BY seq LIMIT 1"
+    sql["cost_by_stage"] = f"WITH {_CALLS} SELECT stage, round(sum(cost), 9) AS cost_usd FROM costs GROUP BY stage HAVING sum(cost) > 0"
     sql["stage_latest"] = f"WITH {_STAGES} SELECT run_id, stage, seq, status, first_seq FROM latest"
     sql["latest_completed_stage"] = f"""
 WITH {_STAGES} SELECT run_id, arg_max(stage, first_seq) AS stage, arg_max(seq, first_seq) AS seq FROM latest WHERE status = 'completed' GROUP BY run_id"""
