@@ -168,19 +168,29 @@ def passage(col: Column | str, limit: int = 6000) -> Column:
 
 def lexical_overlap(query: Column | str, text: Column | str) -> Column:
     """Share of the query's distinct words that occur in the text."""
-    q = F.array_distinct(words(query))
-    shared = F.size(F.array_intersect(q, words(text)))
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(shared / F.size(q))
 
+    def share(q: Column) -> Column:
+        return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(words(text), q)) / F.size(q))
 
-def word_hits(query: Column | str, text: Column | str, min_len: int = 4) -> Column:
-    """How many distinct query words of at least ``min_len`` occur in the text."""
+    return let(F.array_distinct(words(query)), share)
+
+
+def terms(col: Column | str, min_len: int = 4) -> Column:
+    """Lower-cased runs of at least ``min_len`` letters, digits and underscores,
+    each once."""
+    run = r"(?<![\p{L}\p{M}\p{N}_])([\p{L}\p{M}\p{N}_]{%d,})" % min_len
+    return F.array_distinct(F.regexp_extract_all(F.lower(_c(col)), F.lit(run), F.lit(1)))
 
-    def terms(c: Column | str) -> Column:
-        return F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(?U)(\w+)"), F.lit(1))
 
-    long_words = F.filter(F.array_distinct(terms(query)), lambda w: F.length(w) >= min_len)
-    return F.size(F.array_intersect(long_words, terms(text))).cast("double")
+def term_hits(query_terms: Column | str, text_terms: Column | str) -> Column:
+    """How many query terms are among the text's terms."""
+    return F.size(F.array_intersect(_c(text_terms), _c(query_terms))).cast("double")
+
+
+def word_hits(query: Column | str, text: Column | str, min_len: int = 4) -> Column:
+    """``term_hits`` of two texts. Where a text meets many queries, compute its
+    terms once and use ``term_hits``."""
+    return term_hits(terms(query, min_len), terms(text, min_len))
 
 
 def sha256_hex(col: Column | str) -> Column:

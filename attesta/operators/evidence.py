@@ -13,6 +13,7 @@ from attesta.functions import text as tx
 from attesta.functions.citations import corpus_entry, reference_line
 from attesta.operators.scan import row_rank
 from attesta.operators.topk import top_k
+from attesta.session import cut_lineage
 
 # Claims per sub-question that a digest tries in turn, and the
 # length of a claim in the last attempt.
@@ -44,8 +45,10 @@ def select_evidence(evidence: DataFrame, budget_tokens: int) -> DataFrame:
     alone. Only they are walked through in sequence.
     """
     ids = ["sub_question_id", "chunk_id"]
+    # Ids, scores and costs only: they are read several times, the texts once.
+    priced = cut_lineage(evidence.select(*ids, "rerank_score", tx.token_count(_entry(0)).alias("cost")))
     ranked = row_rank(
-        evidence.select(*ids, "rerank_score", tx.token_count(_entry(0)).alias("cost")),
+        priced,
         [-F.col("rerank_score"), F.col("chunk_id")],
         out="rank",
         partition=["sub_question_id"],
@@ -54,7 +57,7 @@ def select_evidence(evidence: DataFrame, budget_tokens: int) -> DataFrame:
     most = max(1, budget_tokens // MIN_ENTRY_TOKENS)
     first = top_k(fits, ["cost"], [F.col("rank"), F.col("sub_question_id")], most, salt_on=ids)
     first = first.filter(F.col("rn") <= F.floor(F.lit(budget_tokens) / F.col("cost")))
-    visit = first.agg(F.array_sort(F.collect_list(F.struct("rank", "sub_question_id", "chunk_id", "cost"))).alias("v"))
+    visit = first.agg(F.sort_array(F.collect_list(F.struct("rank", "sub_question_id", "chunk_id", "cost"))).alias("v"))
 
     def step(acc: Column, e: Column) -> Column:
         item = F.struct(e["sub_question_id"].alias("sub_question_id"), e["chunk_id"].alias("chunk_id"))
@@ -68,8 +71,8 @@ def select_evidence(evidence: DataFrame, budget_tokens: int) -> DataFrame:
     zero = F.struct(F.lit(0).alias("spent"), F.array().cast(kept_type).alias("kept"))
     walked = visit.select(F.posexplode_outer(F.aggregate("v", zero, step)["kept"]).alias("visit_no", "k"))
     chosen = walked.filter(F.col("k").isNotNull()).select("visit_no", "k.*")
-    # At most budget / MIN_ENTRY_TOKENS rows.
-    return evidence.join(F.broadcast(chosen), ids)
+    # At most budget / MIN_ENTRY_TOKENS rows, here and in the result.
+    return cut_lineage(evidence.join(F.broadcast(chosen), ids))
 
 
 def number_citations(evidence: DataFrame) -> DataFrame:
@@ -104,14 +107,14 @@ def corpus_lines(selected: DataFrame) -> DataFrame:
 def corpus_text(selected: DataFrame) -> DataFrame:
     """One row with the whole corpus. For a selected, hence bounded, set."""
     lines = corpus_lines(selected).groupBy("sub_question_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "entry"))).alias("items")
+        F.sort_array(F.collect_list(F.struct("pos", "entry"))).alias("items")
     )
     part = F.concat(
         F.lit("### Sub-question "), F.col("sub_question_id"), F.lit("\n\n"),
         F.array_join(F.transform("items", lambda i: F.concat(i["entry"], F.lit("\n"))), "\n"),
     )
     parts = lines.select("sub_question_id", part.alias("part"))
-    joined = parts.agg(F.array_sort(F.collect_list(F.struct("sub_question_id", "part"))).alias("p"))
+    joined = parts.agg(F.sort_array(F.collect_list(F.struct("sub_question_id", "part"))).alias("p"))
     body = F.array_join(F.transform("p", lambda p: p["part"]), "\n")
     # An empty corpus is its two opening lines.
     return joined.select(
@@ -127,7 +130,7 @@ def references(citations: DataFrame) -> DataFrame:
 
 def references_text(citations: DataFrame) -> DataFrame:
     """One row with the references section. For a selected, hence bounded, set."""
-    rows = references(citations).agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("r"))
+    rows = references(citations).agg(F.sort_array(F.collect_list(F.struct("number", "line"))).alias("r"))
     body = F.array_join(F.transform("r", lambda r: r["line"]), "\n")
     return rows.select(
         F.when(F.size("r") > 0, F.concat(F.lit("## References\n\n"), body)).otherwise("## References\n").alias("references")
@@ -138,7 +141,7 @@ def top_claims(evidence: DataFrame, order: list[Column], n: int) -> DataFrame:
     """``(sub_question_id, claims)``: the first ``n`` claims per sub-question."""
     first = top_k(evidence, ["sub_question_id"], order, n, salt_on=["chunk_id"])
     return first.groupBy("sub_question_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "claim"))), lambda c: c["claim"]).alias("claims")
+        F.transform(F.sort_array(F.collect_list(F.struct("rn", "claim"))), lambda c: c["claim"]).alias("claims")
     )
 
 
@@ -168,7 +171,7 @@ def _digests(plan: DataFrame, evidence: DataFrame, steps: list[tuple[int, int |
             few = F.transform(few, lambda c, cut=cut: F.substring(c, 1, cut))
         parts.append(F.struct(F.lit(i).alias("step"), _digest_part(few).alias("part")))
     exploded = rows.select("sq_ord", F.explode(F.array(*parts)).alias("d")).select("sq_ord", "d.*")
-    joined = exploded.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("sq_ord", "part"))).alias("p"))
+    joined = exploded.groupBy("step").agg(F.sort_array(F.collect_list(F.struct("sq_ord", "part"))).alias("p"))
     return joined.select("step", F.array_join(F.transform("p", lambda p: p["part"]), "\n").alias("digest"))
 
 
@@ -202,7 +205,7 @@ def section_digest(plan: DataFrame, selected: DataFrame, per_question: int = 3)
     head = F.array(F.concat(F.lit("### "), F.col("sub_question_id"), F.lit(": "), F.col("question")))
     part = F.array_join(F.concat(head, claims, F.array(F.lit(""))), "\n")
     joined = rows.select("sq_ord", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("sq_ord", "part"))).alias("p")
+        F.sort_array(F.collect_list(F.struct("sq_ord", "part"))).alias("p")
     )
     body = F.array_join(F.transform("p", lambda p: p["part"]), "\n")
     return joined.select(F.concat(F.lit("EVIDENCE DIGEST (key claims per sub-question)\n\n"), body).alias("digest"))

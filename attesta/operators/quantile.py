@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.scan import running_sum
+from attesta.session import cut_lineage
 
 
 def index_quantiles(df: DataFrame, col: str, fractions: list[float]) -> DataFrame:
@@ -16,6 +17,7 @@ def index_quantiles(df: DataFrame, col: str, fractions: list[float]) -> DataFram
     the whole column.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    counts = cut_lineage(counts)
     upto = running_sum(counts, F.col("n"), [F.col("value")], out="upto")
     total = counts.agg(F.sum("n").alias("total"))
     wanted = F.array(*[F.lit(float(f)) for f in fractions])

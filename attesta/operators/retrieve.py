@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -82,9 +82,11 @@ def lexical_top_k(
     query_id: str,
     query_text: str,
     block: int = QUERY_BLOCK,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The ``k`` texts with the largest lexical overlap per query:
-    ``(query_id, doc_id, score, rn)``, ties to the smaller document id.
+    ``(query_id, doc_id, score, rn)``, ties to the smaller document id. ``carry``
+    names further columns of the texts to return.
 
     The score is the share of the query's distinct words that occur in the text.
     Each text is split once for all queries of a block.
@@ -98,23 +100,28 @@ def lexical_top_k(
         for n, words in enumerate(terms):
             for w in words:
                 where.setdefault(w, []).append(n)
-        asked = set(where)
+        posts = {w: np.array(ns) for w, ns in where.items()}
+        asked = set(posts)
 
-        def overlap(column, where=where, asked=asked, sizes=sizes) -> np.ndarray:
+        def overlap(column, posts=posts, asked=asked, sizes=sizes) -> np.ndarray:
             hits = np.zeros((len(column), len(sizes)))
             for i, body in enumerate(column.to_pylist()):
-                for w in asked.intersection((body or "").lower().split()):
-                    hits[i, where[w]] += 1
+                shared = asked.intersection((body or "").lower().split())
+                if shared:
+                    hits[i] = np.bincount(np.concatenate([posts[w] for w in shared]), minlength=len(sizes))
             return hits / sizes
 
-        part = scored_top_k(docs, doc_id, text, overlap, len(rows), k)
+        part = scored_top_k(docs, doc_id, text, overlap, len(rows), k, carry)
         part = _named(part, query_id, rows, key_type).select(
-            query_id, F.col("id").alias(doc_id), "score", "rn"
+            query_id, F.col("id").alias(doc_id), "score", "rn", *carry
         )
         out = part if out is None else out.unionByName(part)
     if out is None:
-        id_type = docs.schema[doc_id].dataType.simpleString()
-        out = docs.sparkSession.createDataFrame([], f"{query_id} {key_type}, {doc_id} {id_type}, score double, rn int")
+        types = dict(docs.dtypes)
+        more = "".join(f", {c} {types[c]}" for c in carry)
+        out = docs.sparkSession.createDataFrame(
+            [], f"{query_id} {key_type}, {doc_id} {types[doc_id]}, score double, rn int{more}"
+        )
     return out
 
 

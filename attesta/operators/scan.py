@@ -1,10 +1,10 @@
 """Running sums and ranks over an ordered table that does not fit one task.
 
-A window without partition columns, or with a hot partition, sorts everything
-in one task. Here the order is cut into ranges first: a bounded, deterministic
-sample of the order keys gives the cut points, each range is scanned on its own,
-and the range totals (at most ``ranges`` rows per partition value) supply what
-came before. A table no larger than the sample keeps the plain window.
+A window without partition columns, or with a hot partition, sorts everything in
+one task. A large table is therefore range-partitioned on its order first and
+written down, so that every row has a fixed range. Each range is scanned on its
+own, and the totals of the ranges before it supply the rest. A table of at most
+``SMALL`` rows keeps the plain window.
 """
 
 from __future__ import annotations
@@ -14,29 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 4096
-RANGES = 64
+from attesta.session import cut_lineage
 
-
-def _cut_points(df: DataFrame, order: Sequence[Column], sample_rows: int, ranges: int) -> list:
-    names = [f"k{i}" for i in range(len(order))]
-    keys = df.select(*[c.alias(n) for c, n in zip(order, names)])
-    sample = keys.orderBy(F.xxhash64(*names)).limit(sample_rows)
-    rows = sample.orderBy(*names).collect()
-    if len(rows) < sample_rows:
-        return []
-    step = len(rows) / ranges
-    return sorted({tuple(rows[int(i * step)]) for i in range(1, ranges)})
-
-
-def _range_of(df: DataFrame, order: Sequence[Column], cuts: list) -> Column:
-    names = [f"k{i}" for i in range(len(order))]
-    key = F.struct(*[c.alias(n) for c, n in zip(order, names)])
-    types = [f.dataType for f in df.select(*[c.alias(n) for c, n in zip(order, names)]).schema]
-    points = F.array(
-        *[F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(cut, types, names)]) for cut in cuts]
-    )
-    return F.size(F.filter(points, lambda p: p <= key))
+SMALL = 20_000
 
 
 def running_sum(
@@ -45,52 +25,48 @@ def running_sum(
     order: Sequence[Column],
     out: str = "running",
     partition: Sequence[str] = (),
-    sample_rows: int = SAMPLE_ROWS,
-    ranges: int = RANGES,
+    small: int | None = None,
 ) -> DataFrame:
     """Add the inclusive running sum of ``value``.
 
-    ``order`` holds ascending, not-null expressions that together are unique;
-    descending order is asked for by negating a number.
+    ``order`` holds ascending, not-null expressions that together are unique
+    within the partition columns; descending order is asked for by negating a
+    number. Large tables are written once, so hand in the columns that are needed
+    and no more.
     """
-    cuts = _cut_points(df, order, sample_rows, ranges)
+    small = SMALL if small is None else small
     part = list(partition)
-    upto_here = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if not cuts:
+    # ``take`` stops at the first partitions that hold enough rows.
+    if len(df.select(F.lit(1)).take(small + 1)) <= small:
+        upto_here = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(upto_here))
 
-    cut = df.withColumn("_value", value).withColumn("_range", _range_of(df, order, cuts))
+    ranged = cut_lineage(df.withColumn("_value", value).repartitionByRange(*part, *order))
+    # The written partitions are the ranges; their numbers do not change any more.
+    ranged = ranged.withColumn("_range", F.spark_partition_id())
     before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*part, "_range").agg(F.sum("_value").alias("_total"))
+    # One row per range and partition value that occurs in it.
+    totals = cut_lineage(ranged.groupBy(*part, "_range").agg(F.sum("_value").alias("_total")))
     starts = totals.select(
         *[F.col(p).alias(f"_p{i}") for i, p in enumerate(part)],
         F.col("_range").alias("_r"),
         F.sum("_total").over(before).alias("_before"),
     )
-    within = (
-        Window.partitionBy(*part, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = cut.withColumn("_local", F.sum("_value").over(within))
+    within = Window.partitionBy(*part, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.sum("_value").over(within))
     same = F.col("_range") == F.col("_r")
     for i, p in enumerate(part):
         same = same & F.col(p).eqNullSafe(F.col(f"_p{i}"))
     if not part:
-        # At most one row per range.
+        # One row per range: as many as there are shuffle partitions.
         starts = F.broadcast(starts)
-    zero = F.lit(0)
-    summed = F.col("_local") + F.coalesce(F.col("_before"), zero)
-    return local.join(starts, same).select(*df.columns, summed.alias(out))
+    return local.join(starts, same).select(
+        *df.columns, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).alias(out)
+    )
 
 
 def row_rank(
-    df: DataFrame,
-    order: Sequence[Column],
-    out: str = "rn",
-    partition: Sequence[str] = (),
-    sample_rows: int = SAMPLE_ROWS,
-    ranges: int = RANGES,
+    df: DataFrame, order: Sequence[Column], out: str = "rn", partition: Sequence[str] = (), small: int | None = None
 ) -> DataFrame:
     """Add the 1-based position in ``order``, per partition value if given."""
-    return running_sum(
-        df, F.lit(1).cast("bigint"), order, out, partition, sample_rows, ranges
-    )
+    return running_sum(df, F.lit(1).cast("bigint"), order, out, partition, small)

@@ -40,41 +40,51 @@ def scored_top_k(
     score: Callable[[pa.ChunkedArray | pa.Array], np.ndarray],
     n_queries: int,
     k: int,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Score every row against a bounded set of queries and keep the best ``k``
-    per query: ``(query_no, id, score, rn)``, ties to the smaller id.
+    per query: ``(query_no, id, score, carry.., rn)``, ties to the smaller id.
 
-    ``score`` maps a batch of the value column to a ``rows x n_queries`` matrix.
+    ``score`` maps a batch of the value column to a ``rows x n_queries`` matrix;
+    ``carry`` names further columns of the rows that are kept.
     Every task carries only its own ``n_queries * k`` best rows, so neither the
     scores of all pairs nor a group per query is ever shuffled. Scores are
     rounded to nine places, so that summing order cannot change the ranking.
     """
 
+    names = ["query_no", "id", "score", *carry]
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n_queries
+        held: list[pa.Table | None] = [None] * n_queries
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0)
             scores = np.round(score(batch.column(1)), 9)
+            more = [batch.column(2 + i) for i in range(len(carry))]
             for q in range(n_queries):
-                s, i = scores[:, q], ids
+                found = _first_k(pa.table([ids, pa.array(scores[:, q]), *more], names=names[1:]), k)
                 if held[q] is not None:
-                    s, i = np.concatenate([held[q][0], s]), np.concatenate([held[q][1], i])
-                if len(s) > k:
-                    floor = np.partition(s, len(s) - k)[len(s) - k]
-                    near = s >= floor
-                    s, i = s[near], i[near]
-                rows = np.lexsort((i, -s))[:k]
-                held[q] = (s[rows], i[rows])
-        for q, pair in enumerate(held):
-            if pair is not None and len(pair[0]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pair[0]), q, dtype=np.int32)), pa.array(pair[1]), pa.array(pair[0])],
-                    names=["query_no", "id", "score"],
-                )
+                    found = _first_k(pa.concat_tables([held[q], found]), k)
+                held[q] = found
+        for q, found in enumerate(held):
+            if found is not None:
+                number = pa.array(np.full(found.num_rows, q, dtype=np.int32))
+                yield from found.add_column(0, "query_no", number).combine_chunks().to_batches()
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    partial = df.select(id_col, value_col).mapInArrow(best, f"query_no int, id {id_type}, score double")
+    types = dict(df.dtypes)
+    more_types = "".join(f", {c} {types[c]}" for c in carry)
+    partial = df.select(id_col, value_col, *carry).mapInArrow(
+        best, f"query_no int, id {types[id_col]}, score double{more_types}"
+    )
     order = [F.col("score").desc(), F.col("id")]
     return top_k(partial, ["query_no"], order, k, salt_on=["id"])
+
+
+def _first_k(rows: pa.Table, k: int) -> pa.Table:
+    """The ``k`` rows with the highest score, ties to the smaller id."""
+    if rows.num_rows > k:
+        scores = rows["score"].to_numpy()
+        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+        rows = rows.filter(pa.array(scores >= floor))
+    return rows.sort_by([("score", "descending"), ("id", "ascending")]).slice(0, k)

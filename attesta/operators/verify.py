@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.config import VerifySettings
 from attesta.functions import citations as ct
 from attesta.functions import text as tx
+from attesta.session import spread_out
 
 _LIST_LINE = r"^\s*(?:[-*]|\d+[.)])\s+"
 
@@ -21,19 +22,28 @@ def split_pieces(draft: DataFrame, key: list[str], markdown: str = "markdown") -
     Blocks are parted by blank lines. Headings, quotes, tables and code stay whole.
     A block whose lines all are list items is split by line, any other by sentence.
     """
-    blocks = draft.select(
-        *key, F.posexplode(F.split(markdown, r"\n\s*\n", -1)).alias("block_no", "block")
-    ).withColumn("block", tx.strip("block"))
-    lines = F.filter(F.split("block", r"\r\n|\n|\r"), lambda ln: tx.strip(ln) != "")
+    parts = F.transform(F.split(markdown, r"\n\s*\n", -1), tx.strip)
+    # Outer explodes: the plain ones make the optimizer compute the arrays twice.
+    blocks = draft.select(*key, F.posexplode_outer(parts).alias("block_no", "block"))
     whole = (F.col("block") == "") | F.col("block").rlike(r"^(?:#|>|\||```)")
-    listed = ~whole & F.forall(lines, lambda ln: ln.rlike(_LIST_LINE))
+    lines = F.filter(F.split("block", r"\r\n|\n|\r"), lambda ln: tx.strip(ln) != "")
     cut = chr(0xFFFF)
     prose = F.split(F.regexp_replace("block", f"([.!?]){tx.SPACE}+", f"$1{cut}"), cut, -1)
-    pieces = F.when(whole, F.array("block")).when(listed, lines).otherwise(prose)
-    return blocks.select(
-        *key, "block_no", whole.alias("passthrough"), listed.alias("is_list"),
-        F.posexplode(pieces).alias("piece_no", "piece"),
+
+    def split_block(ls: Column) -> Column:
+        listed = F.forall(ls, lambda ln: ln.rlike(_LIST_LINE))
+        return F.when(listed, F.struct(F.lit(True).alias("is_list"), ls.alias("pieces"))).otherwise(
+            F.struct(F.lit(False).alias("is_list"), prose.alias("pieces"))
+        )
+
+    as_is = F.struct(F.lit(False).alias("is_list"), F.array("block").alias("pieces"))
+    split = blocks.withColumn("passthrough", whole).withColumn(
+        "s", F.when(F.col("passthrough"), as_is).otherwise(tx.let(lines, split_block))
     )
+    return split.select(
+        *key, "block_no", "passthrough", F.col("s.is_list").alias("is_list"),
+        F.posexplode_outer("s.pieces").alias("piece_no", "piece"),
+    ).filter(F.col("piece_no").isNotNull())
 
 
 def attach_evidence(
@@ -52,7 +62,7 @@ def attach_evidence(
     )
     asked = pieces.select(*at, F.posexplode("numbers").alias("pos", "number"))
     found = asked.join(cited.select("number", "t"), "number").groupBy(*at).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("ts")
+        F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("ts")
     )
     joined = F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n")
     text = found.select(*at, F.substring(joined, 1, settings.chars_total).alias("evidence"))
@@ -75,7 +85,7 @@ def judge(
     """
     settings = settings or VerifySettings()
     is_claim = F.col("evidence") != ""
-    first = pieces.withColumn(
+    first = spread_out(pieces).withColumn(
         "_score", F.when(is_claim, score(F.col("piece"), F.col("evidence")).cast("double"))
     ).withColumn("_fails", is_claim & (F.col("_score") < settings.floor))
     tries = (
@@ -84,15 +94,23 @@ def judge(
         else F.slice(rewrites(F.col("piece"), F.col("evidence")), 1, settings.max_rewrites)
     )
     first = first.withColumn("_tries", F.when(F.col("_fails"), tries))
-    for n in range(settings.max_rewrites):
-        attempt = tx.strip(F.get("_tries", F.lit(n)))
+
+    def accepted(attempt: Column, n: int) -> Column:
         cites = ct.markers(attempt)
         allowed = (attempt != "") & (F.size(cites) > 0) & (F.size(F.array_except(cites, F.col("numbers"))) == 0)
-        value = F.when(F.coalesce(allowed, F.lit(False)), score(attempt, F.col("evidence")).cast("double"))
-        first = first.withColumn(
-            f"_try{n}",
-            F.when(value >= settings.floor, F.struct(attempt.alias("text"), value.alias("score"), F.lit(n + 1).alias("n"))),
+        value = F.when(allowed, score(attempt, F.col("evidence")).cast("double"))
+        return tx.let(
+            value,
+            lambda v: F.when(
+                v >= settings.floor,
+                F.struct(attempt.alias("text"), v.alias("score"), F.lit(n + 1).alias("n")),
+            ),
         )
+
+    for n in range(settings.max_rewrites):
+        # A separate column, so that a score that is a model is called at top level.
+        first = first.withColumn(f"_text{n}", tx.strip(F.get("_tries", F.lit(n))))
+        first = first.withColumn(f"_try{n}", F.when(F.col("_fails"), accepted(F.col(f"_text{n}"), n)))
     taken = F.coalesce(*[F.col(f"_try{n}") for n in range(settings.max_rewrites)]) if settings.max_rewrites else F.lit(None)
     first = first.withColumn("_taken", taken) if settings.max_rewrites else first.withColumn(
         "_taken", F.lit(None).cast("struct<text:string,score:double,n:int>")
@@ -131,13 +149,13 @@ def rebuild(judged: DataFrame, key: list[str]) -> DataFrame:
     are joined by one blank, list lines by a line break, blocks by a blank line."""
     gone = F.col("action").eqNullSafe("dropped") | (F.col("passthrough") & (F.col("piece") == ""))
     left = judged.filter(~gone)
-    items = F.array_sort(F.collect_list(F.struct("piece_no", "text")))
+    items = F.sort_array(F.collect_list(F.struct("piece_no", "text")))
     blocks = left.groupBy(*key, "block_no").agg(items.alias("p"), F.bool_and("is_list").alias("is_list"))
     texts = F.transform("p", lambda p: p["text"])
     blocks = blocks.withColumn(
         "block", F.when(F.col("is_list"), F.array_join(texts, "\n")).otherwise(F.array_join(texts, " "))
     )
-    whole = blocks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block_no", "block"))).alias("b"))
+    whole = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("block_no", "block"))).alias("b"))
     joined = whole.select(*key, tx.strip(F.array_join(F.transform("b", lambda b: b["block"]), "\n\n")).alias("markdown"))
     everyone = judged.select(*key).distinct()
     return everyone.join(joined, key, "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))

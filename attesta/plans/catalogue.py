@@ -22,6 +22,7 @@ from attesta.operators import triage, verify
 from attesta.operators.topk import top_k
 from attesta.plans import inputs as src
 from attesta.plans.flagship import cited_evidence
+from attesta.session import cut_lineage, spread_out
 from attesta.sources import fetch, index, runs, search
 from attesta.sources.tables import read_table
 
@@ -387,9 +388,15 @@ def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = src.document_rows(spark, sf)
     items = read_table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
     found = retrieve.lexical_top_k(docs, items, 200, "doc_id", "text", "item_id", "question")
-    candidates = found.withColumnRenamed("rn", "ann_rank").drop("score")
-    candidates = candidates.join(docs.select("doc_id", "text"), "doc_id").join(items, "item_id")
-    best = retrieve.rerank(candidates, 40, tx.word_hits, query_id="item_id")
+    found = cut_lineage(found.withColumnRenamed("rn", "ann_rank").drop("score"))
+    # A text meets many questions; its terms are computed once.
+    texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tx.terms("text").alias("terms"))
+    # Computed before the shuffle; a join right behind the projection would compute
+    # the terms again for every match.
+    texts = texts.repartition("doc_id")
+    asked = items.select("item_id", tx.terms("question").alias("asked"))
+    candidates = spread_out(found).join(texts, "doc_id").join(asked, "item_id")
+    best = retrieve.rerank(candidates, 40, tx.term_hits, query_id="item_id", question="asked", text="terms")
     return best.select("item_id", "doc_id", "score", F.col("rerank_rank").cast("bigint").alias("rerank_rank"))
 
 
@@ -583,7 +590,7 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
         marks = F.regexp_extract_all(text, F.lit(r"(\[\d+\])"), F.lit(1))
         return F.array(F.lit("no marker"), F.concat(F.substring(proof, 1, 40), F.lit(" "), F.get(marks, F.lit(0))))
 
-    return verify.judge(with_text, score, rewrites)
+    return verify.judge(cut_lineage(with_text), score, rewrites)
 
 
 @query

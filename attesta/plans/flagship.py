@@ -13,6 +13,7 @@ from attesta.config import Settings
 from attesta.functions import text as tx
 from attesta.operators import evidence, retrieve, triage
 from attesta.plans import inputs as src
+from attesta.session import cut_lineage, spread_out
 from attesta.sources.tables import read_table
 
 
@@ -23,16 +24,27 @@ def cited_evidence(spark: SparkSession, sf: str, settings: Settings | None = Non
     confidence is the share of the question's words that it contains.
     """
     settings = settings or Settings()
-    chunks = src.document_chunks(spark, sf)
+    docs = src.document_rows(spark, sf)
+    chunks = src.chunks_of(docs)
     questions = read_table(spark, sf, "benchmark").select(
         F.concat(F.lit("sq"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("sub_question_id"),
         F.col("text").alias("question"),
     )
     found = retrieve.lexical_top_k(
-        chunks, questions, settings.retrieve.ann_top_k, "chunk_id", "text", "sub_question_id", "question"
-    ).withColumnRenamed("rn", "ann_rank")
-    candidates = found.withColumnRenamed("score", "overlap").join(chunks, "chunk_id").join(questions, "sub_question_id")
-    ranked = retrieve.rerank(candidates, settings.retrieve.rerank_top_k, tx.word_hits)
+        chunks, questions, settings.retrieve.ann_top_k, "chunk_id", "text", "sub_question_id", "question", carry=["doc_id"]
+    )
+    found = cut_lineage(found.withColumnRenamed("rn", "ann_rank").withColumnRenamed("score", "overlap"))
+    # Only documents with a candidate are chunked again, to fetch the texts.
+    texts = src.chunks_of(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi"))
+    texts = texts.drop("doc_id").join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    # The shuffle after the projection makes Spark compute the terms once per chunk;
+    # a join right behind it would compute them again for every match.
+    texts = texts.withColumn("terms", tx.terms("text")).repartition("chunk_id")
+    asked = questions.select("sub_question_id", tx.terms("question").alias("asked"))
+    candidates = spread_out(found).join(texts, "chunk_id").join(asked, "sub_question_id")
+    ranked = retrieve.rerank(
+        candidates, settings.retrieve.rerank_top_k, tx.term_hits, question="asked", text="terms"
+    ).drop("terms", "asked")
     labels = read_table(spark, sf, "labels").select("doc_id", "quality")
     judged = ranked.join(labels, "doc_id", "left").withColumn(
         "verdict",
@@ -43,7 +55,9 @@ def cited_evidence(spark: SparkSession, sf: str, settings: Settings | None = Non
             F.col("overlap").alias("confidence"),
         ),
     )
+    # At most rerank_top_k rows per question.
     kept = triage.keep_relevant(judged, settings.triage.confidence_floor).withColumnRenamed("score", "rerank_score")
+    kept = cut_lineage(kept)
     selected = evidence.select_evidence(kept, settings.report.corpus_budget_tokens)
     numbered = selected.join(evidence.number_citations(selected), "chunk_id")
     return numbered.select(

@@ -23,9 +23,12 @@ def document_url() -> Column:
     return F.concat(F.lit("doc://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
 
 
+def chunks_of(docs: DataFrame) -> DataFrame:
+    return chunk_documents(as_single_block(docs, document_url(), F.lit(""), F.col("text"), "doc_id", "source"))
+
+
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = as_single_block(document_rows(spark, sf), document_url(), F.lit(""), F.col("text"), "doc_id", "source")
-    return chunk_documents(docs)
+    return chunks_of(document_rows(spark, sf))
 
 
 def document_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,14 +161,14 @@ def label_questions(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    packed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    packed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c"))
     return packed.select("label", normalize(F.transform("c", lambda c: c["m"])).alias("vector"))
 
 
 def cited_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as section text with citation markers: one after the
     first sentence, one padded with a zero at the end."""
-    c = read_table(spark, sf, "conversations")
+    c = read_table(spark, sf, "conversations", spread=True)
     first = F.concat(F.lit("$1 ["), (F.col("conv_id") % 40 + 1).cast("string"), F.lit("]$2"))
     marked = F.regexp_replace(F.col("text"), F.lit(r"^([^.!?]*[.!?])(\s)"), first)
     tail = F.concat(F.lit(" See [0"), (F.col("turn") % 9).cast("string"), F.lit("]."))

@@ -66,3 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lose progress with an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores before expensive work per row. Few bytes can
+    carry much work, and merging small partitions would leave it to one task."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts)
