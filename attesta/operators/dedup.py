@@ -25,7 +25,7 @@ from attesta.session import cut_lineage
 class Matching:
     """Items with the same ``key`` match, and so do items whose keys an edge
     ``(a, b)`` joins. A NULL key matches nothing. ``edges`` is None where equal
-    keys are the only matches; ``same`` is False where equal keys do not match."""
+    keys are the only matches."""
 
     key: str
     edges: DataFrame | None = None

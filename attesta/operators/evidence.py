@@ -156,6 +156,10 @@ def _digest_part(claims: Column) -> Column:
     return F.array_join(F.concat(head, lines, F.array(F.lit(""))), "\n")
 
 
+def _opening(chars: int):
+    return lambda c: F.substring(c, 1, chars)
+
+
 def _digests(plan: DataFrame, evidence: DataFrame, steps: list[tuple[int, int | None]]) -> DataFrame:
     """``(step, digest)``: one digest of the plan per (claims, cut) step. A plan has
     at most 15 sub-questions, and a sub-question at most 40 claims here."""
@@ -168,7 +172,7 @@ def _digests(plan: DataFrame, evidence: DataFrame, steps: list[tuple[int, int |
     for i, (n, cut) in enumerate(steps):
         few = F.slice(F.col("claims"), 1, n)
         if cut is not None:
-            few = F.transform(few, lambda c, cut=cut: F.substring(c, 1, cut))
+            few = F.transform(few, _opening(cut))
         parts.append(F.struct(F.lit(i).alias("step"), _digest_part(few).alias("part")))
     exploded = rows.select("sq_ord", F.explode(F.array(*parts)).alias("d")).select("sq_ord", "d.*")
     joined = exploded.groupBy("step").agg(F.sort_array(F.collect_list(F.struct("sq_ord", "part"))).alias("p"))

@@ -161,12 +161,18 @@ class BodyCache:
     """Bodies keyed by the hash of their canonical URL, in 256 folders by its
     first two digits. A URL is never fetched twice."""
 
+    # Declared, because the two hex digits of a folder would be read as a number.
+    SCHEMA = (
+        "url string, final_url string, http_status int, content_type string, fetched_at timestamp, body binary,"
+        " cache_key string, shard string"
+    )
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.path)
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
         except AnalysisException:
             return None
 
@@ -188,6 +194,10 @@ class BodyCache:
         held = self.read()
         if held is not None:
             fresh = fresh.join(held.select("shard", "cache_key"), ["shard", "cache_key"], "left_anti")
+        fresh = fresh.select("url", "final_url", "http_status", "content_type", "fetched_at", "body", "cache_key", "shard")
+        # Rows of one folder meet in one task, or every task would write 256 files;
+        # a large batch is cut further by the key.
+        fresh = fresh.repartition("shard", F.pmod(F.xxhash64("cache_key"), F.lit(16)))
         fresh.write.mode("append").partitionBy("shard").parquet(self.path)
 
     @staticmethod

@@ -15,5 +15,7 @@ def spark():
     session = local_session("attesta-tests", 8)
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
+    # Its stand-ins run in the workers.
+    session.sparkContext.addPyFile(str(Path(__file__).with_name("test_research.py")))
     yield session
     session.stop()
