@@ -22,6 +22,7 @@ LAST_CLAIM_CHARS = 160
 # Characters an entry has besides its fields; an entry never costs fewer tokens.
 _ENTRY_FRAME = len("[0] source:  | section: \nclaim: \nevidence: \ntext: ")
 MIN_ENTRY_TOKENS = _ENTRY_FRAME // 4
+EMPTY_CORPUS = "EVIDENCE CORPUS\n"
 
 
 def global_order() -> list[Column]:
@@ -32,8 +33,9 @@ def _entry(number: Column | str | int) -> Column:
     return corpus_entry(number, "url", "heading_path", "claim", "evidence_span", "text")
 
 
-def select_evidence(evidence: DataFrame, budget_tokens: int) -> DataFrame:
-    """Trim evidence to a token budget, round-robin over the sub-questions.
+def select_evidence(evidence: DataFrame, budget_tokens: int, by: str | None = None) -> DataFrame:
+    """Trim evidence to a token budget, round-robin over the sub-questions. With
+    ``by`` every value of that column has the budget to itself.
 
     Entries are visited by (rank within the sub-question, sub-question). One that
     no longer fits is skipped and the visit goes on.
@@ -44,20 +46,21 @@ def select_evidence(evidence: DataFrame, budget_tokens: int) -> DataFrame:
     per cost loses nothing and leaves a number of rows that depends on the budget
     alone. Only they are walked through in sequence.
     """
-    ids = ["sub_question_id", "chunk_id"]
+    group = [by] if by else []
+    ids = [*group, "sub_question_id", "chunk_id"]
     # Ids, scores and costs only: they are read several times, the texts once.
     priced = cut_lineage(evidence.select(*ids, "rerank_score", tx.token_count(_entry(0)).alias("cost")))
     ranked = row_rank(
         priced,
         [-F.col("rerank_score"), F.col("chunk_id")],
         out="rank",
-        partition=["sub_question_id"],
+        partition=[*group, "sub_question_id"],
     )
     fits = ranked.filter(F.col("cost") <= budget_tokens)
     most = max(1, budget_tokens // MIN_ENTRY_TOKENS)
-    first = top_k(fits, ["cost"], [F.col("rank"), F.col("sub_question_id")], most, salt_on=ids)
+    first = top_k(fits, [*group, "cost"], [F.col("rank"), F.col("sub_question_id")], most, salt_on=ids)
     first = first.filter(F.col("rn") <= F.floor(F.lit(budget_tokens) / F.col("cost")))
-    visit = first.agg(F.sort_array(F.collect_list(F.struct("rank", "sub_question_id", "chunk_id", "cost"))).alias("v"))
+    visit = first.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("rank", "sub_question_id", "chunk_id", "cost"))).alias("v"))
 
     def step(acc: Column, e: Column) -> Column:
         item = F.struct(e["sub_question_id"].alias("sub_question_id"), e["chunk_id"].alias("chunk_id"))
@@ -69,9 +72,9 @@ def select_evidence(evidence: DataFrame, budget_tokens: int) -> DataFrame:
     types = dict(evidence.dtypes)
     kept_type = f"array<struct<sub_question_id:{types['sub_question_id']},chunk_id:{types['chunk_id']}>>"
     zero = F.struct(F.lit(0).alias("spent"), F.array().cast(kept_type).alias("kept"))
-    walked = visit.select(F.posexplode_outer(F.aggregate("v", zero, step)["kept"]).alias("visit_no", "k"))
-    chosen = walked.filter(F.col("k").isNotNull()).select("visit_no", "k.*")
-    # At most budget / MIN_ENTRY_TOKENS rows, here and in the result.
+    walked = visit.select(*group, F.posexplode_outer(F.aggregate("v", zero, step)["kept"]).alias("visit_no", "k"))
+    chosen = walked.filter(F.col("k").isNotNull()).select(*group, "visit_no", "k.*")
+    # At most budget / MIN_ENTRY_TOKENS rows per budget, here and in the result.
     return cut_lineage(evidence.join(F.broadcast(chosen), ids))
 
 
@@ -104,22 +107,37 @@ def corpus_lines(selected: DataFrame) -> DataFrame:
     return placed.select("sub_question_id", "chunk_id", "pos", "number", _entry("number").alias("entry"))
 
 
-def corpus_text(selected: DataFrame) -> DataFrame:
-    """One row with the whole corpus. For a selected, hence bounded, set."""
-    lines = corpus_lines(selected).groupBy("sub_question_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "entry"))).alias("items")
-    )
-    part = F.concat(
-        F.lit("### Sub-question "), F.col("sub_question_id"), F.lit("\n\n"),
-        F.array_join(F.transform("items", lambda i: F.concat(i["entry"], F.lit("\n"))), "\n"),
+def corpora(lines: DataFrame, by: list[str]) -> DataFrame:
+    """``(by.., corpus)``: the corpus of each group of numbered entries. For
+    selected, hence bounded, sets."""
+    items = F.sort_array(F.collect_list(F.struct("pos", "entry")))
+    parts = lines.groupBy(*by, "sub_question_id").agg(items.alias("items")).select(
+        *by,
+        "sub_question_id",
+        F.concat(
+            F.lit("### Sub-question "), F.col("sub_question_id"), F.lit("\n\n"),
+            F.array_join(F.transform("items", lambda i: F.concat(i["entry"], F.lit("\n"))), "\n"),
+        ).alias("part"),
     )
-    parts = lines.select("sub_question_id", part.alias("part"))
-    joined = parts.agg(F.sort_array(F.collect_list(F.struct("sub_question_id", "part"))).alias("p"))
+    joined = parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("sub_question_id", "part"))).alias("p"))
     body = F.array_join(F.transform("p", lambda p: p["part"]), "\n")
     # An empty corpus is its two opening lines.
-    return joined.select(
-        F.when(F.size("p") > 0, F.concat(F.lit("EVIDENCE CORPUS\n\n"), body)).otherwise("EVIDENCE CORPUS\n").alias("corpus")
-    )
+    text = F.when(F.size("p") > 0, F.concat(F.lit("EVIDENCE CORPUS\n\n"), body)).otherwise(EMPTY_CORPUS)
+    return joined.select(*by, text.alias("corpus"))
+
+
+def corpus_text(selected: DataFrame) -> DataFrame:
+    """One row with the whole corpus."""
+    return corpora(corpus_lines(selected), [])
+
+
+def section_corpora(selected: DataFrame, sections: DataFrame, budget_tokens: int) -> DataFrame:
+    """``(section_ord, corpus)``: each section's own sub-questions within its own
+    budget, numbered as in the whole."""
+    own = sections.select("section_ord", F.explode("sub_question_ids").alias("sub_question_id"))
+    kept = select_evidence(selected.drop("visit_no").join(own, "sub_question_id"), budget_tokens, by="section_ord")
+    ids = ["sub_question_id", "chunk_id"]
+    return corpora(corpus_lines(selected).join(kept.select("section_ord", *ids), ids), ["section_ord"])
 
 
 def references(citations: DataFrame) -> DataFrame:
@@ -213,9 +231,3 @@ def section_digest(plan: DataFrame, selected: DataFrame, per_question: int = 3)
     )
     body = F.array_join(F.transform("p", lambda p: p["part"]), "\n")
     return joined.select(F.concat(F.lit("EVIDENCE DIGEST (key claims per sub-question)\n\n"), body).alias("digest"))
-
-
-def section_evidence(selected: DataFrame, sections: DataFrame, budget_tokens: int) -> DataFrame:
-    """Evidence for one section: its sub-questions' rows within its own budget."""
-    own = sections.select(F.explode("sub_question_ids").alias("sub_question_id")).distinct()
-    return select_evidence(selected.join(own, "sub_question_id", "left_semi"), budget_tokens)

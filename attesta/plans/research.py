@@ -262,10 +262,11 @@ class Research:
             queries = spark.createDataFrame(list(enumerate(gap.new_queries)), "query_idx int, query string")
             it += 1
 
-        everything = triage.accumulate(collected, ["sub_question_id", "chunk_id"], "ord")
+        # At most rerank_top_k rows per sub-question and pass.
+        everything = cut_lineage(triage.accumulate(collected, ["sub_question_id", "chunk_id"], "ord"))
         chosen = evidence.select_evidence(everything, cfg.report.corpus_budget_tokens)
         # The numbering comes from the selected evidence, in every run and resume.
-        cited = evidence.citation_table(chosen)
+        cited = cut_lineage(evidence.citation_table(chosen))
         n_cited = cited.count()
         draft = stage("synthesize", 0, lambda: self._written(plan, chosen, n_cited, meter))
         summary: dict[str, Any] = {}
@@ -329,21 +330,15 @@ class Research:
     def _written(self, plan: DataFrame, chosen: DataFrame, n_cited: int, meter: Meter) -> DataFrame:
         planned = sections.plan_sections(plan, self.settings.report.max_sections)
         n_questions = plan.count()
-        digest = evidence.section_digest(plan, chosen).head().digest
-        rows = []
-        # A plan has at most max_sections sections; their corpora are budgeted.
-        for s in planned.orderBy("section_ord").collect():
-            if len(s.sub_question_ids) == n_questions:
-                corpus = digest
-            else:
-                own = planned.filter(F.col("section_ord") == s.section_ord)
-                part = evidence.section_evidence(chosen, own, self.settings.report.section_budget_tokens)
-                lines = evidence.corpus_lines(chosen).join(part.select("sub_question_id", "chunk_id"), ["sub_question_id", "chunk_id"], "left_semi")
-                corpus = "\n".join(r.entry for r in lines.orderBy("pos").collect())
-            rows.append((s.section_ord, s.title, s.instructions, s.sub_question_ids, corpus))
-        asked = self.spark.createDataFrame(
-            rows, "section_ord bigint, title string, instructions string, sub_question_ids array<string>, corpus string"
+        spanning = F.size("sub_question_ids") == n_questions
+        own = evidence.section_corpora(chosen, planned.filter(~spanning), self.settings.report.section_budget_tokens)
+        # One row: the digest of the whole plan, for the sections that span it.
+        digest = F.broadcast(evidence.section_digest(plan, chosen))
+        asked = planned.join(own, "section_ord", "left").crossJoin(digest).select(
+            "section_ord", "title", "instructions", "sub_question_ids",
+            F.when(spanning, F.col("digest")).otherwise(F.coalesce("corpus", F.lit(evidence.EMPTY_CORPUS))).alias("corpus"),
         )
+        asked = cut_lineage(asked)
         drafted = asked.select("section_ord", "title").join(self.parts.write(asked, meter), "section_ord")
         clean = sections.clean_sections(drafted, n_cited).select("section_ord", "title", "markdown")
         return clean if self.parts.polish is None else self._polished(clean, meter)

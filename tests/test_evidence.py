@@ -49,6 +49,25 @@ def test_selection_equals_the_walk(spark, budget, monkeypatch):
     assert [(r.sub_question_id, r.chunk_id) for r in got] == walk(rows, budget)
 
 
+def test_budget_per_group(spark):
+    rows = rows_of(200, seed=4, hot=0.3)
+    df = spark.createDataFrame(rows, schemas.EVIDENCE).withColumn("part", F.when(F.col("sub_question_id") < "sq03", 0).otherwise(1))
+    got = evidence.select_evidence(df, 900, by="part").orderBy("part", "visit_no").collect()
+    for part in (0, 1):
+        own = [r for r in rows if (r[1] >= "sq03") == bool(part)]
+        assert [(r.sub_question_id, r.chunk_id) for r in got if r.part == part] == walk(own, 900)
+
+
+def test_section_corpora(spark):
+    df = spark.createDataFrame(rows_of(60, seed=9), schemas.EVIDENCE)
+    chosen = evidence.select_evidence(df, 4000)
+    parts = spark.createDataFrame([(1, ["sq01"]), (2, ["sq02", "sq03"])], "section_ord bigint, sub_question_ids array<string>")
+    got = {r.section_ord: r.corpus for r in evidence.section_corpora(chosen, parts, 10**6).collect()}
+    whole = evidence.corpus_text(chosen).head().corpus
+    assert whole.startswith(got[1]) and got[2].count("### Sub-question") == 2
+    assert got[2].removeprefix("EVIDENCE CORPUS\n\n") in whole
+
+
 def test_selection_of_nothing(spark):
     empty = spark.createDataFrame([], schemas.EVIDENCE)
     assert evidence.select_evidence(empty, 100).collect() == []
