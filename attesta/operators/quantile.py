@@ -19,12 +19,11 @@ def index_quantiles(df: DataFrame, col: str, fractions: list[float]) -> DataFram
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
     counts = cut_lineage(counts)
     upto = running_sum(counts, F.col("n"), [F.col("value")], out="upto")
-    total = counts.agg(F.sum("n").alias("total"))
-    wanted = F.array(*[F.lit(float(f)) for f in fractions])
-    asked = total.select("total", F.explode(wanted).alias("fraction")).select(
-        "fraction",
-        F.least(F.col("total") - 1, F.floor(F.col("fraction") * F.col("total"))).cast("bigint").alias("at"),
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    if total == 0:
+        return counts.select(F.lit(0.0).alias("fraction"), "value").limit(0)
+    asked = F.array(
+        *[F.struct(F.lit(float(f)).alias("f"), F.lit(min(total - 1, int(f * total))).alias("at")) for f in fractions]
     )
-    # One row per asked fraction.
-    hit = (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))
-    return upto.join(F.broadcast(asked), hit).select("fraction", "value")
+    here = F.filter(asked, lambda a: (a["at"] < F.col("upto")) & (a["at"] >= F.col("upto") - F.col("n")))
+    return upto.select("value", F.explode(here).alias("a")).select(F.col("a.f").alias("fraction"), "value")

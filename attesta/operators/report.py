@@ -27,8 +27,12 @@ def coverage_counts(evidence: DataFrame, bars: int = MAX_BARS) -> DataFrame:
 
 def funnel(chunks: DataFrame, decided: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row: chunks, chunks after dedup, distinct chunks that became evidence."""
-    a = chunks.agg(F.count("*").alias("n_chunks"))
-    b = decided.agg(F.count_if(F.col("dup_of").isNull()).alias("n_chunks_after_dedup"))
-    c = evidence.agg(F.count_distinct("chunk_id").alias("n_chunks_evidence"))
-    # Three single rows.
-    return a.crossJoin(b).crossJoin(c)
+    names = ["n_chunks", "n_chunks_after_dedup", "n_chunks_evidence"]
+    counts = [
+        chunks.agg(F.count("*")),
+        decided.agg(F.count_if(F.col("dup_of").isNull())),
+        evidence.agg(F.count_distinct("chunk_id")),
+    ]
+    rows = [c.toDF("n").select(F.lit(name).alias("name"), "n") for name, c in zip(names, counts)]
+    union = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return union.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in names])

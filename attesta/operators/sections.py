@@ -29,9 +29,8 @@ def plan_sections(plan: DataFrame, max_sections: int = 12) -> DataFrame:
     """
     body_max = max(max_sections - 2, 1)
     ordered = row_rank(plan, [F.col("sq_ord")], out="n")
-    counted = plan.agg(F.count("*").alias("total"))
-    per = F.greatest(F.lit(1), F.ceil(F.col("total") / body_max).cast("bigint"))
-    placed = ordered.crossJoin(F.broadcast(counted)).withColumn("section", F.floor((F.col("n") - 1) / per))
+    per = max(1, -(-plan.count() // body_max))
+    placed = ordered.withColumn("section", F.floor((F.col("n") - 1) / per))
     items = F.sort_array(F.collect_list(F.struct("n", "sub_question_id", "question")))
     groups = placed.groupBy("section").agg(items.alias("q"))
     ids = F.transform("q", lambda q: q["sub_question_id"])

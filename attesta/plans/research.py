@@ -332,11 +332,12 @@ class Research:
         n_questions = plan.count()
         spanning = F.size("sub_question_ids") == n_questions
         own = evidence.section_corpora(chosen, planned.filter(~spanning), self.settings.report.section_budget_tokens)
-        # One row: the digest of the whole plan, for the sections that span it.
-        digest = F.broadcast(evidence.section_digest(plan, chosen))
-        asked = planned.join(own, "section_ord", "left").crossJoin(digest).select(
+        # The digest of the whole plan, for the sections that span it: three claims
+        # for each of at most 15 sub-questions.
+        digest = F.lit(evidence.section_digest(plan, chosen).head().digest)
+        asked = planned.join(own, "section_ord", "left").select(
             "section_ord", "title", "instructions", "sub_question_ids",
-            F.when(spanning, F.col("digest")).otherwise(F.coalesce("corpus", F.lit(evidence.EMPTY_CORPUS))).alias("corpus"),
+            F.when(spanning, digest).otherwise(F.coalesce("corpus", F.lit(evidence.EMPTY_CORPUS))).alias("corpus"),
         )
         asked = cut_lineage(asked)
         drafted = asked.select("section_ord", "title").join(self.parts.write(asked, meter), "section_ord")
