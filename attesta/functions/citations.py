@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How markers and section marks are written.
 MARKER = r"\[(\d+)\]"
 SECTION_MARK = r"<!--Q-SECTION:(.*?)-->"
 

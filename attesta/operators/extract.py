@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as tx
 from attesta.schemas import PAGE_CONTENT
 
+# The least text of a document, and of a block of its own.
 MIN_DOC_CHARS = 200
 MIN_BLOCK_CHARS = 40
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.urls import authority
 
+# How many domains and bars a chart shows.
 TOP_DOMAINS = 8
 MAX_BARS = 15
 

@@ -12,6 +12,7 @@ from attesta.functions import citations as ct
 from attesta.functions import text as tx
 from attesta.session import spread_out
 
+# Fixed value: how a list line begins.
 _LIST_LINE = r"^\s*(?:[-*]|\d+[.)])\s+"
 
 

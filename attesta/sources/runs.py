@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+# The stages of a run in order.
 STAGES = [
     "plan", "search", "fetch", "extract", "chunk", "embed", "dedup", "index", "retrieve", "rerank", "triage",
     "gap", "synthesize", "verify", "render",
