@@ -8,6 +8,7 @@ Each hit is verified: enough of the item's question and of its answer must stand
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 #: Items in a block of postings.
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 #: Passages have at least twice so many words, and start so many words apart.
 STEP_WORDS = 64
 #: Words of all items in one broadcast index; a larger benchmark is searched in several parts.
@@ -61,78 +62,86 @@ class Index:
     question: list[np.ndarray]
     answer: list[np.ndarray]
 
-    def search(self, terms: np.ndarray, threshold: float) -> list[int]:
-        """Places of all items whose relative score for these distinct terms (places) is at least ``threshold``,
-        by block-max WAND."""
+    def search(self, terms: np.ndarray, threshold: float, reachable: list[int]) -> list[tuple[int, float]]:
+        """Places and relative scores of all items that reach ``threshold`` for these distinct terms (places), by block-max
+        WAND. reachable: ascending numbers of the blocks whose maxima reach it, as ``reachable_blocks`` finds them."""
+        slack = threshold - 1e-9
+        # Of a cursor: items, scores, position, blocks, block maxima, list maximum.
         cursors = []
         for t in terms.tolist():
             a, b = int(self.starts[t]), int(self.starts[t + 1])
             c, d = int(self.block_starts[t]), int(self.block_starts[t + 1])
-            cursors.append([self.items[a:b].tolist(), self.scores[a:b].tolist(), 0, self.blocks[c:d].tolist(), self.block_max[c:d].tolist(), 0, float(self.block_max[c:d].max())])
+            maxima = self.block_max[c:d].tolist()
+            cursors.append([self.items[a:b].tolist(), self.scores[a:b].tolist(), 0, self.blocks[c:d].tolist(), maxima, max(maxima)])
         found = []
-        slack = threshold - 1e-9
+        cursors = _advance(cursors, reachable[0] * BLOCK_ITEMS) if reachable else []
         while cursors:
-            cursors.sort(key=lambda c: c[0][c[2]])
+            cursors.sort(key=_current)
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += c[6]
+                bound += c[5]
                 if bound >= slack:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            item = cursors[pivot][0][cursors[pivot][2]]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0][cursors[pivot + 1][2]] == item:
-                pivot += 1
+            item = _current(cursors[pivot])
             block = item // BLOCK_ITEMS
+            at = bisect_left(reachable, block)
+            if at == len(reachable):
+                break
+            if reachable[at] != block:
+                cursors = _advance(cursors, reachable[at] * BLOCK_ITEMS)
+                continue
+            while pivot + 1 < len(cursors) and _current(cursors[pivot + 1]) == item:
+                pivot += 1
             bound = 0.0
             for c in cursors[: pivot + 1]:
-                while c[5] < len(c[3]) and c[3][c[5]] < block:
-                    c[5] += 1
-                if c[5] < len(c[3]) and c[3][c[5]] == block:
-                    bound += c[4][c[5]]
-            if bound >= slack:
-                if cursors[0][0][cursors[0][2]] == item:
-                    if sum(c[1][c[2]] for c in cursors[: pivot + 1]) >= slack:
-                        found.append(item)
-                    goal = item + 1
-                else:
-                    goal = item
+                k = bisect_left(c[3], block)
+                if k < len(c[3]) and c[3][k] == block:
+                    bound += c[4][k]
+            if bound < slack or _current(cursors[0]) == item:
+                score = sum(c[1][c[2]] for c in cursors[: pivot + 1]) if bound >= slack else 0.0
+                if score >= slack:
+                    found.append((item, score))
+                cursors = _advance(cursors, item + 1)
             else:
-                # No item of this block can reach the threshold with these terms; the next cursor's item might come earlier.
-                goal = (block + 1) * BLOCK_ITEMS
-                if pivot + 1 < len(cursors):
-                    goal = min(goal, cursors[pivot + 1][0][cursors[pivot + 1][2]])
-                goal = max(goal, item + 1)
-            live = []
-            for k, c in enumerate(cursors):
-                if k <= pivot:
-                    items, at = c[0], c[2]
-                    while at < len(items) and items[at] < goal:
-                        at += 1
-                    c[2] = at
-                if c[2] < len(c[0]):
-                    live.append(c)
-            cursors = live
+                cursors = _advance(cursors, item)
         return found
 
-    def reachable(self, terms: np.ndarray, owner: np.ndarray, n: int, threshold: float) -> np.ndarray:
-        """Which of ``n`` queries have a block whose maxima sum up to the threshold. terms, owner: flat, owner ascending."""
-        out = np.zeros(n, dtype=bool)
+    def reachable_blocks(self, terms: np.ndarray, owner: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries, and of each the blocks, whose maxima sum up to the threshold. terms, owner: flat, owner ascending."""
         n_blocks = -(-len(self.ids) // BLOCK_ITEMS)
         sizes = np.diff(self.block_starts)[terms]
-        at = 0
         ends = np.cumsum(sizes)
-        while at < len(terms):  # so many (term, block) pairs at once
+        at, queries, blocks = 0, [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        while at < len(terms):  # so many (term, block) pairs at once, whole queries
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000)))
-            stop = int(np.searchsorted(owner, owner[stop - 1], side="right"))  # whole queries
+            stop = int(np.searchsorted(owner, owner[stop - 1], side="right"))
             t, o, s = terms[at:stop], owner[at:stop] - owner[at], sizes[at:stop]
             place = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + np.repeat(self.block_starts[t], s)
             cell = np.repeat(o, s) * n_blocks + self.blocks[place]
-            bound = np.bincount(cell, weights=self.block_max[place], minlength=(int(o[-1]) + 1) * n_blocks).reshape(-1, n_blocks)
-            out[owner[at] : owner[at] + len(bound)] = bound.max(axis=1) >= threshold - 1e-9
+            bound = np.bincount(cell, weights=self.block_max[place])
+            good = np.flatnonzero(bound >= threshold - 1e-9)
+            queries.append(good // n_blocks + owner[at])
+            blocks.append(good % n_blocks)
             at = stop
-        return out
+        return np.concatenate(queries), np.concatenate(blocks)
+
+
+def _current(cursor: list) -> int:
+    return cursor[0][cursor[2]]
+
+
+def _advance(cursors: list, goal: int) -> list:
+    """Cursors moved to their first item from ``goal`` on, without those that have none."""
+    live = []
+    for c in cursors:
+        if c[0][c[2]] < goal:
+            c[2] = bisect_left(c[0], goal, c[2])
+        if c[2] < len(c[0]):
+            live.append(c)
+    return live
 
 
 def build_index(ids: list[int], texts: list[str], questions: list[str], answers: list[str], df: dict[int, int], n_items: int, mean_words: float) -> Index:
@@ -277,18 +286,13 @@ def _block_hits(index: Index, block: bw.Block, step: int) -> list[tuple]:
     query, term = pair // len(index.terms), pair % len(index.terms)
     if not len(pair):
         return []
-    good = index.reachable(term, query, int(base[-1]), THRESHOLD)
+    queries, blocks = index.reachable_blocks(term, query, THRESHOLD)
     edges = np.searchsorted(query, np.arange(int(base[-1]) + 1))
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    for p in np.flatnonzero(good).tolist():
-        terms = term[edges[p] : edges[p + 1]]
+    each, first = np.unique(queries, return_index=True)
+    for p, own in zip(each.tolist(), np.split(blocks, first[1:]), strict=True):
         text = int(np.searchsorted(base, p, side="right")) - 1
-        for item in index.search(terms, THRESHOLD):
-            score = 0.0
-            for t in terms.tolist():
-                k = int(np.searchsorted(index.items[index.starts[t] : index.starts[t + 1]], item)) + int(index.starts[t])
-                if k < index.starts[t + 1] and index.items[k] == item:
-                    score += float(index.scores[k])
+        for item, score in index.search(term[edges[p] : edges[p + 1]], THRESHOLD, own.tolist()):
             if score > best.get((text, item), (0.0, 0))[0]:
                 best[text, item] = (score, p - int(base[text]))
     hits, runs = [], {}
