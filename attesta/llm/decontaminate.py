@@ -287,6 +287,8 @@ def _block_hits(index: Index, block: bw.Block, step: int) -> list[tuple]:
     if not len(pair):
         return []
     queries, blocks = index.reachable_blocks(term, query, THRESHOLD)
+    if not len(queries):
+        return []
     edges = np.searchsorted(query, np.arange(int(base[-1]) + 1))
     best: dict[tuple[int, int], tuple[float, int]] = {}
     each, first = np.unique(queries, return_index=True)
