@@ -24,8 +24,10 @@ RAREST, MOST_COMMON = 0.001, 0.1
 SUBSETS, LEVELS = 32, 3
 #: Mean number of a document's terms in a subset, at the coarsest of its levels, lies between a half of this and this.
 TERMS = 1.0
-#: Documents per range of ids; a range is sorted in one task.
-RANGE_ROWS = 20_000
+#: Documents per range of ids, and most ranges; a range is sorted in one task, which may spill. Only one id per range reaches the driver.
+RANGE_ROWS, MOST_RANGES = 1_500, 10_000
+#: Stands for a missing id while rows are put in order.
+_NO_ID = -(1 << 63)
 
 _SUBSET = bw.salts(SUBSETS, 11)
 
@@ -132,29 +134,30 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     lexicon, total = document_frequencies(docs, text)
     shared = spark.sparkContext.broadcast(lexicon)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    # Ranges of ids; each starts at a given id. The first row of a range goes to the range before it too, as the last one's next.
-    ranges = max(1, total // RANGE_ROWS)
+    # Ranges of ids, each starting at an id that exists. The rows of a range's first id go to the range before it too, where
+    # they follow the last row; those of the smallest id follow the last range.
+    slim = slim.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
+    ranges = max(1, min(MOST_RANGES, total // RANGE_ROWS))
     cuts = slim.approxQuantile("id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    # Whether an id starts a range, by binary search over a literal array of one value per range.
-    place = F.lit(0)
-    if cuts:
-        array = F.array(*(F.lit(c) for c in cuts))
-        place = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(array, lambda c: c <= F.col("id"))))
-    slim = slim.withColumn("range", place)
-    heads = slim.groupBy("range").agg(F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"))).alias("head")).collect()
-    order = sorted(r["range"] for r in heads)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    first = {r["range"]: r["head"]["id"] for r in heads}
-    target = F.create_map(*(x for r in order for x in (F.lit(r), F.lit(before[r])))) if order else None
-    if target is None:
+    least = slim.agg(F.min("id")).first()[0]
+    if least is None:
         return spark.createDataFrame([], _SCHEMA).withColumnRenamed("id", key)
-    start = F.create_map(*(x for r in order for x in (F.lit(r), F.lit(first[r]))))
-    is_head = F.coalesce("id", F.lit(-(1 << 63))) == start[F.col("range")]
-    copies = F.array(F.struct(F.col("range").alias("to"), F.lit(0).alias("extra")))
-    more = F.array(F.struct(F.col("range").alias("to"), F.lit(0).alias("extra")), F.struct(target[F.col("range")].alias("to"), F.lit(1).alias("extra")))
-    placed = slim.select("id", "text", F.explode(F.when(is_head, more).otherwise(copies)).alias("p")).select("p.to", "p.extra", "id", "text")
-    placed = placed.repartition(len(order), "to").sortWithinPartitions("to", "extra", F.col("id").asc_nulls_first(), "text")
+    heads = np.array(sorted({least, *(int(c) for c in cuts)}), dtype=np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            own = np.searchsorted(heads, ids, side="right") - 1
+            again = np.flatnonzero(heads[own] == ids)
+            rows = pa.array(np.concatenate([np.arange(len(ids)), again]))
+            to = np.concatenate([own, (own[again] - 1) % len(heads)])
+            extra = np.repeat([0, 1], [len(ids), len(again)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to), pa.array(extra), batch.column(0).take(rows), batch.column(1).take(rows)], ["to", "extra", "id", "text"]
+            )
+
+    placed = slim.mapInArrow(place, "to long, extra long, id long, text string")
+    placed = placed.repartition(len(heads), "to").sortWithinPartitions("to", "extra", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
@@ -190,7 +193,7 @@ def _compared(pairs: list, lexicon: np.ndarray) -> pa.RecordBatch:
     prints = fingerprints(changed, lexicon)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([a[0][2] for a, _ in pairs], pa.int64()),
+            pa.array([None if a[0][2] == _NO_ID else a[0][2] for a, _ in pairs], pa.int64()),
             pa.array([len(a[0][3]) for a, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed]),
             pa.array([a[1][0] for a, _ in pairs]),
