@@ -16,16 +16,16 @@ SPACE = f"[{SPACE_CHARS}]"
 # U+FFFF is a noncharacter, so it cannot occur in text meant for interchange.
 _CUT = chr(0xFFFF)
 
-# Secret shapes and what replaces them, applied in this order.
+# Secret shapes and what replaces them, applied in this order. (?U) makes \w and \b know all letters; white space is spelled out.
 REDACTIONS = [
     (r"sk-ant-[A-Za-z0-9_\-]{8,}", "sk-ant-REDACTED"),
-    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/\-]+=*", "Bearer REDACTED"),
+    (rf"(?iU)\bbearer{SPACE}+[A-Za-z0-9._~+/\-]+=*", "Bearer REDACTED"),
     (
-        r"(?i)\b(api[_-]?key|x-api-key|authorization|access[_-]?token|secret[_-]?key|"
-        r"client[_-]?secret|password|token)\b(['\"]?\s*[:=]\s*['\"]?)([^\s'\",;&]+)",
+        r"(?iU)\b(api[_-]?key|x-api-key|authorization|access[_-]?token|secret[_-]?key|"
+        rf"client[_-]?secret|password|token)\b(['\"]?{SPACE}*[:=]{SPACE}*['\"]?)([^{SPACE_CHARS}'\",;&]+)",
         "$1$2REDACTED",
     ),
-    (r"([?&][\w.%\-]+=)[^&\s\"'<>]+", "$1REDACTED"),
+    (rf"(?U)([?&][\w.%\-]+=)[^&{SPACE_CHARS}\"'<>]+", "$1REDACTED"),
 ]
 
 
@@ -136,7 +136,7 @@ def redact(col: Column | str) -> Column:
 def strip_leading_heading(col: Column | str) -> Column:
     """Drop one opening first- or second-level heading line."""
     body = F.regexp_replace(_c(col), f"^{SPACE}+", "")
-    body = F.regexp_replace(body, r"^#{1,2}\s+[^\n]*\n?", "")
+    body = F.regexp_replace(body, r"^#{1,2}" + SPACE + r"+[^\n]*\n?", "")
     return F.regexp_replace(body, r"^\n+", "")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from attesta.config import DedupSettings
 from attesta.functions.simhash import simhash64
+from attesta.functions.vectors import dot
 from attesta.operators.neardup import cosine_pairs, hamming_pairs
 from attesta.session import cut_lineage
 
@@ -102,7 +103,8 @@ def dedup(
 
     ``rank`` is a unique bigint that gives the order. Two rows match when their
     SimHash values are both non-zero and at most ``simhash_hamming_max`` bits apart
-    or when the dot product of their unit vectors reaches ``cosine_threshold``.
+    or when the dot product of their unit vectors reaches ``cosine_threshold``. A
+    missing vector, or one whose own square is below the threshold, matches none.
     Leave out ``vector`` for SimHash alone, ``text`` for vectors alone.
     """
     settings = settings or DedupSettings()
@@ -110,14 +112,17 @@ def dedup(
     if text:
         cols.append(F.nullif(simhash64(text, hash_name=hash_name), F.lit(0)).alias("h"))
     if vector:
-        cols.append(F.col(vector).cast("array<float>").alias("v"))
-        # 128 bits of hash stand for the vector wherever only equality counts.
-        cols.append(F.struct(F.xxhash64(vector), F.xxhash64(F.lit(7), F.col(vector))).alias("vk"))
+        v = F.col(vector).cast("array<float>")
+        cols.append(v.alias("v"))
+        # 128 bits of hash stand for the vector wherever only equality counts. A vector that does not even reach the
+        # threshold with itself (missing or zero, say) matches nothing by its direction.
+        own = F.struct(F.xxhash64(vector), F.xxhash64(F.lit(7), F.col(vector)))
+        cols.append(F.when(dot(v, v) >= settings.cosine_threshold, own).alias("vk"))
     base = cut_lineage(chunks.select(*cols))
 
     # Copies first: of rows alike in hash and vector only the first can be kept.
     alike = [c for c in ("h", "vk") if c in base.columns]
-    known = F.col(alike[0]).isNotNull() if len(alike) == 1 else F.lit(True)
+    known = F.coalesce(*(F.when(F.col(c).isNotNull(), True) for c in alike), F.lit(False))
     classes = base.filter(known).groupBy(*alike).agg(F.min("rank").alias("rank"))
     matchings: list[Matching] = []
     if text:
@@ -125,12 +130,12 @@ def dedup(
         edges = cut_lineage(hamming_pairs(hashes, "h", settings.simhash_hamming_max))
         matchings.append(Matching("h", edges))
     if vector:
-        firsts = base.groupBy("vk").agg(F.min("rank").alias("vid"), F.min_by("v", "rank").alias("v"))
+        firsts = base.filter(F.col("vk").isNotNull()).groupBy("vk").agg(F.min("rank").alias("vid"), F.min_by("v", "rank").alias("v"))
         firsts = cut_lineage(firsts)
         balls, pairs = cosine_pairs(firsts.select(F.col("vid").alias("id"), "v"), settings.cosine_threshold)
         matchings.append(Matching("vid", cut_lineage(pairs)))
         matchings.append(Matching("ball"))
-        classes = classes.join(firsts.select("vk", "vid"), "vk").join(
+        classes = classes.join(firsts.select("vk", "vid"), "vk", "left").join(
             balls.select(F.col("id").alias("vid"), "ball"), "vid", "left"
         )
     classes = cut_lineage(classes)

@@ -21,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,9 @@ def _pairs_in_buckets(rows: DataFrame, max_distance: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    lengths = pc.list_value_length(column)
+    if pc.min(lengths) != pc.max(lengths):
+        raise ValueError("vectors of different lengths cannot be compared")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
 

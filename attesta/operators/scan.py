@@ -3,8 +3,8 @@
 A window without partition columns, or with a hot partition, sorts everything in
 one task. A large table is therefore range-partitioned on its order first and
 written down, so that every row has a fixed range. Each range is scanned on its
-own, and the totals of the ranges before it supply the rest. A table of at most
-``SMALL`` rows keeps the plain window.
+own, and the totals of the ranges before it supply the rest. That is the plan for
+tables of every size.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from attesta.session import cut_lineage
 
-SMALL = 20_000
-
 
 def running_sum(
     df: DataFrame,
@@ -25,22 +23,15 @@ def running_sum(
     order: Sequence[Column],
     out: str = "running",
     partition: Sequence[str] = (),
-    small: int | None = None,
 ) -> DataFrame:
     """Add the inclusive running sum of ``value``.
 
     ``order`` holds ascending, not-null expressions that together are unique
     within the partition columns; descending order is asked for by negating a
-    number. Large tables are written once, so hand in the columns that are needed
+    number. The table is written once, so hand in the columns that are needed
     and no more.
     """
-    small = SMALL if small is None else small
     part = list(partition)
-    # ``take`` stops at the first partitions that hold enough rows.
-    if len(df.select(F.lit(1)).take(small + 1)) <= small:
-        upto_here = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(upto_here))
-
     ranged = cut_lineage(df.withColumn("_value", value).repartitionByRange(*part, *order))
     # The written partitions are the ranges; their numbers do not change any more.
     ranged = ranged.withColumn("_range", F.spark_partition_id())
@@ -66,7 +57,7 @@ def running_sum(
 
 
 def row_rank(
-    df: DataFrame, order: Sequence[Column], out: str = "rn", partition: Sequence[str] = (), small: int | None = None
+    df: DataFrame, order: Sequence[Column], out: str = "rn", partition: Sequence[str] = ()
 ) -> DataFrame:
     """Add the 1-based position in ``order``, per partition value if given."""
-    return running_sum(df, F.lit(1).cast("bigint"), order, out, partition, small)
+    return running_sum(df, F.lit(1).cast("bigint"), order, out, partition)

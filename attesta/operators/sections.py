@@ -65,11 +65,11 @@ def guard_polish(before: DataFrame, after: DataFrame, key: str = "key") -> DataF
     both = before.select(key, F.col("text").alias("b")).join(after.select(key, F.col("text").alias("a")), key)
     trimmed = tx.strip("a")
     reason = (
-        F.when(~ct.same_markers("b", "a"), "citation markers changed")
+        F.when(~ct.same_markers("b", "a"), "other citations than before")
         .when(
             (tx.strip(F.get(ct.section_bodies(trimmed), F.lit(0))) != "")
             | (ct.section_titles("a") != ct.section_titles("b")),
-            "section delimiters did not round-trip",
+            "other sections than before",
         )
     )
     return both.select(key, reason.isNull().alias("accepted"), reason.alias("reason"))

@@ -13,7 +13,7 @@ from attesta.functions import text as tx
 from attesta.session import spread_out
 
 # Fixed value: how a list line begins.
-_LIST_LINE = r"^\s*(?:[-*]|\d+[.)])\s+"
+_LIST_LINE = rf"^{tx.SPACE}*(?:[-*]|\p{{Nd}}+[.)]){tx.SPACE}+"
 
 
 def split_pieces(draft: DataFrame, key: list[str], markdown: str = "markdown") -> DataFrame:
@@ -23,7 +23,7 @@ def split_pieces(draft: DataFrame, key: list[str], markdown: str = "markdown") -
     Blocks are parted by blank lines. Headings, quotes, tables and code stay whole.
     A block whose lines all are list items is split by line, any other by sentence.
     """
-    parts = F.transform(F.split(markdown, r"\n\s*\n", -1), tx.strip)
+    parts = F.transform(F.split(markdown, rf"\n{tx.SPACE}*\n", -1), tx.strip)
     # Outer explodes: the plain ones make the optimizer compute the arrays twice.
     blocks = draft.select(*key, F.posexplode_outer(parts).alias("block_no", "block"))
     whole = (F.col("block") == "") | F.col("block").rlike(r"^(?:#|>|\||```)")

@@ -310,7 +310,7 @@ def dedup_cosine_greedy(spark: SparkSession, sf: str) -> DataFrame:
 def dedup_simhash_or_cosine(spark: SparkSession, sf: str) -> DataFrame:
     d = src.document_rows(spark, sf)
     e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    both = d.join(e, "doc_id").select("doc_id", "text", "embedding")
+    both = d.join(e, "doc_id", "left").select("doc_id", "text", "embedding")
     return dedup.dedup(both, "doc_id", "text", "embedding", COSINE, "md5").withColumnRenamed("rank", "doc_id")
 
 

@@ -430,11 +430,11 @@ cp AS (SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON a.vec_id < b.vec
 WITH RECURSIVE {cos_pairs}, pairs AS (SELECT * FROM cp), {_GREEDY}
 SELECT e.vec_id, g.dup_of FROM embeddings e LEFT JOIN decided g ON g.id = e.vec_id"""
     sql["dedup_simhash_or_cosine"] = f"""
-WITH RECURSIVE {_SIMHASH}, {cos_pairs}, both_ AS (SELECT doc_id FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+WITH RECURSIVE {_SIMHASH}, {cos_pairs},
 {_SIM_PAIRS.replace('pairs AS', 'sp AS')},
 pairs AS (SELECT i, j FROM (SELECT i, j FROM sp UNION SELECT i, j FROM cp)
-  WHERE i IN (SELECT doc_id FROM both_) AND j IN (SELECT doc_id FROM both_)), {_GREEDY}
-SELECT b.doc_id, g.dup_of FROM both_ b LEFT JOIN decided g ON g.id = b.doc_id"""
+  WHERE i IN (SELECT doc_id FROM documents) AND j IN (SELECT doc_id FROM documents)), {_GREEDY}
+SELECT b.doc_id, g.dup_of FROM documents b LEFT JOIN decided g ON g.id = b.doc_id"""
 
     sql["idempotent_insert"] = """
 SELECT substr(sha256(source || '|' || doc_id), 1, 16) AS chunk_id, doc_id AS ord, n_chars FROM documents d
@@ -530,8 +530,8 @@ WITH {_TURNS} SELECT conv_id, turn, regexp_replace(regexp_replace(markdown, '\[(
     sql["marker_multiset"] = rf"""
 WITH {_TURNS} SELECT conv_id, turn, turn % 2 = 0 AS same FROM turns"""
     sql["polish_guard"] = f"""
-WITH {_TURNS}, g AS (SELECT conv_id || '-' || turn AS key, CASE turn % 4 WHEN 1 THEN 'citation markers changed'
-  WHEN 2 THEN 'section delimiters did not round-trip' WHEN 3 THEN 'section delimiters did not round-trip' END AS reason FROM turns)
+WITH {_TURNS}, g AS (SELECT conv_id || '-' || turn AS key, CASE turn % 4 WHEN 1 THEN 'other citations than before'
+  WHEN 2 THEN 'other sections than before' WHEN 3 THEN 'other sections than before' END AS reason FROM turns)
 SELECT key, reason IS NULL AS accepted, reason FROM g"""
     sql["unresolved_markers"] = rf"""
 WITH {_TURNS} SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_filter(list_distinct(list_transform(

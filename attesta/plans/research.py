@@ -167,7 +167,7 @@ class Research:
         cap = self.settings.run.cost_cap_usd
         spent = costs.agg(F.sum("cost_usd")).head()[0] or 0.0
         if spent > cap:
-            raise CostCapExceeded(f"run cost ${spent:.4f} exceeded cap ${cap:.2f}")
+            raise CostCapExceeded(f"spent ${spent:.4f}, more than the allowed ${cap:.2f}")
 
     def _fetched(self, urls: DataFrame) -> DataFrame:
         """Statuses of all URLs; new bodies go to the cache."""
@@ -175,7 +175,8 @@ class Research:
         cached = wanted.join(self.cache.missing(wanted.select("url")), "url", "left_anti").withColumn("status", F.lit("ok"))
         new = self.cache.missing(wanted)
         rules = fetch.parse_robots(self.parts.robots(self.spark, new), self.settings.fetch.user_agent)
-        gated = fetch.robots_allowed(new, rules)
+        # Robots files and pages are asked for once: what reads them more than once reads what is written down here.
+        gated = cut_lineage(fetch.robots_allowed(new, rules))
         refused = gated.filter(~F.col("allowed")).select("url", "url_ord", F.lit("robots_disallowed").alias("status"))
         allowed = gated.filter("allowed").select("url", "url_ord")
         replies = self.parts.fetch(allowed.select("url")).withColumn(
@@ -185,6 +186,7 @@ class Research:
                 self.settings.fetch.max_bytes,
             ),
         )
+        replies = cut_lineage(replies)
         ok = replies.filter("status = 'ok'").select(
             "url", "final_url", "http_status", "content_type", F.current_timestamp().alias("fetched_at"), "body"
         )

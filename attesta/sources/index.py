@@ -46,8 +46,9 @@ class ChunkIndex:
         if "ord" not in batch.columns:
             batch = batch.withColumn("ord", F.col("position").cast("bigint"))
         names = [f.name for f in schemas.INDEX.fields]
-        if batch.filter(F.col("vector").isNull()).limit(1).count():
-            raise ValueError("every chunk needs a vector")
+        # Checked inside the write: vectors may be dear to compute, so the batch is evaluated once.
+        missing = F.raise_error(F.lit("a chunk without a vector cannot be indexed")).cast("array<float>")
+        batch = batch.withColumn("vector", F.coalesce("vector", missing))
         before = self.count()
         fresh = not_yet_indexed(batch.select(*names, "ord"), self.table()).select(
             *[F.col(f.name).cast(f.dataType) for f in schemas.INDEX.fields]

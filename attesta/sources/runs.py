@@ -106,7 +106,7 @@ class RunStore:
     def get_run(self, run_id: str) -> dict[str, Any]:
         row = self.runs().filter(F.col("run_id") == run_id).head()
         if row is None:
-            raise KeyError(f"unknown run_id: {run_id}")
+            raise KeyError(f"there is no run {run_id}")
         return row.asDict()
 
     def set_run(self, run_id: str, status: str | None = None, iteration: int | None = None) -> None:
@@ -130,7 +130,7 @@ class RunStore:
     def _finish(self, run_id: str, stage: str, iteration: int, status: str, payload: str | None, error: str | None) -> None:
         s = self.get_stage(run_id, stage, iteration)
         if s is None:
-            raise KeyError(f"stage {stage} (iteration {iteration}) was never started for {run_id}")
+            raise KeyError(f"run {run_id} has not begun stage {stage} of pass {iteration}")
         self._append(
             "stages", _STAGES,
             (run_id, stage, iteration, status, s["started_at"], _now(), payload or s["payload"], error or s["error"]),

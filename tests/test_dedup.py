@@ -155,3 +155,15 @@ def test_hamming_column(spark):
     df = spark.createDataFrame([(0, -1), (5, 5), (0b1010, 0b0101)], "a bigint, b bigint")
     assert [r[0] for r in df.select(sh.hamming("a", "b")).collect()] == [64, 0, 4]
     assert df.select(F.max(sh.hamming("b", "a"))).head()[0] == 64
+
+
+def test_vectors_that_match_nothing(spark):
+    """Zero, missing and short vectors neither end the job nor make rows of unlike text duplicates."""
+    unit, zero = [1.0, 0.0], [0.0, 0.0]
+    rows = [(0, "one text about rivers and hills", zero), (1, "another text about trains and ships", zero), (2, "a third text on bread", None),
+            (3, "number four speaks of clouds", unit), (4, "number five speaks of metal", unit), (5, "a third text on bread", None)]
+    df = spark.createDataFrame(rows, "id bigint, text string, v array<float>")
+    both = {r["rank"]: r.dup_of for r in dedup.dedup(df, "id", "text", "v", DedupSettings()).collect()}
+    assert both == {0: None, 1: None, 2: None, 3: None, 4: 3, 5: 2}
+    alone = {r["rank"]: r.dup_of for r in dedup.dedup(df, "id", None, "v", DedupSettings()).collect()}
+    assert alone == {0: None, 1: None, 2: None, 3: None, 4: 3, 5: None}

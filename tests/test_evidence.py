@@ -42,8 +42,7 @@ def walk(rows, budget):
 
 
 @pytest.mark.parametrize("budget", [20, 300, 3000, 10**6])
-def test_selection_equals_the_walk(spark, budget, monkeypatch):
-    monkeypatch.setattr(scan, "SMALL", 50)
+def test_selection_equals_the_walk(spark, budget):
     rows = rows_of(300, seed=budget)
     got = evidence.select_evidence(spark.createDataFrame(rows, schemas.EVIDENCE), budget).orderBy("visit_no").collect()
     assert [(r.sub_question_id, r.chunk_id) for r in got] == walk(rows, budget)
@@ -81,13 +80,12 @@ def test_entry_frame_is_a_lower_bound(spark):
 
 
 @pytest.mark.parametrize("part", [[], ["g"]])
-@pytest.mark.parametrize("small", [10, 10**6])
-def test_running_sums(spark, part, small):
+def test_running_sums(spark, part):
     rng = random.Random(7)
     rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", None]), i, rng.randint(0, 9)) for i in range(500)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, k int, v bigint")
-    got = {r.k: r.s for r in scan.running_sum(df, F.col("v"), [-F.col("k")], "s", part, small).collect()}
+    got = {r.k: r.s for r in scan.running_sum(df, F.col("v"), [-F.col("k")], "s", part).collect()}
     for g, k, _ in rows:
         assert got[k] == sum(v for h, j, v in rows if j >= k and (not part or h == g))
 

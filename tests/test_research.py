@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import hashlib
 import json
@@ -179,3 +180,37 @@ def test_stream_adds_each_chunk_once(spark, tmp_path):
     # Reading everything again, as after a lost checkpoint, adds nothing.
     assert run("b") == second
     assert index.table().select("chunk_id").distinct().count() == second
+
+
+def test_pages_and_vectors_are_asked_for_once(spark, tmp_path):
+    """Requests and embeddings are counted in the workers."""
+    requests, embeddings = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def once(u):
+        requests.add(1)
+        return article("bridges", int(u[-2:]))
+
+    def fetch(urls):
+        return urls.select(
+            "url", F.col("url").alias("final_url"), F.lit(200).alias("http_status"), F.lit("text/html").alias("content_type"),
+            F.lit(None).cast("string").alias("content_length"), F.encode(once.asNondeterministic()("url"), "utf-8").alias("body"), F.lit(None).cast("string").alias("failure"),
+        )
+
+    parts = dataclasses.replace(Stand(spark).components(), fetch=fetch)
+    run = Research(spark, str(tmp_path), parts, settings())
+    urls = spark.createDataFrame([(f"https://site9.org/{i:02d}", i) for i in range(50)], "url string, url_ord bigint")
+    assert run._fetched(urls).filter("status = 'ok'").count() == 50 and requests.value == 50
+    assert run.cache.missing(urls).count() == 0
+
+    @F.udf("array<float>")
+    def embed(t):
+        embeddings.add(1)
+        return [1.0, 0.0]
+
+    index = ChunkIndex(spark, str(tmp_path / "once")).open()
+    chunks = spark.range(40).select(
+        F.col("id").cast("string").alias("chunk_id"), F.lit("u").alias("url"), F.lit("t").alias("doc_title"), F.array(F.lit("h")).alias("heading_path"), F.lit("x").alias("text"),
+        F.lit(1).alias("token_count"), F.col("id").cast("int").alias("position"), F.lit(0).alias("start_char"), F.lit(1).alias("end_char"),
+    ).withColumn("vector", embed.asNondeterministic()("text"))
+    assert index.add(chunks) == 40 and embeddings.value == 40

@@ -119,3 +119,17 @@ def test_scan_lines_and_nested_urls(spark):
     doc = '{"url": "u1", "a": [{"url": "u\\"2"}, {"b": {"url": "u3"}}], "urls": "no"}'
     got = audit.nested_urls(spark.createDataFrame([("d", doc)], "k string, j string"), "k", "j").collect()
     assert [r.url for r in sorted(got, key=lambda r: r.pos)] == ["u1", 'u"2', "u3"]
+
+
+def test_redaction_knows_all_letters(spark):
+    """As Python's own patterns: accented names, no-break spaces, and what they leave alone."""
+    import re
+
+    shapes = [(r"(?i)\b(password|token)\b(['\"]?\s*[:=]\s*['\"]?)([^\s'\",;&]+)", r"\1\2REDACTED"), (r"([?&][\w.%\-]+=)[^&\s\"'<>]+", r"\1REDACTED")]
+    texts = ["https://x.example/?clé=hunter2&b=3", "password\u00a0: hunter3", "token\u2003=\u2003abc", "motdépassword: x", "?\u00fcber=1 2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.redact("t").alias("r")).collect()
+    for row in rows:
+        want = texts[row.i]
+        for pattern, to in shapes:
+            want = re.sub(pattern, to, want)
+        assert row.r == want
