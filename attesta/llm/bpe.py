@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Pre-tokenizer pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters of text encoded together, and words whose encodings a task remembers.
-BLOCK_CHARS, REMEMBERED = 1 << 20, 400_000
+BLOCK_CHARS, REMEMBERED = 1 << 20, 200_000
 
 
 def _byte_characters() -> list[str]:
@@ -136,6 +136,9 @@ class Bpe:
         """Text of token ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
+    def forget(self) -> None:
+        self._known = {}
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -167,7 +170,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _blocks(texts):
                 counts, hashes, decoded, all_ids = [], [], [], []
@@ -185,6 +188,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
                     columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()  # the worker process lives on
 
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

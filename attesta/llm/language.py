@@ -8,9 +8,11 @@ A text gets the language with the best mean over its words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +43,8 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def train(labelled: DataFrame, text: str, lang: str, key: str) -> dict[int, dict[str, np.ndarray]]:
-    """The model of each length (0: words): entry -> scores by language, languages ascending under key -1.
+def train(labelled: DataFrame, text: str, lang: str, key: str) -> Model:
+    """A model from labelled texts.
 
     Texts or languages that are null teach nothing. Counting runs in Spark, pre-aggregated in each task;
     ``MODEL_ENTRIES`` for each language and length come to the driver.
@@ -80,9 +82,8 @@ def train(labelled: DataFrame, text: str, lang: str, key: str) -> dict[int, dict
         F.sort_array(F.collect_list(F.struct("c", "entries")), asc=False).alias("steps")
     ).collect()
     langs = sorted({r.lang for r in floors})
-    model: dict = {-1: langs}
-    for n in range(LONGEST + 1):
-        model[n] = {}
+    entries: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    scores: list[list[np.ndarray]] = [[] for _ in range(LONGEST + 1)]
     for r in floors:
         least, kept = 0, 0
         for step in r.steps:
@@ -92,54 +93,63 @@ def train(labelled: DataFrame, text: str, lang: str, key: str) -> dict[int, dict
             least = step.c
         own = counts.filter((F.col("lang") == r.lang) & (F.col("n") == r.n) & (F.col("c") >= least if least else F.lit(False))).select("entry", "c").collect()
         total = sum(x.c for x in own) or 1
-        at = langs.index(r.lang)
+        at, place, rows_of = langs.index(r.lang), entries[r.n], scores[r.n]
         for x in own:
-            row = model[r.n].setdefault(x.entry, np.full(len(langs), PENALTY, dtype=np.float32))
-            row[at] = min(PENALTY, -np.log10(x.c / total))
-    return model
+            k = place.setdefault(x.entry, len(rows_of))
+            if k == len(rows_of):
+                rows_of.append(np.full(len(langs), PENALTY, dtype=np.float32))
+            rows_of[k][at] = min(PENALTY, -np.log10(x.c / total))
+    return Model(langs, entries, [np.stack(s) if s else np.zeros((0, len(langs)), np.float32) for s in scores])
+
+
+@dataclass
+class Model:
+    """Languages, and for each length (0: words) the place of each entry and one row of scores per entry."""
+
+    langs: list[str]
+    entries: list[dict[str, int]]
+    scores: list[np.ndarray]
 
 
 class Scorer:
     """Word scores from a model, remembered within a task."""
 
-    def __init__(self, model: dict, remembered: int = 200_000) -> None:
-        self.langs, self.model, self.remembered = model[-1], model, remembered
-        self.seen: dict[str, np.ndarray] = {}
+    def __init__(self, model: Model, remembered: int = 100_000) -> None:
+        self.langs, self.model, self.remembered = model.langs, model, remembered
+        self.seen: dict[str, int] = {}
+        self.rows = np.empty((1024, len(self.langs)), dtype=np.float32)
         self.flat = np.full(len(self.langs), PENALTY, dtype=np.float32)
 
     def word(self, w: str) -> np.ndarray:
-        found = self.model[0].get(w)
-        if found is not None:
-            return found
+        """Scores of a word in each language."""
+        k = self.model.entries[0].get(w)
+        if k is not None:
+            return self.model.scores[0][k]
         for n in range(LONGEST, 0, -1):
-            table = self.model[n]
+            table = self.model.entries[n]
             known = [table[x] for x in grams(w, n) if x in table]
             if known:
-                return sum(known) / len(known)
+                return self.model.scores[n][known].mean(axis=0)
         return self.flat
 
     def texts(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language (``und`` without a letter) and a score from 0 to 1 for each text."""
+        if len(self.seen) > self.remembered:
+            self.seen = {}
         seen = self.seen
-        if len(seen) > self.remembered:
-            seen.clear()
         split = [words_of(t) for t in texts]
-        names = list({w for s in split for w in s})
-        table = np.empty((len(names), len(self.langs)), dtype=np.float32)
-        place = {}
-        for i, w in enumerate(names):
-            row = seen.get(w)
-            if row is None:
-                row = seen[w] = self.word(w)
-            table[i] = row
-            place[w] = i
+        for w in {w for s in split for w in s if w not in seen}:
+            if len(seen) == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.rows[len(seen)] = self.word(w)
+            seen[w] = len(seen)
         langs, scores = [], []
         for s in split:
             if not s or not self.langs:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            mean = table[[place[w] for w in s]].mean(axis=0, dtype=np.float64)
+            mean = self.rows[[seen[w] for w in s]].mean(axis=0, dtype=np.float64)
             best = int(mean.argmin())
             # Evidence counts with the square root of the words: words of a text are not independent.
             odds = np.exp(-np.log(10) * np.sqrt(len(s)) * (mean - mean[best]))
@@ -148,7 +158,7 @@ class Scorer:
         return langs, scores
 
 
-def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: the key, lang_pred, score (then the columns ``keep``). Equal texts get equal answers.
     Null texts and texts without a letter get ``und`` and 0. Of equally good languages the first in
     the alphabet wins. No shuffle; the model is broadcast, its size bounded by ``MODEL_ENTRIES``."""
@@ -158,25 +168,24 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            langs, scores, size, first = [], [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > _BLOCK_CHARS or i == len(texts) - 1:
-                    a, b = scorer.texts(texts[first : i + 1])
-                    langs += a
-                    scores += b
-                    first, size = i + 1, 0
-            others = [batch.column(c) for c in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [others[0], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *others[1:]],
-                [batch.schema.names[0], "lang_pred", "score", *batch.schema.names[1:-1]],
-            )
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:  # some texts at a time, at least one
+                before = sizes[first - 1] if first else 0
+                stop = max(first + 1, int(np.searchsorted(sizes, before + _BLOCK_CHARS, side="right")))
+                part = batch.slice(first, stop - first)
+                langs, scores = scorer.texts([t or "" for t in part.column("_text").to_pylist()])
+                columns = [part.column(c) for c in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [columns[0], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *columns[1:]],
+                    [part.schema.names[0], "lang_pred", "score", *part.schema.names[1:-1]],
+                )
+                first = stop
 
     slim = docs.select(F.col(key).alias("_key"), *(F.col(c) for c in keep), F.col(text).cast("string").alias("_text"))
     fields = slim.schema
     schema = ", ".join([f"_key {fields['_key'].dataType.simpleString()}", "lang_pred string", "score double", *(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep)])
-    return slim.mapInArrow(run, schema).withColumnRenamed("_key", "doc_id" if key == "doc_id" else key)
+    return slim.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
 def is_held_out(key: Column) -> Column:
@@ -184,7 +193,7 @@ def is_held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
+def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model of all documents that are not held out. Those without an id are not learned from."""
     return train(docs.filter(F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2), text, lang, key)
 
