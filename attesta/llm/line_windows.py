@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions.text import let
 from attesta.llm.skew import join_weighted
 from attesta.session import cut_lineage
 
@@ -56,19 +57,25 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     covered = covered.select(F.col("_id").alias("_cid"), F.col("_own").alias("_cown"), "_covered")
     marked = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_own", own)
     out = marked.join(covered, F.col("_key").eqNullSafe(F.col("_cid")) & (F.col("_own") == F.col("_cown")), "left")
-    lines = _lines(F.col(text))
-    out = out.withColumn("_f", _filled(lines))
-    gone = F.array_distinct(F.flatten(F.transform("_covered", lambda w: F.transform(F.sequence(w, w + WINDOW - 1), lambda k: F.get("_f", k).p))))
-    out = out.withColumn("_gone", F.when(F.col("_covered").isNotNull(), gone))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.transform(places, lambda i: F.get(lines, i))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text).cast("string")).when(F.size("_gone") >= F.size("_f"), F.lit("")).otherwise(F.array_join(kept, "\n"))
-    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(
-        *(cleaned.alias(c) if c == text else F.col(c) for c in others),
-        F.size(lines).alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
-    )
+    # Each array is bound once; inside a lambda it would be computed again for every line.
+    def cleaned(lines: Column) -> Column:
+        def without(bound: Column) -> Column:
+            places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), bound.gone)
+            kept = F.when(F.size(bound.gone) < bound.n_filled, F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")).otherwise(F.lit(""))
+            return F.struct(kept.alias("text"), F.size(lines).alias("n_lines"), F.size(bound.gone).alias("n_removed"))
+
+        def bound(filled: Column) -> Column:
+            gone = F.array_distinct(F.flatten(F.transform("_covered", lambda w: F.transform(F.sequence(w, w + WINDOW - 1), lambda k: F.get(filled, k).p))))
+            return F.struct(gone.alias("gone"), F.size(filled).alias("n_filled"))
+
+        return let(let(_filled(lines), bound), without)
+
+    same = F.struct(F.col(text).cast("string").alias("text"), F.size(_lines(F.col(text))).alias("n_lines"), F.lit(0).alias("n_removed"))
+    result = F.when(F.col("_covered").isNull(), same).otherwise(let(_lines(F.col(text)), cleaned))
+    others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    # A generator is a barrier: what filters on the result later does not compute it again.
+    out = out.select(*others, F.inline(F.array(result)).alias("_text", "n_lines", "n_removed"))
+    return out.select(*(F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
 
 def op4_line_windows(spark, sf_dir: str) -> DataFrame:
