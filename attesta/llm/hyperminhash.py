@@ -220,26 +220,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     width = 2 * BUCKETS
     bands = classes.select(
         "id",
-        "members",
         F.explode(F.array(*(F.xxhash64(F.lit(t), F.substring("registers", t * width + 1, width)) for t in range(TABLES)))).alias("band"),
     )
-    chosen = bands.groupBy("band").agg(
-        F.count("*").alias("size"),
-        F.min("id").alias("first"),
-        F.max("id").alias("last"),
-        F.max_by("id", F.struct("members", -F.col("id"))).alias("copied"),
-        F.min_by("id", F.xxhash64("id")).alias("any"),
-    )
+    # Most bands have one member, so what is summed up for all of them is kept narrow.
+    chosen = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last"))
     chosen = cut_lineage(chosen.filter("size > 1"))
     two = chosen.filter("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
-    members = cut_lineage(
-        bands.select("id", "band").join(chosen.filter("size > 2"), "band").select("band", "id", "size", "first", "last", "copied", "any")
+    members = cut_lineage(bands.join(chosen.filter("size > 2"), "band").select("band", "id", "size", "first", "last"))
+    crowd = members.filter(F.col("size") > SMALL)
+    leaders = crowd.join(classes.select("id", "members"), "id").groupBy("band").agg(
+        F.max_by("id", F.struct("members", -F.col("id"))).alias("copied"), F.min_by("id", F.xxhash64("id")).alias("any")
     )
-    tried = _ordered(two.union(_all_pairs(members)).union(_star_pairs(members))).distinct()
+    tried = _ordered(two.union(_all_pairs(members)).union(_star_pairs(crowd.join(leaders, "band")))).distinct()
     links = cut_lineage(_confirmed(cut_lineage(_plausible(tried, classes, similarity)), docs, key, text, percent, size))
     components = cut_lineage(connected_components(links, "a", "b"))
     # A crowded band that is one component is settled. In others, what can link two components is compared too.
-    crowded = members.filter(F.col("size") > SMALL).select("band", "id").join(components, "id", "left")
+    crowded = crowd.select("band", "id").join(components, "id", "left")
     crowded = cut_lineage(_mixed(crowded.withColumn("component", F.coalesce("component", "id"))))
     if not crowded.isEmpty():
         tried = _across(crowded, classes, docs, key, text, similarity, size)
@@ -266,7 +262,7 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 def _star_pairs(members: DataFrame) -> DataFrame:
     """Each member of a crowded band with the leaders of its band."""
     leaders = F.array_distinct(F.array("first", "last", "copied", "any"))
-    return members.filter(F.col("size") > SMALL).select(F.explode(leaders).alias("a"), F.col("id").alias("b"))
+    return members.select(F.explode(leaders).alias("a"), F.col("id").alias("b"))
 
 
 def op2_hyperminhash(spark, sf_dir: str) -> DataFrame:
