@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
     out = join_weighted(sketched.select("id", *_CLASS), groups, _CLASS, "members", total, F.col("id"))
     # Rows that share an id but not their text: the document has the smallest component of its texts.
-    return out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn(
+    return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     )
 
