@@ -129,10 +129,8 @@ def _plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are alike: 100 * common >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(wanted, "id", "left_semi")
     both = pairs.join(texts.toDF("a", "t1"), "a").join(texts.toDF("b", "t2"), "b").select("a", "b", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +159,13 @@ def _mixed(crowded: DataFrame) -> DataFrame:
 
 
 def _across(
-    crowded: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, size: int
+    crowded: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, size: int
 ) -> DataFrame:
     """Pairs of one band but of different components that can be alike. Of the n shingles of a document, those that no other
     member of any of these bands has are missing in every partner. What is left bounds the common part of a pair, and so
     the sizes that a partner can have: pairs beyond that are left out without loss. Members of a band's largest
     component wait for the others to find them."""
     ids = crowded.select("id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +175,7 @@ def _across(
                     [batch.column(0).take(pa.array(owner + block.first)), pa.array(values.view(np.int64))], ["id", "shingle"]
                 )
 
-    seen = texts.mapInArrow(run, "id long, shingle long")
+    seen = texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingle long")
     single = seen.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("most")).filter("id = most")
     alone = single.groupBy("id").agg(F.count("*").alias("alone"))
     shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
@@ -231,15 +228,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     leaders = crowd.join(classes.select("id", "members"), "id").groupBy("band").agg(
         F.max_by("id", F.struct("members", -F.col("id"))).alias("copied"), F.min_by("id", F.xxhash64("id")).alias("any")
     )
+    # All whole texts move once; what is compared later reads those of documents that share a band with another.
+    wanted = two.select(F.col("a").alias("id")).union(two.select("b")).union(members.select("id")).distinct()
+    whole = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    texts = cut_lineage(whole.join(wanted, "id", "left_semi"))
     tried = _ordered(two.union(_all_pairs(members)).union(_star_pairs(crowd.join(leaders, "band")))).distinct()
-    links = cut_lineage(_confirmed(cut_lineage(_plausible(tried, classes, similarity)), docs, key, text, percent, size))
+    links = cut_lineage(_confirmed(cut_lineage(_plausible(tried, classes, similarity)), texts, percent, size))
     components = cut_lineage(connected_components(links, "a", "b"))
     # A crowded band that is one component is settled. In others, what can link two components is compared too.
     crowded = crowd.select("band", "id").join(components, "id", "left")
     crowded = cut_lineage(_mixed(crowded.withColumn("component", F.coalesce("component", "id"))))
     if not crowded.isEmpty():
-        tried = _across(crowded, classes, docs, key, text, similarity, size)
-        found = _confirmed(cut_lineage(_plausible(tried, classes, similarity)), docs, key, text, percent, size)
+        tried = _across(crowded, classes, texts, similarity, size)
+        found = _confirmed(cut_lineage(_plausible(tried, classes, similarity)), texts, percent, size)
         components = cut_lineage(connected_components(links.union(found), "a", "b"))
     total = sketched.count()
     groups = classes.join(components, "id", "left").select(
