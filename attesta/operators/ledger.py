@@ -142,7 +142,7 @@ def ledger_markdown(costs: DataFrame, cap_usd: float | None = None) -> str:
     line = F.format_string("| " + " | ".join(["%s"] * len(cells)) + " |", *cells)
     table = costs.orderBy("seq").select(line.alias("line")).toPandas()["line"]
     sums = ledger_rollup(costs).filter("dimension in ('total', 'iteration')").select(
-        "dimension", F.col("value").cast("int").alias("pass"), dollars(F.col("cost_usd")).alias("usd")
+        "dimension", F.col("value").try_cast("int").alias("pass"), dollars(F.col("cost_usd")).alias("usd")
     ).orderBy("pass").toPandas()
     total = next(iter(sums.query("dimension == 'total'")["usd"]), "$0.0000")
     passes = sums.query("dimension == 'iteration'")
