@@ -129,6 +129,14 @@ def _plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "n1", "n2", "r1", "r2").mapInArrow(run, "a long, b long")
 
 
+def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The shingle hashes of each text."""
+    found = []
+    for block, values, bounds in bw.shingle_sets(texts, size):
+        found += [values[bounds[i] : bounds[i + 1]] for i in range(len(block))]
+    return found
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are alike: 100 * common >= percent * union."""
     both = pairs.join(texts.toDF("a", "t1"), "a").join(texts.toDF("b", "t2"), "b").select("a", "b", "t1", "t2")
@@ -137,12 +145,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = []
-                for c in ("t1", "t2"):
-                    own = []
-                    for block, values, bounds in bw.shingle_sets(part.column(c), size):
-                        own += [values[bounds[i] : bounds[i + 1]] for i in range(len(block))]
-                    sets.append(own)
+                sets = [_sets(part.column(c), size) for c in ("t1", "t2")]
                 good = []
                 for x, y in zip(*sets, strict=True):
                     common = len(np.intersect1d(x, y, assume_unique=True))
@@ -158,14 +161,41 @@ def _mixed(crowded: DataFrame) -> DataFrame:
     return crowded.join(mixed.select("band"), "band")
 
 
+def _against_main(rows: DataFrame, texts: DataFrame, size: int, room: float) -> DataFrame:
+    """For each (id, main): how many shingles of main the document lacks (``less``), how many it has beyond main (``more``), and
+    the missing ones themselves (``gone``) if they are at most ``room`` times its own number."""
+    both = rows.join(texts.toDF("id", "t1"), "id").join(texts.toDF("main", "t2"), "main").select("id", "main", "t1", "t2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own, main = _sets(part.column("t1"), size), _sets(part.column("t2"), size)
+                gone = [np.setdiff1d(y, x, assume_unique=True) for x, y in zip(own, main, strict=True)]
+                less = np.array([len(g) for g in gone], dtype=np.int64)
+                n = np.array([len(x) for x in own], dtype=np.int64)
+                more = n - np.array([len(y) for y in main], dtype=np.int64) + less
+                gone = [g.view(np.int64) if len(g) <= room * k else None for g, k in zip(gone, n, strict=True)]
+                columns = [part.column("id"), part.column("main"), pa.array(less), pa.array(more), pa.array(gone, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "main", "less", "more", "gone"])
+
+    return both.mapInArrow(run, "id long, main long, less long, more long, gone array<long>")
+
+
 def _across(
     crowded: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, size: int
 ) -> DataFrame:
-    """Pairs of one band but of different components that can be alike. Of the n shingles of a document, those that no other
-    member of any of these bands has are missing in every partner. What is left bounds the common part of a pair, and so
-    the sizes that a partner can have: pairs beyond that are left out without loss. Members of a band's largest
-    component wait for the others to find them."""
-    ids = crowded.select("id").distinct()
+    """Pairs of one band but of different components that can be alike. Nothing alike is left out, by two exact bounds.
+
+    Of the n shingles of a document, those that no other member of any of these bands has are missing in every partner.
+    The others, m, bound the common part of a pair, and so the sizes that a partner can have.
+
+    Members of a band's largest component wait for the others to find them. That component's first document, ``main``, is the
+    measure for the band: two documents near it have in common at most what neither lacks of main, and what both have
+    beyond it. Either that is enough by the numbers alone, or both must lack some of the same shingles: they meet by those,
+    so that the members of a large group are not all compared with each document beside it.
+    """
+    ids = crowded.select("id").union(crowded.select("component")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,21 +207,62 @@ def _across(
 
     seen = texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingle long")
     single = seen.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("most")).filter("id = most")
+    # An id with several texts has several sizes; of such ids nothing counts as theirs alone.
+    several = classes.groupBy("id").agg(F.count("*").alias("texts")).filter("texts > 1")
+    single = cut_lineage(single.select("id", "shingle").join(several, "id", "left_anti"))
     alone = single.groupBy("id").agg(F.count("*").alias("alone"))
-    shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
-    sized = classes.join(ids, "id", "left_semi").join(alone, "id", "left").select("id", F.col("n_shingles").alias("n"), shared.alias("m"))
-    rows = cut_lineage(crowded.join(sized, "id"))
-    largest = rows.groupBy("band", "component").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    # At most as many values as documents have sizes, however crowded the band.
-    sizes = rows.groupBy("band").agg(F.collect_set("n").alias("sizes"))
-    most = F.col("m") * F.lit((1 + similarity) / similarity) - F.col("n") + F.lit(1e-6)
-    possible = F.filter("sizes", lambda x: (x >= F.col("n") * F.lit(similarity) - 1e-6) & (x <= most))
-    seekers = rows.join(largest, "band").filter("component != main").join(sizes, "band").select(
-        "band", F.col("id").alias("a"), F.col("component").alias("c"), F.col("m").alias("ma"), F.col("n").alias("na"), F.explode(possible).alias("n")
+    sized = classes.join(ids, "id", "left_semi").join(alone, "id", "left").select(
+        "id", F.col("n_shingles").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone")
+    )
+    ratio, dust = (1 + similarity) / similarity, 1e-6
+    rows = crowded.join(sized, "id").withColumn("m", F.col("n") - F.col("alone")).filter(F.col("m") >= F.col("n") * F.lit(similarity) - dust)
+    mains = rows.groupBy("band", "component").agg(F.count("*").alias("size")).groupBy("band")
+    mains = mains.agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
+    rows = cut_lineage(rows.join(mains.filter("parts > 1").select("band", "main"), "band"))
+    against = _against_main(rows.select("id", "main").distinct(), texts, size, (1 - similarity) / similarity)
+    # What main has alone everybody lacks: it says nothing about a pair.
+    measure = sized.select(F.col("id").alias("main"), (F.col("n") - F.col("alone")).alias("whole"), F.col("alone").alias("own"))
+    rows = rows.join(against, ["id", "main"]).join(measure, "main")
+    other = F.col("id") != F.col("main")
+    rows = rows.withColumn("less", F.col("less") - F.when(other, F.col("own")).otherwise(0))
+    rows = rows.withColumn("more", F.col("more") - F.when(other, F.col("alone")).otherwise(0)).drop("own", "alone")
+    # -1: too far from main for its measure; such documents are compared by size alone.
+    rows = cut_lineage(rows.withColumn("step", F.when(F.col("gone").isNull(), -1).otherwise(F.col("less"))))
+
+    # At most as many values as documents have sizes and distances from main, however crowded the band.
+    kinds = rows.groupBy("band").agg(F.collect_set(F.struct("n", "step")).alias("kinds"))
+    most = F.col("m") * F.lit(ratio) - F.col("n") + dust
+
+    def surely_short(n, step, more):
+        """Whether the numbers alone leave too little in common, unless both lack the same."""
+        enough = (F.col("na") + n) / F.lit(ratio) - dust
+        return (F.col("sa") >= 0) & (step >= 0) & (F.col("whole") - F.col("sa") - step + F.least(F.col("ea"), more) < enough)
+
+    seekers = rows.filter("component != main").select(
+        "band", "main", F.col("id").alias("a"), F.col("component").alias("c"), F.col("m").alias("ma"), F.col("n").alias("na"),
+        F.col("step").alias("sa"), F.col("more").alias("ea"), "whole", "gone", most.alias("most"),
+    )
+    possible = F.filter(
+        "kinds",
+        lambda k: (k["n"] >= F.col("na") * F.lit(similarity) - dust) & (k["n"] <= F.col("most")) & ~surely_short(k["n"], k["step"], F.col("ea")),
     )
-    fits = F.least("m", "ma") * F.lit((1 + similarity) / similarity) + F.lit(1e-6) >= F.col("n") + F.col("na")
-    pairs = seekers.join(rows, ["band", "n"]).filter(fits & (F.col("component") != F.col("c"))).select("a", F.col("id").alias("b"))
-    return _ordered(pairs).distinct()
+    by_size = seekers.join(kinds, "band").select("band", "a", "c", "ma", "na", "sa", "ea", F.col("whole"), F.inline(possible))
+    by_size = by_size.join(rows.select("band", "n", "step", "id", "component", "m", "more"), ["band", "n", "step"])
+    fits = F.least("m", "ma") * F.lit(ratio) + dust >= F.col("n") + F.col("na")
+    differ = F.col("component") != F.col("c")
+    by_size = by_size.filter(fits & differ & ~surely_short(F.col("n"), F.col("step"), F.col("more"))).select("a", F.col("id").alias("b"))
+
+    def lacking(df: DataFrame, columns: list[str]) -> DataFrame:
+        found = df.select(*columns, "main", "gone").dropDuplicates([*columns, "main", "gone"]).select(*columns, "main", F.explode("gone").alias("shingle"))
+        return found.join(single.select(F.col("id").alias("main"), "shingle"), ["main", "shingle"], "left_anti")
+
+    left = lacking(seekers, ["a", "c", "ma", "na", "sa", "ea", "whole"])
+    right = lacking(rows, ["id", "component", "m", "n", "step", "more"])
+    met = left.join(right, ["main", "shingle"]).filter(fits & differ)
+    met = met.groupBy("main", "a", "id", "ma", "na", "sa", "ea", "whole", "m", "n", "step", "more").agg(F.count("*").alias("both"))
+    common = F.col("whole") - F.col("sa") - F.col("step") + F.col("both") + F.least("ea", "more")
+    met = met.filter(common * F.lit(ratio) + dust >= F.col("n") + F.col("na")).select("a", F.col("id").alias("b"))
+    return _ordered(by_size.union(met)).distinct()
 
 
 def _ordered(df: DataFrame) -> DataFrame:

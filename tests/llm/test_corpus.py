@@ -65,6 +65,34 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert all(r.kept == (i == r.component_id) and r.n_shingles == len(shingles(dict(rows)[i])) for i, r in got.items())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowded_band_loses_no_pair(spark, seed):
+    """All documents in one band: every pair alike from different components is proposed, and few of the others."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(120)]
+    spots, marks = [rng.randrange(120) for _ in range(8)], [word() for _ in range(4)]
+    texts = []
+    for k in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            # Some edits share their place, some their word too.
+            copy[rng.choice(spots) if rng.random() < 0.6 else rng.randrange(120)] = rng.choice(marks) if rng.random() < 0.5 else word()
+        cut = rng.choice([0, 0, 0, 5, 12])
+        texts.append(" ".join(copy[cut:] + [word() for _ in range(rng.choice([0, 0, 6]))]))
+    far = [word() for _ in range(110)]
+    texts += [" ".join(far[:k] + base[k:]) for k in (10, 40, 41, 42, 108, 109, 110)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = hyperminhash.sketches(df, "doc_id", "text").groupBy("n_shingles", "k1", "k2").agg(F.min("id").alias("id"))
+    component = {r.id: 0 if r.id < 60 else r.id for r in classes.collect()}
+    crowded = spark.createDataFrame([(7, i, c) for i, c in component.items()], "band long, id long, component long")
+    found = {(r.a, r.b) for r in hyperminhash._across(crowded, classes, df.toDF("id", "text"), 0.85, 5).collect()}
+    sets = {i: shingles(texts[i]) for i in component}
+    apart = [(i, j) for i in sets for j in sets if i < j and component[i] != component[j]]
+    alike = {(i, j) for i, j in apart if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert alike and alike <= found and len(found) < len(apart)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert hyperminhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
