@@ -190,7 +190,7 @@ def _across(
     Of the n shingles of a document, those that no other member of any of these bands has are missing in every partner.
     The others, m, bound the common part of a pair, and so the sizes that a partner can have.
 
-    Members of a band's largest component wait for the others to find them. That component's first document, ``main``, is the
+    Members of the component of a band that is largest in all wait for the others to find them. Its first document, ``main``, is the
     measure for the band: two documents near it have in common at most what neither lacks of main, and what both have
     beyond it. Either that is enough by the numbers alone, or both must lack some of the same shingles: they meet by those,
     so that the members of a large group are not all compared with each document beside it.
@@ -216,18 +216,22 @@ def _across(
     )
     ratio, dust = (1 + similarity) / similarity, 1e-6
     rows = crowded.join(sized, "id").withColumn("m", F.col("n") - F.col("alone")).filter(F.col("m") >= F.col("n") * F.lit(similarity) - dust)
-    mains = rows.groupBy("band", "component").agg(F.count("*").alias("size")).groupBy("band")
+    # The same main for as many bands as can be, so that a document is measured against few.
+    sizes = rows.select("id", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
+    mains = rows.select("band", "component").distinct().join(sizes, "component").groupBy("band")
     mains = mains.agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
     rows = cut_lineage(rows.join(mains.filter("parts > 1").select("band", "main"), "band"))
-    against = _against_main(rows.select("id", "main").distinct(), texts, size, (1 - similarity) / similarity)
+    measured = rows.select("id", "main", "component", "n", "m", "alone").distinct()
+    against = _against_main(measured.select("id", "main"), texts, size, (1 - similarity) / similarity)
+    whole = sized.select(F.col("id").alias("main"), (F.col("n") - F.col("alone")).alias("whole"), F.col("alone").alias("own"))
+    measured = measured.join(against, ["id", "main"]).join(whole, "main")
     # What main has alone everybody lacks: it says nothing about a pair.
-    measure = sized.select(F.col("id").alias("main"), (F.col("n") - F.col("alone")).alias("whole"), F.col("alone").alias("own"))
-    rows = rows.join(against, ["id", "main"]).join(measure, "main")
     other = F.col("id") != F.col("main")
-    rows = rows.withColumn("less", F.col("less") - F.when(other, F.col("own")).otherwise(0))
-    rows = rows.withColumn("more", F.col("more") - F.when(other, F.col("alone")).otherwise(0)).drop("own", "alone")
+    measured = measured.withColumn("less", F.col("less") - F.when(other, F.col("own")).otherwise(0))
+    measured = measured.withColumn("more", F.col("more") - F.when(other, F.col("alone")).otherwise(0)).drop("own", "alone")
     # -1: too far from main for its measure; such documents are compared by size alone.
-    rows = cut_lineage(rows.withColumn("step", F.when(F.col("gone").isNull(), -1).otherwise(F.col("less"))))
+    measured = cut_lineage(measured.withColumn("step", F.when(F.col("gone").isNull(), -1).otherwise(F.col("less"))))
+    rows = rows.select("band", "id", "main", "n").join(measured.drop("gone", "less"), ["id", "main", "n"])
 
     # At most as many values as documents have sizes and distances from main, however crowded the band.
     kinds = rows.groupBy("band").agg(F.collect_set(F.struct("n", "step")).alias("kinds"))
@@ -240,7 +244,7 @@ def _across(
 
     seekers = rows.filter("component != main").select(
         "band", "main", F.col("id").alias("a"), F.col("component").alias("c"), F.col("m").alias("ma"), F.col("n").alias("na"),
-        F.col("step").alias("sa"), F.col("more").alias("ea"), "whole", "gone", most.alias("most"),
+        F.col("step").alias("sa"), F.col("more").alias("ea"), "whole", most.alias("most"),
     )
     possible = F.filter(
         "kinds",
@@ -252,12 +256,13 @@ def _across(
     differ = F.col("component") != F.col("c")
     by_size = by_size.filter(fits & differ & ~surely_short(F.col("n"), F.col("step"), F.col("more"))).select("a", F.col("id").alias("b"))
 
-    def lacking(df: DataFrame, columns: list[str]) -> DataFrame:
-        found = df.select(*columns, "main", "gone").dropDuplicates([*columns, "main", "gone"]).select(*columns, "main", F.explode("gone").alias("shingle"))
-        return found.join(single.select(F.col("id").alias("main"), "shingle"), ["main", "shingle"], "left_anti")
-
-    left = lacking(seekers, ["a", "c", "ma", "na", "sa", "ea", "whole"])
-    right = lacking(rows, ["id", "component", "m", "n", "step", "more"])
+    found = measured.select("main", "id", "component", "m", "n", "step", "more", "whole", F.explode("gone").alias("shingle"))
+    found = found.join(single.select(F.col("id").alias("main"), "shingle"), ["main", "shingle"], "left_anti")
+    left = found.filter("component != main").select(
+        "main", "shingle", F.col("id").alias("a"), F.col("component").alias("c"), F.col("m").alias("ma"), F.col("n").alias("na"),
+        F.col("step").alias("sa"), F.col("more").alias("ea"), "whole",
+    )
+    right = found.drop("whole")
     met = left.join(right, ["main", "shingle"]).filter(fits & differ)
     met = met.groupBy("main", "a", "id", "ma", "na", "sa", "ea", "whole", "m", "n", "step", "more").agg(F.count("*").alias("both"))
     common = F.col("whole") - F.col("sa") - F.col("step") + F.col("both") + F.least("ea", "more")
