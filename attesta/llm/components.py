@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.workspace import Workspace
 from attesta.session import cut_lineage
 
 
@@ -28,21 +29,28 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Columns id, component: each linked node with the smallest node that it can reach. Nulls and loops link nothing.
 
-    The number of rounds grows with the logarithm of the longest chain. Only counts reach the driver.
+    The number of rounds grows with the logarithm of the longest chain. Only counts reach the driver. Each round is written
+    down and goes once the next one is there.
     """
-    edges = cut_lineage(
+    space = Workspace(links.sparkSession)
+    edges = space.write(
         links.filter(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         .distinct()
     )
     state = None
     while True:
-        edges = cut_lineage(_star(_star(edges, True), False))
+        before, space = space, Workspace(links.sparkSession)
+        edges = space.write(_star(_star(edges, True), False))
+        before.remove()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     # At rest every node hangs on its component's smallest node.
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
+    found = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
+    found = cut_lineage(found)
+    space.remove()
+    return found

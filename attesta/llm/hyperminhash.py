@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from attesta.llm import bytewords as bw
 from attesta.llm.components import connected_components
 from attesta.llm.skew import join_weighted
+from attesta.llm.workspace import Workspace
 from attesta.session import cut_lineage
 
 #: Two documents with similarity 0.85 agree on all 8 registers of a sketch with probability 0.27 or more, so that 40
@@ -183,7 +184,7 @@ def _against_main(rows: DataFrame, texts: DataFrame, size: int, room: float) ->
 
 
 def _across(
-    crowded: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, size: int
+    space: Workspace, crowded: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, size: int
 ) -> DataFrame:
     """Pairs of one band but of different components that can be alike. Nothing alike is left out, by two exact bounds.
 
@@ -209,7 +210,7 @@ def _across(
     single = seen.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("most")).filter("id = most")
     # An id with several texts has several sizes; of such ids nothing counts as theirs alone.
     several = classes.groupBy("id").agg(F.count("*").alias("texts")).filter("texts > 1")
-    single = cut_lineage(single.select("id", "shingle").join(several, "id", "left_anti"))
+    single = space.write(single.select("id", "shingle").join(several, "id", "left_anti"))
     alone = single.groupBy("id").agg(F.count("*").alias("alone"))
     sized = classes.join(ids, "id", "left_semi").join(alone, "id", "left").select(
         "id", F.col("n_shingles").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone")
@@ -220,7 +221,7 @@ def _across(
     sizes = rows.select("id", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
     mains = rows.select("band", "component").distinct().join(sizes, "component").groupBy("band")
     mains = mains.agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
-    rows = cut_lineage(rows.join(mains.filter("parts > 1").select("band", "main"), "band"))
+    rows = space.write(rows.join(mains.filter("parts > 1").select("band", "main"), "band"))
     measured = rows.select("id", "main", "component", "n", "m", "alone").distinct()
     against = _against_main(measured.select("id", "main"), texts, size, (1 - similarity) / similarity)
     whole = sized.select(F.col("id").alias("main"), (F.col("n") - F.col("alone")).alias("whole"), F.col("alone").alias("own"))
@@ -230,7 +231,7 @@ def _across(
     measured = measured.withColumn("less", F.col("less") - F.when(other, F.col("own")).otherwise(0))
     measured = measured.withColumn("more", F.col("more") - F.when(other, F.col("alone")).otherwise(0)).drop("own", "alone")
     # -1: too far from main for its measure; such documents are compared by size alone.
-    measured = cut_lineage(measured.withColumn("step", F.when(F.col("gone").isNull(), -1).otherwise(F.col("less"))))
+    measured = space.write(measured.withColumn("step", F.when(F.col("gone").isNull(), -1).otherwise(F.col("less"))))
     rows = rows.select("band", "id", "main", "n").join(measured.drop("gone", "less"), ["id", "main", "n"])
 
     # At most as many values as documents have sizes and distances from main, however crowded the band.
@@ -283,9 +284,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     without an id have a null component and are kept.
     """
     similarity = percent / 100
-    sketched = cut_lineage(sketches(docs, key, text, size))
+    space = Workspace(docs.sparkSession)
+    sketched = space.write(sketches(docs, key, text, size))
     # Equal sets are one class; only its smallest id goes on.
-    classes = cut_lineage(
+    classes = space.write(
         sketched.filter("n_shingles > 0 and id is not null")
         .groupBy(*_CLASS)
         .agg(F.min("id").alias("id"), F.count("*").alias("members"), F.min("registers").alias("registers"))
@@ -297,9 +299,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
     # Most bands have one member, so what is summed up for all of them is kept narrow.
     chosen = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last"))
-    chosen = cut_lineage(chosen.filter("size > 1"))
+    chosen = space.write(chosen.filter("size > 1"))
     two = chosen.filter("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
-    members = cut_lineage(bands.join(chosen.filter("size > 2"), "band").select("band", "id", "size", "first", "last"))
+    members = space.write(bands.join(chosen.filter("size > 2"), "band").select("band", "id", "size", "first", "last"))
     crowd = members.filter(F.col("size") > SMALL)
     leaders = crowd.join(classes.select("id", "members"), "id").groupBy("band").agg(
         F.max_by("id", F.struct("members", -F.col("id"))).alias("copied"), F.min_by("id", F.xxhash64("id")).alias("any")
@@ -307,26 +309,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # All whole texts move once; what is compared later reads those of documents that share a band with another.
     wanted = two.select(F.col("a").alias("id")).union(two.select("b")).union(members.select("id")).distinct()
     whole = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = cut_lineage(whole.join(wanted, "id", "left_semi"))
+    texts = space.write(whole.join(wanted, "id", "left_semi"))
     tried = _ordered(two.union(_all_pairs(members)).union(_star_pairs(crowd.join(leaders, "band")))).distinct()
-    links = cut_lineage(_confirmed(cut_lineage(_plausible(tried, classes, similarity)), texts, percent, size))
-    components = cut_lineage(connected_components(links, "a", "b"))
+    links = space.write(_confirmed(space.write(_plausible(tried, classes, similarity)), texts, percent, size))
+    components = connected_components(links, "a", "b")
     # A crowded band that is one component is settled. In others, what can link two components is compared too.
     crowded = crowd.select("band", "id").join(components, "id", "left")
-    crowded = cut_lineage(_mixed(crowded.withColumn("component", F.coalesce("component", "id"))))
+    crowded = space.write(_mixed(crowded.withColumn("component", F.coalesce("component", "id"))))
     if not crowded.isEmpty():
-        tried = _across(crowded, classes, texts, similarity, size)
-        found = _confirmed(cut_lineage(_plausible(tried, classes, similarity)), texts, percent, size)
-        components = cut_lineage(connected_components(links.union(found), "a", "b"))
+        tried = _across(space, crowded, classes, texts, similarity, size)
+        found = _confirmed(space.write(_plausible(tried, classes, similarity)), texts, percent, size)
+        components = connected_components(links.union(found), "a", "b")
     total = sketched.count()
     groups = classes.join(components, "id", "left").select(
         *_CLASS, "members", F.coalesce("component", "id").alias("component_id")
     )
     out = join_weighted(sketched.select("id", *_CLASS), groups, _CLASS, "members", total, F.col("id"))
     # Rows that share an id but not their text: the document has the smallest component of its texts.
-    return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")).withColumn(
+    out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     )
+    # Narrow rows; all else that was written goes before the caller moves its texts.
+    out = cut_lineage(out)
+    space.remove()
+    return out
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
