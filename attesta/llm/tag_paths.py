@@ -2,7 +2,7 @@
 
 Text nodes are grouped by their path of tags from the root. Of each path the text length and the punctuation per node
 are taken, smoothed along the page, multiplied, and set against a threshold taken from their spread. Paths
-above it hold the content; blocks that markup declares to be something else never do.
+above it hold the content. Navigation, footers and what is hidden never do; names and forms count where the ratios agree.
 """
 
 from __future__ import annotations
@@ -71,12 +71,23 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：؟،।]")
 _SPACE = re.compile(r"\s+")
 
 
+class _Mark:
+    """An element that markup declares to be something else than the article."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind  # "hidden", "tag" (an element around the article) or "name" (class, id, role; a form)
+        self.chars = 0
+        self.articles: list[int] = []  # numbers of the <article> and <main> inside
+
+
 class _Page:
     """One pass over a page: blocks of text with their tag path."""
 
     def __init__(self, source: str) -> None:
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, declared as something else, inside the article
-        self.blocks: list[tuple[str, tuple[str, ...], bool, bool, int]] = []  # text, path, outside, inside article, link characters
+        self.stack: list[tuple[str, _Mark | None, int]] = []  # tag, its mark, number of the <article> or <main> (-1: another element)
+        # text, path, marks around it, <article> and <main> around it, link characters
+        self.blocks: list[tuple[str, tuple[str, ...], tuple[_Mark, ...], tuple[int, ...], int]] = []
+        self.articles: list[int] = []  # characters of each <article> and <main>
         self._parts: list[str] = []
         self._linked = 0
         self._read(source)
@@ -84,8 +95,13 @@ class _Page:
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self._parts)).strip()
         if text:
-            tags = tuple(t for t, _, _ in self.stack if t in _BLOCK)
-            self.blocks.append((text, tags, any(o for _, o, _ in self.stack), any(m for _, _, m in self.stack), min(self._linked, len(text))))
+            marks = tuple(m for _, m, _ in self.stack if m is not None)
+            articles = tuple(k for _, _, k in self.stack if k >= 0)
+            self.blocks.append((text, tuple(t for t, _, _ in self.stack if t in _BLOCK), marks, articles, min(self._linked, len(text))))
+            for m in marks:
+                m.chars += len(text)
+            for k in articles:
+                self.articles[k] += len(text)
         self._parts, self._linked = [], 0
 
     def _text(self, raw: str) -> None:
@@ -113,17 +129,27 @@ class _Page:
             self._parts.append(" ")
         if tag in _VOID:
             return
-        outside = tag in _AROUND and not (tag in ("header", "figure") and any(t == "article" for t, _, _ in self.stack))
+        kind = None
+        if tag in _AROUND and not (tag in ("header", "figure") and any(t == "article" for t, _, _ in self.stack)):
+            kind = "name" if tag in ("form", "fieldset") else "tag"
         for name, value in _ATTRIBUTE.findall(attrs):
             name, value = name.lower(), html_codes.unescape(value.strip("\"'"))
             if name in ("class", "id", "role") and tag not in ("html", "body", *_MAIN):
-                outside = outside or _declared(value)
+                kind = kind or ("name" if _declared(value) else None)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                outside = True
-        self.stack.append((tag, outside, tag in _MAIN))
+                kind = "hidden"
+        article = -1
+        if tag in _MAIN:
+            article = len(self.articles)
+            self.articles.append(0)
+            for _, m, _ in self.stack:
+                if m is not None:
+                    m.articles.append(article)
+        self.stack.append((tag, _Mark(kind) if kind else None, article))
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
+        open_ended: set[str] = set()
         while at < n:
             m = _TOKEN.search(source, at)
             if m is None:
@@ -145,7 +171,7 @@ class _Page:
                         break
                 continue
             if tag in _RAW:
-                if not (m.group("attrs") or "").rstrip().endswith("/"):
+                if tag not in open_ended and not (m.group("attrs") or "").rstrip().endswith("/"):
                     close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
                     at = close.end() if close else n
                 continue
@@ -159,41 +185,77 @@ def _smoothed(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel, "full")[2 : 2 + len(values)] / np.convolve(np.ones(len(values)), kernel, "full")[2 : 2 + len(values)]
 
 
+#: Text of the longest <article> or <main> weighs this much where names are held against the rest of the page.
+ARTICLE_WEIGHT = 5
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+_Block = tuple[str, tuple, bool, int, int]  # text, path, under a name that may remove it, weight, link characters
+
+
+def _judged(blocks: list[_Block]) -> tuple[dict[tuple, float], float]:
+    """The fused ratio of each path, and the threshold."""
+    # Text length and punctuation per node of each path.
+    paths: dict[tuple, list[float]] = {}
+    for text, path, *_ in blocks:
+        sums = paths.setdefault(path, [0.0, 0.0, 0.0])
+        sums[0] += 1
+        sums[1] += len(text)
+        sums[2] += len(_PUNCTUATION.findall(text))
+    length = _smoothed(np.array([paths[b[1]][1] / paths[b[1]][0] for b in blocks]))
+    marks = _smoothed(np.array([paths[b[1]][2] / paths[b[1]][0] for b in blocks]))
+    fused = length * (marks + 0.1)
+    # A path is judged by the mean over its nodes; the threshold is a share of the spread, so that pages of any size fit.
+    return _means(fused, blocks), float(fused.std()) * 0.1
+
+
+def _standing(page: _Page) -> list[_Block]:
+    """The blocks that may be content. Hidden elements and elements around the article (navigation, footers) go, the latter unless they hold
+    the longest <article> or <main>. Names and forms around that one, or around most of the text, say nothing; the others
+    are only noted."""
+    longest = max(range(len(page.articles)), key=lambda k: (page.articles[k], -k), default=-1)
+    holds = lambda m: longest in m.articles
+    rest = [b for b in page.blocks if not b[2]]
+    weight = lambda articles: ARTICLE_WEIGHT if longest in articles else 1
+    total = sum(len(b[0]) * weight(b[3]) for b in rest)
+    named = lambda m: m.kind == "name" and not holds(m) and 2 * m.chars <= total
+    # Paths under such a name are kept apart from those of the same tags without one.
+    return [(t, (*path, "") if (n := any(map(named, marks))) else path, n, weight(k), linked) for t, path, marks, k, linked in rest]
+
+
+def _without_named(blocks: list[_Block]) -> list[_Block]:
+    """Without the blocks under a name whose path has a lower ratio than what is content beside them: name and ratio agree."""
+    if not any(b[2] for b in blocks):
+        return blocks
+    fused_of, threshold = _judged(blocks)
+    content = [fused_of[path] * weight for _, path, named, weight, _ in blocks if not named and fused_of[path] >= threshold]
+    level = sum(content) / len(content) if content else 0.0
+    return [b for b in blocks if not b[2] or fused_of[b[1]] * b[3] >= level]
+
+
 def main_text(source: str | None) -> str:
     """The article of a page, blocks joined by two line ends; empty for null or empty pages and pages without text."""
     if not source:
         return ""
-    blocks = _Page(source).blocks
-    if any(inside and not outside for _, _, outside, inside, _ in blocks):
-        blocks = [b for b in blocks if b[3]]
-    blocks = [b for b in blocks if not b[2]]
+    blocks = _without_named(_standing(_Page(source)))
     if not blocks:
         return ""
-    # Text length and punctuation per node of each path.
-    paths: dict[tuple[str, ...], list[float]] = {}
+    fused_of, threshold = _judged(blocks)
+    sums: dict[tuple, list[int]] = {}
     for text, path, _, _, linked in blocks:
-        sums = paths.setdefault(path, [0.0, 0.0, 0.0, 0.0])
-        sums[0] += 1
-        sums[1] += len(text)
-        sums[2] += len(_PUNCTUATION.findall(text))
-        sums[3] += linked
-    ratio = {p: (s[1] / s[0], s[2] / s[0]) for p, s in paths.items()}
-    length = _smoothed(np.array([ratio[b[1]][0] for b in blocks]))
-    marks = _smoothed(np.array([ratio[b[1]][1] for b in blocks]))
-    fused = length * (marks + 0.1)
-    # A path is judged by the mean over its nodes; the threshold is a share of the spread, so that pages of any size fit.
-    threshold = float(fused.std()) * 0.1
-    fused_of = _means(fused, blocks)
-    in_article = any(b[3] for b in blocks)
+        s = sums.setdefault(path, [0, 0])
+        s[0] += len(text)
+        s[1] += linked
     kept = []
-    for text, path, _, inside, linked in blocks:
-        own_links = paths[path][3] > 0.5 * paths[path][1]
-        heading = path and path[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if own_links and not heading:
-            continue
-        if fused_of[path] >= threshold or heading or (in_article and inside):
+    follows = None  # whether the text after a heading is kept
+    for text, path, named, _, _ in reversed(blocks):
+        heading = any(t in _HEADINGS for t in path[-2 if named else -1 :])
+        own = fused_of[path] >= threshold
+        if heading:
+            keep = own if follows is None else follows
+        else:
+            keep = follows = own and sums[path][1] <= 0.5 * sums[path][0]
+        if keep:
             kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join(reversed(kept))
 
 
 def _means(fused: np.ndarray, blocks: list) -> dict:

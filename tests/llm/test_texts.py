@@ -139,3 +139,15 @@ def test_secrets(spark):
 
 def test_candidates_are_whole():
     assert re.fullmatch(secrets._RUN, "a1" * 8)
+
+
+ARTICLE = "<p>A long first paragraph, with some words in it, and more of them.</p><p>Another one, that goes on, and on, and ends here.</p>"
+
+
+def test_paths_inside_an_article_are_judged_too():
+    """Short items of one path without punctuation go, and a heading goes with what it stands over; no listed name is involved."""
+    items = "".join(f"<li>w{i}</li>" for i in range(12))
+    page = f"<html><body><nav>Home</nav><article><h1>Title</h1>{ARTICLE}<h3>More</h3><ul>{items}</ul></article></body></html>"
+    assert tag_paths.main_text(page) == "Title\n\n" + ARTICLE.replace("</p><p>", "\n\n").replace("<p>", "").replace("</p>", "")
+    outside = "<p>This stands beside the article, it is as long, and it is text.</p>"
+    assert "beside the article" in tag_paths.main_text(f"<html><body>{outside}<article>{ARTICLE}</article></body></html>")
