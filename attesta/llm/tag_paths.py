@@ -173,7 +173,12 @@ class _Page:
             if tag in _RAW:
                 if tag not in open_ended and not (m.group("attrs") or "").rstrip().endswith("/"):
                     close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
-                    at = close.end() if close else n
+                    if close:
+                        at = close.end()
+                    elif tag in ("script", "style"):
+                        at = n
+                    else:  # never closed: the tag alone is skipped
+                        open_ended.add(tag)
                 continue
             self._open(tag, m.group("attrs") or "")
         self._flush()
@@ -213,7 +218,7 @@ def _standing(page: _Page) -> list[_Block]:
     are only noted."""
     longest = max(range(len(page.articles)), key=lambda k: (page.articles[k], -k), default=-1)
     holds = lambda m: longest in m.articles
-    rest = [b for b in page.blocks if not b[2]]
+    rest = [b for b in page.blocks if not any(m.kind == "hidden" or m.kind == "tag" and not holds(m) for m in b[2])]
     weight = lambda articles: ARTICLE_WEIGHT if longest in articles else 1
     total = sum(len(b[0]) * weight(b[3]) for b in rest)
     named = lambda m: m.kind == "name" and not holds(m) and 2 * m.chars <= total

@@ -151,3 +151,15 @@ def test_paths_inside_an_article_are_judged_too():
     assert tag_paths.main_text(page) == "Title\n\n" + ARTICLE.replace("</p><p>", "\n\n").replace("<p>", "").replace("</p>", "")
     outside = "<p>This stands beside the article, it is as long, and it is text.</p>"
     assert "beside the article" in tag_paths.main_text(f"<html><body>{outside}<article>{ARTICLE}</article></body></html>")
+
+
+def test_names_and_forms_do_not_remove_the_article():
+    want = ARTICLE.replace("</p><p>", "\n\n").replace("<p>", "").replace("</p>", "")
+    ad = '<div class="ad">Buy now!</div>'
+    for name in ("has-sidebar", "no-sidebar", "layout-with-sidebar", "has-comments"):
+        assert tag_paths.main_text(f'<body><div class="{name}"><article>{ARTICLE}</article>{ad}</div></body>') == want
+        assert tag_paths.main_text(f'<body><nav>Home</nav><div class="{name}">{ARTICLE}{ad}</div></body>') == want
+    assert tag_paths.main_text(f"<body><form><div>{ARTICLE}</div></form></body>") == want
+    assert tag_paths.main_text(f'<body><aside><article><p>Short, too.</p></article></aside><main>{ARTICLE}</main><div id="comments"><p>Thanks, all.</p></div></body>') == want
+    for tag in ("noscript", "select", "svg", "video"):
+        assert tag_paths.main_text(f"<body><{tag}><{tag}>{ARTICLE}") == want
