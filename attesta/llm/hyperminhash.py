@@ -2,7 +2,7 @@
 
 Every document gets ``TABLES`` small HyperMinHash sketches. A sketch has ``BUCKETS`` buckets; a bucket
 keeps the minimum of the hashes dealt to it, compressed to its number of leading zeros and the next
-``MANTISSA`` bits. The registers of one sketch form one band: documents that agree on a whole band are
+``MANTISSA`` bits. The registers of one sketch, or some of them if documents less alike are wanted, form one band: documents that agree on a whole band are
 candidates. Candidates pass a Jaccard estimate from all registers, corrected for registers that agree by
 accident, and then an exact comparison of their full shingle sets.
 """
@@ -25,6 +25,8 @@ from attesta.session import cut_lineage
 #: Two documents with similarity 0.85 agree on all 8 registers of a sketch with probability 0.27 or more, so that 40
 #: sketches miss such a pair 3 times in a million.
 TABLES, BUCKETS, MANTISSA = 40, 8, 10
+#: A band takes as many registers of a sketch as miss a pair of the wanted similarity no more often than this.
+MISSES = 1e-5
 #: A candidate band with more members is compared with leaders instead of pair by pair.
 SMALL = 12
 #: Estimated similarity may fall short of the wanted one by this much: over five standard deviations of 320 registers.
@@ -271,6 +273,12 @@ def _across(
     return _ordered(by_size.union(met)).distinct()
 
 
+def band_registers(similarity: float) -> int:
+    """How many registers of a sketch form its band: 8 for a similarity of 0.85, 6 for 0.8."""
+    few_enough = [n for n in range(1, BUCKETS + 1) if (1 - similarity**n) ** TABLES <= MISSES]
+    return max(few_enough, default=1)
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     return df.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -292,10 +300,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         .groupBy(*_CLASS)
         .agg(F.min("id").alias("id"), F.count("*").alias("members"), F.min("registers").alias("registers"))
     )
-    width = 2 * BUCKETS
+    width, used = 2 * BUCKETS, 2 * band_registers(similarity)
     bands = classes.select(
         "id",
-        F.explode(F.array(*(F.xxhash64(F.lit(t), F.substring("registers", t * width + 1, width)) for t in range(TABLES)))).alias("band"),
+        F.explode(F.array(*(F.xxhash64(F.lit(t), F.substring("registers", t * width + 1, used)) for t in range(TABLES)))).alias("band"),
     )
     # Most bands have one member, so what is summed up for all of them is kept narrow.
     chosen = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last"))
