@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives, with DataFrame operations only.
 
-Candidates are runs of token characters with a digit. Their features: length, character classes and transitions, how
+Candidates are runs of token characters, with or without a digit, and values of any length after a secret word. Their features: length, character classes and transitions, how
 well dictionary words of the corpus cover them, their path, and the words beside them. The forest is trained on
 labelled findings.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from attesta.session import cut_lineage
 
-#: Shortest candidate, and its characters.
+#: Shortest candidate without a secret word before it, and its characters.
 SHORTEST = 16
 _RUN = r"[A-Za-z0-9+/_=.\-]{16,}"
 #: The forest is fitted on about this many labelled findings, dealt by hash.
@@ -27,6 +27,14 @@ WORD_SHARE = 0.0005
 #: Words beside a candidate that speak for or against a secret.
 SECRET_WORDS = r"token|secret|passw|pwd|api_?key|apikey|access|auth|credential|private"
 DUMMY_WORDS = r"example|sample|dummy|test|placeholder|changeme|xxxx|your"
+#: A word that ends with a secret word or its assignment, so that the value comes next; a word of signs between the two; the
+#: value as a word of its own; values assigned to a secret word in the same word.
+_KEY = rf"(?i)(?:{SECRET_WORDS})[A-Za-z0-9_.\-]*[\"'`\])]*[=:]*>?[\"'`(]*$"
+_SIGNS = r"^[^A-Za-z0-9]+$"
+_VALUE = r"^[\"'`(\[{<]*([^\s\"'`]*[^\s\"'`,;.:!?)\]}>=])"
+_OWN_VALUE = rf"(?i)(?:{SECRET_WORDS})[A-Za-z0-9_.\-]*[\"'`\])]*[=:]+>?[\"'`(]*([^\s\"'`,;()<>=:][^\s\"'`,;()<>]*)"
+#: Letters drawn at random surprise by log(26) = 3.26 nats a letter at least on average; words by clearly less.
+WORD_SURPRISE = 2.75
 _PLACEHOLDER_PATH = r"test|example|sample|fixture|mock|doc"
 
 FEATURES = [
@@ -38,20 +46,31 @@ FEATURES = [
 def find_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """One row per candidate: key, position (number of the word), candidate, path, before (up to three words), after.
 
-    Null or empty texts have none; a null path is empty. Every candidate of a word that holds several is found.
+    Null or empty texts have none; a null path is empty. Every candidate of a word that holds several is found. A value after a
+    secret word is one at any length, unless it holds a longer candidate or is part of it.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).cast("string").alias("_t"))
-    rows = rows.filter(F.col("_t").rlike(_RUN)).withColumn("_w", F.split("_t", r"\s+"))
-    hits = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x.w.rlike(_RUN) & x.w.rlike("[0-9]"))
+    rows = rows.withColumn("_s", F.col("_t").rlike(f"(?i){SECRET_WORDS}")).filter(F.col("_s") | F.col("_t").rlike(_RUN))
+    rows = rows.withColumn("_w", F.split("_t", r"\s+"))
+    at = lambda i: F.coalesce(F.get("_w", i), F.lit(""))
+    follows = lambda i: at(i - 1).rlike(_KEY) | (at(i - 1).rlike(_SIGNS) & at(i - 2).rlike(_KEY))
+    hits = F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"), (F.col("_s") & follows(i) & ~w.rlike(_SIGNS)).alias("f")))
+    hits = F.filter(hits, lambda x: x.f | x.w.rlike(_RUN) | (F.col("_s") & x.w.rlike(_OWN_VALUE)))
     rows = rows.select("_key", "path", "_w", F.explode(hits).alias("h"))
     i = F.col("h.i")
-    beside = lambda k: F.coalesce(F.get("_w", i + k), F.lit(""))
+    beside = lambda k: at(i + k)
     rows = rows.select(
         "_key", "path", i.cast("long").alias("position"), F.col("h.w").alias("word"),
         F.lower(F.concat_ws(" ", beside(-3), beside(-2), beside(-1))).alias("before"), F.lower(beside(1)).alias("after"),
-        F.posexplode(F.regexp_extract_all("h.w", F.lit(f"({_RUN})"))).alias("part", "candidate"),
-    )
-    return rows.filter(F.col("candidate").rlike("[0-9]")).withColumnRenamed("_key", key)
+        F.regexp_extract_all("h.w", F.lit(f"({_RUN})")).alias("_runs"),
+        F.array_distinct(F.concat(
+            F.when(F.col("h.f"), F.array(F.regexp_extract("h.w", _VALUE, 1))).otherwise(F.array().cast("array<string>")),
+            F.regexp_extract_all("h.w", F.lit(_OWN_VALUE), 1),
+        )).alias("_values"),
+    )
+    apart = F.filter("_values", lambda v: (v != "") & ~F.exists("_runs", lambda x: v.contains(x) | x.contains(v)))
+    rows = rows.select("_key", "path", "position", "word", "before", "after", F.posexplode(F.concat("_runs", apart)).alias("part", "candidate"))
+    return rows.withColumnRenamed("_key", key)
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -99,9 +118,9 @@ def with_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
         c.rlike("^[0-9a-fA-F]+$").cast("double").alias("hexadecimal"),
         F.when(F.size(letters) > 0, surprise / F.size(letters)).otherwise(F.lit(0.0)).alias("surprise"),
         F.length("path").cast("double").alias("path_length"), F.lower("path").rlike(_PLACEHOLDER_PATH).cast("double").alias("path_dummy"),
-        F.col("before").rlike(SECRET_WORDS).cast("double").alias("word_secret"),
+        (F.col("before").rlike(SECRET_WORDS) | F.col("word").rlike(_OWN_VALUE)).cast("double").alias("word_secret"),
         (F.col("before").rlike(DUMMY_WORDS) | F.col("after").rlike(DUMMY_WORDS)).cast("double").alias("word_dummy"),
-        (F.col("before").rlike(r"[=:]\W*$") | F.col("word").rlike(r"^[^\s]*[=:][\"']")).cast("double").alias("assigned"),
+        (F.col("before").rlike(r"[=:]\W*$") | F.col("word").rlike(r"^[^\s]*[=:][\"']") | F.col("word").rlike(_OWN_VALUE)).cast("double").alias("assigned"),
         F.col("word").rlike("[\"'`]").cast("double").alias("quoted"), F.length("after").cast("double").alias("next_length"),
         F.regexp_extract_all(low, F.lit("([a-z]{4,})")).alias("_parts"), F.xxhash64("candidate").alias("_c"),
     )
@@ -113,19 +132,21 @@ def with_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
 
 def weak_labels(findings: DataFrame) -> DataFrame:
     """Labelled findings where a careful rule can tell: an assigned, quoted value after a secret word is one; host names, file
-    names, addresses and plain numbers are none. Others have no label and are left out."""
+    names, addresses, plain numbers and words of running text are none. Others have no label and are left out."""
     real = (F.col("word_secret") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.col("word_dummy") == 0)
     no = F.col("candidate").rlike(r"^[0-9.\-]+$") | F.col("candidate").rlike(r"\.(com|org|net|html?|pdf|png|jpg)$")
-    return findings.withColumn("label", F.when(no, 0.0).when(real, 1.0)).filter("label is not null")
+    prose = F.col("candidate").rlike(r"^[A-Z]?[a-z]+[.]?$") & (F.col("assigned") == 0) & (F.col("quoted") == 0) & (F.col("surprise") < WORD_SURPRISE)
+    return findings.withColumn("label", F.when(no, 0.0).when(real, 1.0).when(prose, 0.0)).filter("label is not null")
 
 
 def fit_forest(labelled: DataFrame):
-    """A forest for findings with FEATURES and label (0 or 1), or the only label's value, or None without any."""
+    """A forest for findings with FEATURES and label (0 or 1), or None unless both labels occur: one alone tells nothing apart."""
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        return next(iter(counts), None)
-    share = min(1.0, TRAIN_FINDINGS / sum(counts.values()))
-    chosen = labelled.filter(F.pmod(F.xxhash64("candidate", "before", "after", "path"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+        return None
+    # Half of the sample for each label, so that the rarer one is not lost in the other.
+    share = F.when(F.col("label") == 1.0, F.lit(min(1.0, TRAIN_FINDINGS / 2 / counts[1.0]))).otherwise(F.lit(min(1.0, TRAIN_FINDINGS / 2 / counts[0.0])))
+    chosen = labelled.filter(F.pmod(F.xxhash64("candidate", "before", "after", "path"), F.lit(1_000_000)) < share * 1_000_000)
     if chosen.select("label").distinct().count() < 2:
         chosen = labelled
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen).select("features", "label")
@@ -133,11 +154,10 @@ def fit_forest(labelled: DataFrame):
 
 
 def score(findings: DataFrame, forest) -> DataFrame:
-    """The findings with probability and is_secret (probability of at least one half). Without a label to learn from
-    nothing is removed: the probability is null and every finding a secret."""
-    if forest is None or isinstance(forest, float):
-        p = F.lit(forest).cast("double")
-        return findings.withColumn("probability", p).withColumn("is_secret", F.coalesce(p >= 0.5, F.lit(True)))
+    """The findings with probability and is_secret (probability of at least one half). Without labels of both kinds to learn
+    from nothing is removed: the probability is null and every finding a secret."""
+    if forest is None:
+        return findings.withColumn("probability", F.lit(None).cast("double")).withColumn("is_secret", F.lit(True))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings)
     rows = forest.transform(rows).withColumn("probability", F.round(vector_to_array("probability")[1], 9))
     return rows.withColumn("is_secret", F.col("probability") >= 0.5).drop("features", "rawPrediction", "prediction")

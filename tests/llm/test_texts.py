@@ -163,3 +163,26 @@ def test_names_and_forms_do_not_remove_the_article():
     assert tag_paths.main_text(f'<body><aside><article><p>Short, too.</p></article></aside><main>{ARTICLE}</main><div id="comments"><p>Thanks, all.</p></div></body>') == want
     for tag in ("noscript", "select", "svg", "video"):
         assert tag_paths.main_text(f"<body><{tag}><{tag}>{ARTICLE}") == want
+
+
+def test_secrets_without_digits_short_ones_and_one_label(spark):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    prose = "understandings misunderstandings standing under this international administration of internationalisation"
+    keys = {100 + i: letters(32) for i in range(30)}
+    short = {200: "hunter2", 201: "p@ss-w0rd!", 202: "Xk9q", 203: "zQvKw"}
+    rows = [(i, f"{prose} number {i}", "s") for i in range(60)] + [(i, f'some words here token = "{k}" and more', "s") for i, k in keys.items()]
+    rows += [(200, 'its password = "hunter2" now', "s"), (201, 'the {"password":"p@ss-w0rd!"} there', "s"), (202, "pwd=Xk9q", "s"), (203, "password: zQvKw, then", "s")]
+    rows += [(300, "write to mail1.example.host.com for news", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.with_features(secrets.find_candidates(docs), secrets.dictionary(docs)).cache()
+    out = secrets.score(found, secrets.fit_forest(secrets.weak_labels(found))).collect()
+    of = lambda i: {r.candidate: r.is_secret for r in out if r.doc_id == i}
+    assert all(of(i) == {k: True} for i, k in keys.items())
+    assert all(set(of(i)) == {k} for i, k in short.items()) and of(200)["hunter2"] and of(201)["p@ss-w0rd!"]
+    assert all(of(i) and not any(of(i).values()) for i in range(60))
+    # Of one kind only: nothing is removed.
+    hosts = secrets.weak_labels(found).filter("doc_id = 300")
+    got = secrets.score(found, secrets.fit_forest(hosts)).select("probability", "is_secret").distinct().collect()
+    assert hosts.count() == 1 and [(r.probability, r.is_secret) for r in got] == [(None, True)]
+    found.unpersist()
