@@ -6,12 +6,17 @@ all others as named users, system turns as system. The loss mask covers what the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.operators.scan import row_rank, running_sum
+from attesta.session import cut_lineage
+
 #: Marks of the chat format (fixed values).
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 _SYSTEM = "system"
+#: A piece of a conversation takes the turns that begin within so many code points.
+SEGMENT_CHARS = 1 << 20
 
 
 def _escaped(c: Column) -> Column:
@@ -19,15 +24,15 @@ def _escaped(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
-def rotate_perspectives(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation and participant: the conversation, perspective, n_turns, rendered, n_chars, mask
-    (array of start and end in code points, end exclusive), mask_chars.
+def perspective_segments(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
+    """Conversations from every participant's side in pieces: the conversation, perspective, segment, n_turns, rendered, mask (array of start and
+    end in code points of the whole text, end exclusive).
 
     Participants are the distinct speakers other than ``system``. Null texts are empty, null speakers are called
     ``unknown``, turns are ordered by number (null first), then speaker and text; repeated rows are repeated turns.
     Turns without a conversation form one of their own with a null id. A conversation with system turns
-    only has no participant and no row. Marks inside texts and names are broken up, line ends in names too. A
-    conversation becomes one row for each participant, so it has to fit in memory as a text; nothing else is collected.
+    only has no participant and no row. Marks inside texts and names are broken up, line ends in names too. Joined in the order of
+    ``segment`` the pieces are the whole text. A piece takes turns of about ``SEGMENT_CHARS``, at least one; no task sees a conversation as a whole.
     """
     name = F.regexp_replace(_escaped(F.coalesce(F.col(speaker).cast("string"), F.lit("unknown"))), r"[\r\n]+", " ")
     rows = turns.select(
@@ -35,26 +40,26 @@ def rotate_perspectives(turns: DataFrame, conversation: str = "conv_id", turn: s
         F.col(turn).alias("_turn"),
         name.alias("_name"),
         _escaped(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_text"),
+        # Tells equal turns apart; which of them comes first does not matter.
+        F.monotonically_increasing_id().alias("_row"),
     )
-    rest = F.concat(F.lit("\n"), F.col("_text"), F.lit(CLOSE + "\n"))
-    system = F.col("_name") == _SYSTEM
-    user_head = F.when(system, F.lit(OPEN + _SYSTEM)).otherwise(F.concat(F.lit(OPEN + "user name="), F.col("_name")))
+    user_head = F.when(F.col("_name") == _SYSTEM, F.lit(OPEN + _SYSTEM)).otherwise(F.concat(F.lit(OPEN + "user name="), F.col("_name")))
     own_head = len(OPEN + "assistant")
     # Where a turn stands if its speaker is the assistant: all turns before at their length as a user, and the speaker's own
-    # turns before by how much shorter or longer their head is. Running sums keep this linear in the turns.
-    n = F.char_length(rest).cast("long")
-    as_user = F.char_length(user_head).cast("long") + n
-    order = ("_turn", "_name", "_text")
-    before = Window.partitionBy("_conv").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own_before = Window.partitionBy("_conv", "_name").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_all", F.coalesce(F.sum(as_user).over(before), F.lit(0)))
-    placed = placed.withColumn("_own", F.coalesce(F.sum(F.lit(own_head).cast("long") - F.char_length(user_head)).over(own_before), F.lit(0)))
-    start = F.col("_all") + F.col("_own") + own_head + 1
-    end = start + F.char_length("_text") + len(CLOSE)
-    entry = F.struct("_turn", "_name", "_text", start.alias("start"), end.alias("end"))
-    talks = placed.groupBy("_conv").agg(F.array_sort(F.collect_list(entry)).alias("t"))
-    people = F.array_sort(F.array_distinct(F.filter(F.transform("t", lambda x: x["_name"]), lambda x: x != _SYSTEM)))
-    each = talks.select("_conv", "t", F.explode(people).alias("perspective"))
+    # turns before by how much shorter or longer their head is. Both are running sums over ranges, however long a conversation is.
+    as_user = F.char_length(user_head).cast("long") + F.char_length("_text") + len(CLOSE) + 2
+    placed = running_sum(rows, as_user, [F.col("_turn"), F.col("_name"), F.col("_text"), F.col("_row")], "_upto", ["_conv"])
+    placed = placed.select("_conv", "_name", "_text", (F.col("_upto") - as_user).alias("_all"))
+    placed = row_rank(placed, [F.col("_all")], "_nth", ["_conv", "_name"])
+    start = F.col("_all") + (F.col("_nth") - 1) * (F.lit(own_head).cast("long") - F.char_length(user_head)) + own_head + 1
+    entry = F.struct("_all", "_name", "_text", start.alias("start"), (start + F.char_length("_text") + len(CLOSE)).alias("end"))
+    # A null conversation is a key like any other.
+    key = F.when(F.col("_conv").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("_conv").cast("string"))).alias("_key")
+    pieces = placed.groupBy("_conv", F.floor(F.col("_all") / SEGMENT_CHARS).alias("segment")).agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    pieces = cut_lineage(pieces.select(key, "_conv", "segment", "t"))
+    people = pieces.select("_key", F.explode("t._name").alias("perspective")).filter(F.col("perspective") != _SYSTEM).distinct()
+    # Participants meet the numbers of the pieces first; the texts are then dealt out by piece, not by conversation.
+    each = pieces.join(people.join(pieces.select("_key", "segment"), "_key"), ["_key", "segment"])
     head = lambda x: (
         F.when(x["_name"] == F.col("perspective"), F.lit(OPEN + "assistant"))
         .when(x["_name"] == _SYSTEM, F.lit(OPEN + _SYSTEM))
@@ -63,13 +68,28 @@ def rotate_perspectives(turns: DataFrame, conversation: str = "conv_id", turn: s
     rendered = F.array_join(F.transform("t", lambda x: F.concat(head(x), F.lit("\n"), x["_text"], F.lit(CLOSE + "\n"))), "")
     own = F.filter("t", lambda x: x["_name"] == F.col("perspective"))
     mask = F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    out = each.select("_conv", "perspective", F.size("t").cast("long").alias("n_turns"), rendered.alias("rendered"), mask.alias("mask"))
-    total = F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return out.select(
-        F.col("_conv").alias(conversation), "perspective", "n_turns", "rendered", F.char_length("rendered").cast("long").alias("n_chars"), "mask", total.alias("mask_chars")
+    return each.select(
+        F.col("_conv").alias(conversation), "perspective", "segment", F.size("t").cast("long").alias("n_turns"), rendered.alias("rendered"), mask.alias("mask")
     )
 
 
+def rotate_perspectives(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
+    """One row per conversation and participant: the conversation, perspective, n_turns, rendered, n_chars, mask
+    (array of start and end in code points, end exclusive), mask_chars.
+
+    The pieces of ``perspective_segments`` joined: here, and only here, a conversation has to fit in a row as a text.
+    """
+    pieces = perspective_segments(turns, conversation, turn, speaker, text)
+    whole = pieces.groupBy(conversation, "perspective").agg(F.array_sort(F.collect_list(F.struct("segment", "n_turns", "rendered", "mask"))).alias("p"))
+    out = whole.select(
+        conversation, "perspective",
+        F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n_turns"]).alias("n_turns"),
+        F.array_join(F.col("p.rendered"), "").alias("rendered"), F.flatten("p.mask").alias("mask"),
+    )
+    total = F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select(conversation, "perspective", "n_turns", "rendered", F.char_length("rendered").cast("long").alias("n_chars"), "mask", total.alias("mask_chars"))
+
+
 def op8_perspectives(spark, sf_dir: str) -> DataFrame:
     """All conversations from every participant's side; spans as text, so that SQL can be held against it."""
     out = rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -186,3 +186,22 @@ def test_secrets_without_digits_short_ones_and_one_label(spark):
     got = secrets.score(found, secrets.fit_forest(hosts)).select("probability", "is_secret").distinct().collect()
     assert hosts.count() == 1 and [(r.probability, r.is_secret) for r in got] == [(None, True)]
     found.unpersist()
+
+
+def test_perspectives_in_bounded_pieces(spark, monkeypatch):
+    """No piece is longer than the bound and one turn; joined they are the whole, also for turns without a conversation."""
+    rng = random.Random(8)
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(c, rng.choice([None, k // 2]), rng.choice(["ann", "bob", "system", None, "c"]), "y" * rng.randint(0, 60)) for c in (1, None, 2) for k in range(150)]
+    df = spark.createDataFrame(rows, schema)
+    by = lambda: {(r.conv_id, r.perspective): (r.n_turns, r.rendered, r.mask, r.n_chars, r.mask_chars) for r in chat.rotate_perspectives(df).collect()}
+    whole = by()
+    monkeypatch.setattr(chat, "SEGMENT_CHARS", 300)
+    assert by() == whole and len(whole) == 12
+    pieces = chat.perspective_segments(df).collect()
+    assert max(len(p.rendered) for p in pieces) < 600 and len(pieces) > 200
+    ordered = lambda c: sorted((t if t is not None else -1, n or "unknown", x) for i, t, n, x in rows if i == c)
+    for (c, who), (n, rendered, mask, _, _) in whole.items():
+        head = lambda s: "assistant" if s == who else s if s == "system" else f"user name={s}"  # noqa: E731, B023
+        assert rendered == "".join(f"<|im_start|>{head(s)}\n{x}<|im_end|>\n" for _, s, x in ordered(c)) and n == 150
+        assert [rendered[a:b] for a, b in mask] == [f"{x}<|im_end|>" for _, s, x in ordered(c) if s == who]
