@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from attesta.session import cut_lineage
 
-#: Training uses about this many labelled texts, dealt by hash; whole texts.
+#: Training uses about this many labelled texts, of each language in equal shares as far as it has them, dealt by hash; whole texts.
 TRAIN_TEXTS = 20_000
 #: Entries of the model for each language and length (words count as one length).
 MODEL_ENTRIES = 20_000
@@ -43,6 +43,17 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def even_bound(counts: list[int], total: int) -> float:
+    """How many of each count to take at most, so that all together are ``total`` (or all there are)."""
+    left, bound = float(total), float(total)
+    for k, n in enumerate(sorted(counts)):
+        bound = left / (len(counts) - k)
+        if n > bound:
+            break
+        left -= n
+    return bound
+
+
 def train(labelled: DataFrame, text: str, lang: str, key: str) -> Model:
     """A model from labelled texts.
 
@@ -51,9 +62,13 @@ def train(labelled: DataFrame, text: str, lang: str, key: str) -> Model:
     """
     rows = labelled.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
-    count = rows.select("lang").count()
-    share = min(1.0, TRAIN_TEXTS / max(count, 1))
-    part = rows.filter(F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), F.lit(7)), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    # One row per language.
+    texts_of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(1.0)
+    if sum(texts_of.values()) > TRAIN_TEXTS:
+        bound = even_bound(list(texts_of.values()), TRAIN_TEXTS)
+        share = F.element_at(F.create_map(*(F.lit(x) for g, n in sorted(texts_of.items()) for x in (g, min(1.0, bound / n)))), F.col("lang"))
+    part = rows.filter(F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,13 +100,18 @@ def train(labelled: DataFrame, text: str, lang: str, key: str) -> Model:
     entries: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
     scores: list[list[np.ndarray]] = [[] for _ in range(LONGEST + 1)]
     for r in floors:
-        least, kept = 0, 0
+        # Counts from ``least`` on fit whole; of those with the next count as many as still fit, by a hash order.
+        least, kept, step_c = 0, 0, 0
         for step in r.steps:
-            kept += step.entries
-            if kept > MODEL_ENTRIES:
+            if kept + step.entries > MODEL_ENTRIES:
+                step_c = step.c
                 break
+            kept += step.entries
             least = step.c
-        own = counts.filter((F.col("lang") == r.lang) & (F.col("n") == r.n) & (F.col("c") >= least if least else F.lit(False))).select("entry", "c").collect()
+        these = counts.filter((F.col("lang") == r.lang) & (F.col("n") == r.n)).select("entry", "c")
+        own = these.filter(F.col("c") >= least).collect() if least else []
+        if step_c:
+            own += these.filter(F.col("c") == step_c).orderBy(F.xxhash64("entry"), "entry").limit(MODEL_ENTRIES - kept).collect()
         total = sum(x.c for x in own) or 1
         at, place, rows_of = langs.index(r.lang), entries[r.n], scores[r.n]
         for x in own:

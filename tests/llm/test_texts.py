@@ -205,3 +205,17 @@ def test_perspectives_in_bounded_pieces(spark, monkeypatch):
         head = lambda s: "assistant" if s == who else s if s == "system" else f"user name={s}"  # noqa: E731, B023
         assert rendered == "".join(f"<|im_start|>{head(s)}\n{x}<|im_end|>\n" for _, s, x in ordered(c)) and n == 150
         assert [rendered[a:b] for a, b in mask] == [f"{x}<|im_end|>" for _, s, x in ordered(c) if s == who]
+
+
+def test_rare_languages_and_shared_counts_are_learned(spark, monkeypatch):
+    """A language with few texts among many is learned from all of them, and a step of equal counts fills the model up to its bound."""
+    monkeypatch.setattr(language, "TRAIN_TEXTS", 60)
+    rows = [(i, "the house and the garden", "en") for i in range(3000)] + [(5000 + i, "talo ja puutarha", "fi") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, "text", "lang", "doc_id")
+    got = language.predict(spark.createDataFrame([(1, "puutarha"), (2, "garden")], "doc_id long, text string"), model).collect()
+    assert model.langs == ["en", "fi"] and {r.doc_id: r.lang_pred for r in got} == {1: "fi", 2: "en"}
+    assert [language.even_bound(c, 60) for c in ([3000, 4], [10, 20], [100, 100, 100])] == [56.0, 50.0, 20.0]
+    monkeypatch.setattr(language, "MODEL_ENTRIES", 2)
+    small = language.train(spark.createDataFrame([(1, "abcd efgh ijkl", "en")], "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert [len(e) for e in small.entries] == [2] * 5
