@@ -288,8 +288,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Documents are linked when 100 * common >= ``percent`` * union over their sets of ``size``-word shingles (A-Z lower-cased,
     words ended by ASCII white space). Fewer words make one shingle; no word or a null text makes an empty set, linked with nothing. component_id
-    is the smallest id reachable. Rows with one id are one document, linked if any of their texts is. Rows
-    without an id have a null component and are kept.
+    is the smallest id reachable. Rows that share an id but not their text are not linked by it: each row gets
+    the component of the smallest id that has its set. Rows without an id have a null component and are kept.
     """
     similarity = percent / 100
     space = Workspace(docs.sparkSession)
@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         *_CLASS, "members", F.coalesce("component", "id").alias("component_id")
     )
     out = join_weighted(sketched.select("id", *_CLASS), groups, _CLASS, "members", total, F.col("id"))
-    # Rows that share an id but not their text: the document has the smallest component of its texts.
+    # Rows that share an id but not their text may get different components.
     out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     )

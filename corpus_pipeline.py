@@ -46,9 +46,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, once."""
+    """One document of each group of near duplicates: the one with the smallest id, once. Of several texts with one id the longest
+    stays, then the first in order; then the other columns decide."""
     kept = near_duplicates(docs).filter("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.join(kept, "doc_id", "left_semi")
+    # A fixed choice: aggregated in each task first, so that many copies of one id do not meet in one.
+    order = F.struct(-F.coalesce(F.length("text"), F.lit(-1)), "text", *others)
+    return rows.groupBy("doc_id").agg(F.min(order).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from attesta.llm import components, decontaminate, hyperminhash, line_windows, skew
 from attesta.llm.queries import ORACLES, QUERIES
+from attesta.llm.workspace import Workspace
 from compare import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -224,3 +225,36 @@ def test_bands_reach_similarity_of_four_fifths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.id: r.component_id for r in hyperminhash.near_duplicates(docs, percent=80).collect()}
     assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_crowded_band_in_a_workspace_loses_no_pair(spark):
+    """All documents in one band, steps written as tables: every pair alike from different components is proposed."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base, spots = [word() for _ in range(120)], [rng.randrange(120) for _ in range(8)]
+    texts = []
+    for _ in range(80):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.choice(spots) if rng.random() < 0.6 else rng.randrange(120)] = word()
+        texts.append(" ".join(copy[rng.choice([0, 0, 5, 12]) :]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = hyperminhash.sketches(df, "doc_id", "text").groupBy("n_shingles", "k1", "k2").agg(F.min("id").alias("id"))
+    component = {r.id: 0 if r.id < 30 else r.id for r in classes.collect()}
+    crowded = spark.createDataFrame([(7, i, c) for i, c in component.items()], "band long, id long, component long")
+    space = Workspace(spark)
+    found = {(r.a, r.b) for r in hyperminhash._across(space, crowded, classes, df.toDF("id", "text"), 0.85, 5).collect()}
+    space.remove()
+    sets = {i: shingles(texts[i]) for i in component}
+    apart = [(i, j) for i in sets for j in sets if i < j and component[i] != component[j]]
+    alike = {(i, j) for i, j in apart if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert alike and alike <= found and len(found) < len(apart)
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    """Rows with one id but unlike texts: the longest text stays, then the first in order, in whatever order rows come."""
+    rows = [(1, "a b c d e f"), (1, "q w e r t y u i o p"), (2, "x y z u v w"), (2, "x y z u v a")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()) == [(1, "q w e r t y u i o p"), (2, "x y z u v a")]
