@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm.bpe import op9_bpe
 from attesta.llm.chat import PERSPECTIVES_SQL, op8_perspectives
+from attesta.llm.collocations import COLLOCATIONS_SQL, op11_collocations
 from attesta.llm.decontaminate import op1_decontaminate
 from attesta.llm.hyperminhash import op2_hyperminhash
 from attesta.llm.imatch import op3_imatch
@@ -28,6 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_perspectives": op8_perspectives,
     "op9_bpe": op9_bpe,
     "op10_tag_paths": op10_tag_paths,
+    "op11_collocations": op11_collocations,
 }
 
-ORACLES: dict[str, str] = {"op4_line_windows": LINE_WINDOWS_SQL, "op5_warc": WARC_SQL, "op8_perspectives": PERSPECTIVES_SQL}
+ORACLES: dict[str, str] = {
+    "op4_line_windows": LINE_WINDOWS_SQL,
+    "op5_warc": WARC_SQL,
+    "op8_perspectives": PERSPECTIVES_SQL,
+    "op11_collocations": COLLOCATIONS_SQL,
+}
