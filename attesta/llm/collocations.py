@@ -27,7 +27,9 @@ from attesta.operators.topk import top_k
 #: longer one must have to stand for it; phrases reported per language.
 LEAST, LONGEST, INSIDE, TOP = 10, 3, 50, 2_000
 #: Distinct phrases that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 18
+#: Rows of a batch that a task hands on.
+BATCH = 1 << 16
 
 _BREAKS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", dtype=np.uint8)
 _IN_WORD = np.ones(256, dtype=bool)
@@ -112,7 +114,7 @@ class _Counts:
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(self._merged(list(columns)))
         self.size += len(self.parts[-1][0])
-        if self.size > 2 * HELD:
+        if self.size > HELD:
             self.fold()
 
     def fold(self) -> None:
@@ -149,11 +151,12 @@ def _partial_counts(docs: DataFrame, size: int, filters, bits: int) -> DataFrame
         def out() -> Iterator[pa.RecordBatch]:
             found = counts.taken()
             if found is not None and len(found[0]):
-                first, second, lang, n, doc = found
-                strings = pa.array(names, pa.string()).take(pa.array(lang))
-                yield pa.RecordBatch.from_arrays(
-                    [strings, pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(n), pa.array(doc)], ["lang", "fp", "check", "n", "doc"]
-                )
+                for at in range(0, len(found[0]), BATCH):
+                    first, second, lang, n, doc = (c[at : at + BATCH] for c in found)
+                    strings = pa.array(names, pa.string()).take(pa.array(lang))
+                    yield pa.RecordBatch.from_arrays(
+                        [strings, pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(n), pa.array(doc)], ["lang", "fp", "check", "n", "doc"]
+                    )
 
         for batch in batches:
             doc = batch.column(0).to_numpy()
@@ -179,8 +182,8 @@ def _partial_counts(docs: DataFrame, size: int, filters, bits: int) -> DataFrame
                 owner = g.words.owner[at]
                 first, second = g.prints(at, size)
                 counts.add(first, second, index[texts][owner], np.ones(len(at), dtype=np.int64), doc[texts][owner])
-            if counts.size > HELD:
-                yield from out()
+                if counts.size > HELD:
+                    yield from out()
         yield from out()
         if size == 1 and names:
             none = pa.nulls(len(names), pa.int64())
