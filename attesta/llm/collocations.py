@@ -194,9 +194,9 @@ def _partial_counts(docs: DataFrame, size: int, filters, bits: int) -> DataFrame
 
 def _counted(space: Workspace, docs: DataFrame, size: int, filters, least: int, bits: int) -> DataFrame:
     """size, lang, fp, check, n, doc of the phrases with ``least`` occurrences, and the rows without fp."""
-    sums = _partial_counts(docs, size, filters, bits).groupBy("lang", "fp").agg(
-        F.sum("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc").alias("doc")
-    )
+    # Each task has counted what it can; counting its rows once more before the shuffle would only take memory.
+    partial = _partial_counts(docs, size, filters, bits).repartition("lang", "fp")
+    sums = partial.groupBy("lang", "fp").agg(F.sum("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc").alias("doc"))
     sums = space.write(sums.filter((F.col("n") >= least) | F.col("fp").isNull()))
     columns = ["lang", "fp", "check", "n", "doc"]
     out = sums.filter("fp is null or check = other").select(*columns)
