@@ -15,6 +15,7 @@ from attesta.llm.imatch import op3_imatch
 from attesta.llm.language import op7_language
 from attesta.llm.line_windows import LINE_WINDOWS_SQL, op4_line_windows
 from attesta.llm.secrets import op6_secrets
+from attesta.llm.spelling import op12_spelling
 from attesta.llm.tag_paths import op10_tag_paths
 from attesta.llm.warc import WARC_SQL, op5_warc
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_tag_paths": op10_tag_paths,
     "op11_collocations": op11_collocations,
+    "op12_spelling": op12_spelling,
 }
 
 ORACLES: dict[str, str] = {
