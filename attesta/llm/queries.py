@@ -14,6 +14,7 @@ from attesta.llm.hyperminhash import op2_hyperminhash
 from attesta.llm.imatch import op3_imatch
 from attesta.llm.language import op7_language
 from attesta.llm.line_windows import LINE_WINDOWS_SQL, op4_line_windows
+from attesta.llm.passages import op13_passages
 from attesta.llm.secrets import op6_secrets
 from attesta.llm.spelling import op12_spelling
 from attesta.llm.tag_paths import op10_tag_paths
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tag_paths": op10_tag_paths,
     "op11_collocations": op11_collocations,
     "op12_spelling": op12_spelling,
+    "op13_passages": op13_passages,
 }
 
 ORACLES: dict[str, str] = {
