@@ -68,14 +68,28 @@ def stretches(block: bw.Block, length: int = LENGTH, gram: int = GRAM) -> tuple[
     return tuple(np.concatenate(c) for c in found)  # type: ignore[return-value]
 
 
+def _content(block: bw.Block, first: np.ndarray, count: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each stretch and of where its anchor lies in it."""
+    return bw.mix(bw.span_hashes(block.data, first, first + count + length - 1) + (place - first).astype(np.uint64))
+
+
 def _repeated_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """anchor, several: the anchors that occur more than once, and whether with different stretches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in bw.blocks(batch.column(0)):
-                anchors, count = np.unique(stretches(block, length, gram)[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(count)], ["anchor", "n"])
+                first, count, place, anchor = stretches(block, length, gram)
+                content = _content(block, first, count, place, length)
+                order = np.lexsort((content, anchor))
+                a, c = anchor[order], content[order]
+                at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])[: len(a)])
+                n = np.diff(np.append(at, len(a)))
+                yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(c[at].view(np.int64)), pa.array(n)], ["anchor", "content", "n"])
 
-    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = docs.select("text").mapInArrow(run, "anchor long, content long, n long").groupBy("anchor")
+    found = found.agg(F.sum("n").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+    return found.filter("n > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("several"))
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,9 +124,9 @@ def _range_lists(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tup
     return pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pairs), some
 
 
-def _items(docs: DataFrame, table, length: int, gram: int) -> DataFrame:
+def _items(docs: DataFrame, table, several, length: int, gram: int) -> DataFrame:
     """Rows of two kinds. With a key: a stretch whose anchor may be repeated; ``low`` and ``high`` say how far before the anchor its
-    last and its first window begin. Without: ranges of a document that are repeated for certain, because an equal stretch stands earlier in
+    last and its first window begin; it has its bytes if its anchor may have different ones. Without: ranges of a document that are repeated for certain, because an equal stretch stands earlier in
     the same block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +141,7 @@ def _items(docs: DataFrame, table, length: int, gram: int) -> DataFrame:
                 late, ids, hashes = (own.column(i).to_numpy(zero_copy_only=False) for i in range(3))
                 rank = _ranks(late, ids, hashes)
                 owner = np.searchsorted(block.offsets, first, side="right") - 1
-                content = bw.span_hashes(block.data, first, first + count + length - 1)
+                content = _content(block, first, count, place, length)
                 order = np.lexsort((first - block.offsets[owner], rank[owner], place - first, content, anchor))
                 a, c, d = anchor[order], content[order], (place - first)[order]
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
@@ -135,7 +149,7 @@ def _items(docs: DataFrame, table, length: int, gram: int) -> DataFrame:
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
                 r, f = rank[owner[order]], (first - block.offsets[owner])[order]
                 kept, again = order[new], np.sort(order[(r != r[lead]) | (f != f[lead])])
-                raw = block.data.tobytes()
+                raw, compared = block.data.tobytes(), possible(several.value, anchor[kept])
                 doc = owner[kept]
                 columns = [own.column(i).take(pa.array(doc)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +157,7 @@ def _items(docs: DataFrame, table, length: int, gram: int) -> DataFrame:
                         pa.array(anchor[kept].view(np.int64)), *columns, pa.array(first[kept] - block.offsets[doc]),
                         pa.array((place - first - count + 1)[kept].astype(np.int32)), pa.array((place - first)[kept].astype(np.int32)),
                         pa.array(content[kept].view(np.int64)),
-                        pa.array([raw[x : x + k + length - 1] for x, k in zip(first[kept].tolist(), count[kept].tolist(), strict=True)], pa.binary()),
+                        pa.array([raw[x : x + k + length - 1] if c else None for x, k, c in zip(first[kept].tolist(), count[kept].tolist(), compared, strict=True)], pa.binary()),
                         pa.nulls(len(kept), _LIST),
                     ],
                     names,
@@ -242,8 +256,10 @@ def _sorted(sets: DataFrame, length: int) -> DataFrame:
 
 def _repeated_ranges(space: Workspace, docs: DataFrame, length: int, gram: int, crowded: int) -> DataFrame:
     """late, id, own, ranges: repeated ranges of documents, which may overlap; a document may have several rows."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(_repeated_anchors(docs, length, gram), "anchor"))
-    rows = space.write(_items(docs, table, length, gram))
+    anchors = space.write(_repeated_anchors(docs, length, gram))
+    sc = docs.sparkSession.sparkContext
+    table, several = sc.broadcast(bit_table(anchors, "anchor")), sc.broadcast(bit_table(anchors.filter("several"), "anchor"))
+    rows = space.write(_items(docs, table, several, length, gram))
     columns = [*_DOC, "ranges"]
     found = rows.filter("key is null").select(*columns)
     items = rows.filter("key is not null").drop("ranges").withColumn("from", F.lit(0)).withColumn("to", F.lit(length - gram))
@@ -297,8 +313,20 @@ def remove_repeated_passages(
         lists = Workspace(docs.sparkSession).write(lists)
     finally:
         space.remove()
-    joined = slim.join(lists, _DOC, "left").select("late", "id", "text", "ranges")
-    out = joined.mapInArrow(_without, f"late boolean, id long, n_bytes long, spans {_RANGES}, kept binary")
+    # Documents without such ranges need not move.
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(lists, "own"))
+
+    def part(repeated: bool) -> DataFrame:
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(possible(table.value, batch.column(2).to_numpy().view(np.uint64)) == repeated))
+
+        return slim.mapInArrow(some, slim.schema)
+
+    columns = ["late", "id", "text", "ranges"]
+    moved = part(True).join(lists, _DOC, "left").select(*columns)
+    others = part(False).withColumn("ranges", F.lit(None).cast(_RANGES)).select(*columns)
+    out = moved.union(others).mapInArrow(_without, f"late boolean, id long, n_bytes long, spans {_RANGES}, kept binary")
     return out.select(F.when(~F.col("late"), F.col("id")).alias(key), "n_bytes", "spans", "kept")
 
 
