@@ -186,7 +186,7 @@ def _against_main(rows: DataFrame, texts: DataFrame, size: int, room: float) ->
 
 
 def _across(
-    space: Workspace, crowded: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, size: int
+    crowded: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float, size: int, space: Workspace | None = None
 ) -> DataFrame:
     """Pairs of one band but of different components that can be alike. Nothing alike is left out, by two exact bounds.
 
@@ -197,7 +197,15 @@ def _across(
     measure for the band: two documents near it have in common at most what neither lacks of main, and what both have
     beyond it. Either that is enough by the numbers alone, or both must lack some of the same shingles: they meet by those,
     so that the members of a large group are not all compared with each document beside it.
+
+    Steps are written to ``space``. Without one they get their own, which goes once the pairs are written down.
     """
+    if space is None:
+        own = Workspace(crowded.sparkSession)
+        try:
+            return cut_lineage(_across(crowded, classes, texts, similarity, size, own))
+        finally:
+            own.remove()
     ids = crowded.select("id").union(crowded.select("component")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +333,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     crowded = crowd.select("band", "id").join(components, "id", "left")
     crowded = space.write(_mixed(crowded.withColumn("component", F.coalesce("component", "id"))))
     if not crowded.isEmpty():
-        tried = _across(space, crowded, classes, texts, similarity, size)
+        tried = _across(crowded, classes, texts, similarity, size, space)
         found = _confirmed(space.write(_plausible(tried, classes, similarity)), texts, percent, size)
         components = connected_components(links.union(found), "a", "b")
     total = sketched.count()

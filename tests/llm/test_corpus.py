@@ -243,7 +243,7 @@ def test_crowded_band_in_a_workspace_loses_no_pair(spark):
     component = {r.id: 0 if r.id < 30 else r.id for r in classes.collect()}
     crowded = spark.createDataFrame([(7, i, c) for i, c in component.items()], "band long, id long, component long")
     space = Workspace(spark)
-    found = {(r.a, r.b) for r in hyperminhash._across(space, crowded, classes, df.toDF("id", "text"), 0.85, 5).collect()}
+    found = {(r.a, r.b) for r in hyperminhash._across(crowded, classes, df.toDF("id", "text"), 0.85, 5, space=space).collect()}
     space.remove()
     sets = {i: shingles(texts[i]) for i in component}
     apart = [(i, j) for i in sets for j in sets if i < j and component[i] != component[j]]
