@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 
 from attesta.config import ChunkSettings
 from attesta.functions import text as tx
+from attesta.functions.tokens import BY_LENGTH, TokenCounter
 from attesta.functions.urls import chunk_id
 
 _WINDOW = "array<struct<i:int,b:int,t:int>>"
 _RANGES = "array<struct<first:int,last:int,b:int,e:int>>"
+_GROUPS = "array<struct<heading_path:array<string>,start:int,parts:array<string>>>"
 
 
-def pack_sentences(lengths: Column, settings: ChunkSettings) -> Column:
-    """Greedy packing of sentences, given their lengths in characters.
+def pack_sentences(
+    lengths: Column, settings: ChunkSettings, counter: TokenCounter = BY_LENGTH, counts: Column | None = None, text: Column | None = None
+) -> Column:
+    """Greedy packing of sentences, given their lengths in characters, and their tokens (``counts``) and the whole ``text`` unless the
+    counter goes by length.
 
     One pass over the sentences. The state is the open chunk (its sentences and
     where it ends) and the closed ones. A sentence that would push the open
@@ -30,6 +35,19 @@ def pack_sentences(lengths: Column, settings: ChunkSettings) -> Column:
     of ``(first, last, b, e)``: sentence numbers and character offsets.
     """
 
+    if counter.run == "length":
+        items = F.transform(lengths, lambda n: F.struct(n.alias("n"), counter.of_length(n).alias("t")))
+    else:
+        items = F.zip_with(lengths, counts, lambda n, t: F.struct(n.alias("n"), t.cast("int").alias("t")))
+
+    def tokens_of(win: Column, end: Column, more: Column) -> Column:
+        """Tokens of the open chunk up to ``end``; ``more``: those of a sentence that the window does not hold yet."""
+        if counter.run == "length":
+            return counter.of_length(end - win[0]["b"])
+        if counter.run == "sum":
+            return F.aggregate(win, more, lambda total, s: total + s["t"])
+        return counter.count(F.substring(text, win[0]["b"] + 1, end - win[0]["b"]))
+
     def overlap(win: Column) -> Column:
         if settings.overlap_tokens <= 0:
             return F.array().cast(_WINDOW)
@@ -52,10 +70,10 @@ def pack_sentences(lengths: Column, settings: ChunkSettings) -> Column:
             win[0]["i"].alias("first"), (acc["i"] - 1).alias("last"), win[0]["b"].alias("b"), acc["e"].alias("e")
         )
 
-    def step(acc: Column, n: Column) -> Column:
-        end = acc["e"] + n
-        item = F.struct(acc["i"].alias("i"), acc["e"].alias("b"), tx.tokens_of_length(n).alias("t"))
-        fits = tx.tokens_of_length(end - acc["win"][0]["b"]) <= settings.target_tokens
+    def step(acc: Column, s: Column) -> Column:
+        end = acc["e"] + s["n"]
+        item = F.struct(acc["i"].alias("i"), acc["e"].alias("b"), s["t"].alias("t"))
+        fits = tokens_of(acc["win"], end, s["t"]) <= settings.target_tokens
         return F.when(
             (F.size(acc["win"]) == 0) | fits,
             state(acc["closed"], F.array_append(acc["win"], item), end, acc["i"] + 1),
@@ -70,7 +88,7 @@ def pack_sentences(lengths: Column, settings: ChunkSettings) -> Column:
 
     def finish(acc: Column) -> Column:
         last = closing(acc)
-        tiny = tx.tokens_of_length(last["e"] - last["b"]) < settings.min_tokens
+        tiny = tokens_of(acc["win"], last["e"], F.lit(0)) < settings.min_tokens
         n = F.size(acc["closed"])
         before = F.element_at(acc["closed"], -1)
         merged = F.struct(
@@ -81,7 +99,7 @@ def pack_sentences(lengths: Column, settings: ChunkSettings) -> Column:
         ).otherwise(F.array_append(acc["closed"], last))
 
     zero = state(F.array().cast(_RANGES), F.array().cast(_WINDOW), F.lit(0), F.lit(0))
-    return F.aggregate(lengths, zero, step, finish)
+    return F.aggregate(items, zero, step, finish)
 
 
 def heading_groups(blocks: Column) -> Column:
@@ -115,10 +133,8 @@ def heading_groups(blocks: Column) -> Column:
     return tx.let(runs, placed)
 
 
-def _pieces(groups: Column, settings: ChunkSettings) -> Column:
-    """Chunks of all groups in order. Each step names its result in a struct, so
-    that sentences and ranges are computed once per group."""
-    split = F.transform(
+def _split(groups: Column) -> Column:
+    return F.transform(
         groups,
         lambda g: F.struct(
             g["heading_path"].alias("heading_path"),
@@ -126,13 +142,31 @@ def _pieces(groups: Column, settings: ChunkSettings) -> Column:
             tx.sentences(g["text"]).alias("parts"),
         ),
     )
+
+
+def _pieces(split: Column, settings: ChunkSettings, counter: TokenCounter, counted: Column | None) -> Column:
+    """Chunks of all groups in order. Each step names its result in a struct, so
+    that sentences, counts and ranges are computed once per group. ``counted``: tokens of each group's sentences, if they are known."""
+    if counted is not None:
+        split = F.arrays_zip(split.alias("g"), counted.alias("c"))
+    elif counter.run == "length":
+        split = F.transform(split, lambda g: F.struct(g.alias("g")))
+    else:
+        split = F.transform(split, lambda g: F.struct(g.alias("g"), F.transform(g["parts"], counter.count).alias("c")))
+
+    def ranges(g: Column, counts: Column | None) -> Column:
+        lengths = F.transform(g["parts"], lambda s: F.length(s))
+        if counter.run == "text":
+            return tx.let(F.array_join(g["parts"], ""), lambda text: pack_sentences(lengths, settings, counter, counts, text))
+        return pack_sentences(lengths, settings, counter, counts)
+
     packed = F.transform(
         split,
-        lambda g: F.struct(
-            g["heading_path"].alias("heading_path"),
-            g["start"].alias("start"),
-            g["parts"].alias("parts"),
-            pack_sentences(F.transform(g["parts"], lambda s: F.length(s)), settings).alias("ranges"),
+        lambda x: F.struct(
+            x["g"]["heading_path"].alias("heading_path"),
+            x["g"]["start"].alias("start"),
+            x["g"]["parts"].alias("parts"),
+            ranges(x["g"], None if counter.run == "length" else x["c"]).alias("ranges"),
         ),
     )
 
@@ -147,19 +181,26 @@ def _pieces(groups: Column, settings: ChunkSettings) -> Column:
     return F.flatten(F.transform(packed, lambda g: F.transform(g["ranges"], lambda r: cut(g, r))))
 
 
-def chunk_documents(docs: DataFrame, settings: ChunkSettings | None = None) -> DataFrame:
+def chunk_documents(docs: DataFrame, settings: ChunkSettings | None = None, counter: TokenCounter = BY_LENGTH) -> DataFrame:
     """``(url, title, blocks)`` to chunks in :data:`attesta.schemas.CHUNK` form.
 
     ``blocks`` is ``array<struct<heading_path:array<string>,text:string>>``.
-    Other columns of ``docs`` are passed through in front.
+    Other columns of ``docs`` are passed through in front. Sizes in the settings are tokens of ``counter``.
     """
     settings = settings or ChunkSettings()
     extra = [c for c in docs.columns if c not in ("url", "title", "blocks")]
     groups = F.filter(F.when(F.size("blocks") > 0, heading_groups(F.col("blocks"))), lambda g: tx.strip(g["text"]) != "")
     # The outer form, then dropping the empty row: for the plain one the optimizer
     # adds a filter on the array's size that would compute all chunks twice.
+    split, counted = _split(groups), None
+    if counter.batch is not None:
+        # Column names of the caller stay free.
+        split_name, counted_name = (f"_{n}_{len(docs.columns)}_of_chunking" for n in ("split", "counted"))
+        docs = docs.select("*", F.coalesce(split, F.array().cast(_GROUPS)).alias(split_name))
+        docs = docs.withColumn(counted_name, counter.batch(F.transform(split_name, lambda g: g["parts"])))
+        split, counted = F.col(split_name), F.col(counted_name)
     rows = docs.select(
-        *extra, "url", "title", F.posexplode_outer(_pieces(groups, settings)).alias("position", "c")
+        *extra, "url", "title", F.posexplode_outer(_pieces(split, settings, counter, counted)).alias("position", "c")
     ).filter(F.col("position").isNotNull())
     return rows.select(
         *extra,
@@ -168,7 +209,7 @@ def chunk_documents(docs: DataFrame, settings: ChunkSettings | None = None) -> D
         F.coalesce("title", F.lit("")).alias("doc_title"),
         "c.heading_path",
         "c.text",
-        tx.token_count("c.text").alias("token_count"),
+        counter.count(F.col("c.text")).alias("token_count"),
         "position",
         "c.start_char",
         "c.end_char",

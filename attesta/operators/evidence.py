@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.functions.citations import corpus_entry, reference_line
+from attesta.functions.tokens import BY_LENGTH, TokenCounter
 from attesta.operators.scan import row_rank
 from attesta.operators.topk import top_k
 from attesta.session import cut_lineage
@@ -33,9 +34,9 @@ def _entry(number: Column | str | int) -> Column:
     return corpus_entry(number, "url", "heading_path", "claim", "evidence_span", "text")
 
 
-def select_evidence(evidence: DataFrame, budget_tokens: int, by: str | None = None) -> DataFrame:
+def select_evidence(evidence: DataFrame, budget_tokens: int, by: str | None = None, counter: TokenCounter = BY_LENGTH) -> DataFrame:
     """Trim evidence to a token budget, round-robin over the sub-questions. With
-    ``by`` every value of that column has the budget to itself.
+    ``by`` every value of that column has the budget to itself. Entries cost their tokens by ``counter``, one at least.
 
     Entries are visited by (rank within the sub-question, sub-question). One that
     no longer fits is skipped and the visit goes on.
@@ -49,7 +50,10 @@ def select_evidence(evidence: DataFrame, budget_tokens: int, by: str | None = No
     group = [by] if by else []
     ids = [*group, "sub_question_id", "chunk_id"]
     # Ids, scores and costs only: they are read several times, the texts once.
-    priced = cut_lineage(evidence.select(*ids, "rerank_score", tx.token_count(_entry(0)).alias("cost")))
+    cost = F.greatest(F.lit(1), counter.count(_entry(0)))
+    priced = cut_lineage(evidence.select(*ids, "rerank_score", cost.alias("cost")))
+    # No entry is cheaper than its frame by length; by another counter the cheapest one tells how many fit.
+    least = MIN_ENTRY_TOKENS if counter is BY_LENGTH else priced.agg(F.min("cost")).first()[0] or 1
     ranked = row_rank(
         priced,
         [-F.col("rerank_score"), F.col("chunk_id")],
@@ -57,7 +61,7 @@ def select_evidence(evidence: DataFrame, budget_tokens: int, by: str | None = No
         partition=[*group, "sub_question_id"],
     )
     fits = ranked.filter(F.col("cost") <= budget_tokens)
-    most = max(1, budget_tokens // MIN_ENTRY_TOKENS)
+    most = max(1, budget_tokens // least)
     first = top_k(fits, [*group, "cost"], [F.col("rank"), F.col("sub_question_id")], most, salt_on=ids)
     first = first.filter(F.col("rn") <= F.floor(F.lit(budget_tokens) / F.col("cost")))
     visit = first.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("rank", "sub_question_id", "chunk_id", "cost"))).alias("v"))
@@ -74,7 +78,7 @@ def select_evidence(evidence: DataFrame, budget_tokens: int, by: str | None = No
     zero = F.struct(F.lit(0).alias("spent"), F.array().cast(kept_type).alias("kept"))
     walked = visit.select(*group, F.posexplode_outer(F.aggregate("v", zero, step)["kept"]).alias("visit_no", "k"))
     chosen = walked.filter(F.col("k").isNotNull()).select(*group, "visit_no", "k.*")
-    # At most budget / MIN_ENTRY_TOKENS rows per budget, here and in the result.
+    # At most budget / least rows per budget, here and in the result.
     return cut_lineage(evidence.join(F.broadcast(chosen), ids))
 
 

@@ -17,6 +17,7 @@ from attesta.functions import simhash as sh
 from attesta.functions import text as tx
 from attesta.functions import urls
 from attesta.functions import vectors as vec
+from attesta.functions.tokens import WORDS
 from attesta.operators import chunking, dedup, evidence, extract, ledger, neardup, quantile, report, retrieve, sections
 from attesta.operators import triage, verify
 from attesta.operators.topk import top_k
@@ -268,6 +269,14 @@ def chunk_sectioned_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _chunk_view(chunking.chunk_documents(_line_documents(spark, sf), SMALL_CHUNKS))
 
 
+@query
+def chunk_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks measured in words instead of characters."""
+    docs = src.document_rows(spark, sf)
+    blocks = chunking.as_single_block(docs, src.document_url(), F.lit(""), F.col("text"), "doc_id", "source")
+    return _chunk_view(chunking.chunk_documents(blocks, ChunkSettings(100, 20, 15), WORDS))
+
+
 # ---- near duplicates
 
 

@@ -57,29 +57,33 @@ parts AS (
 ),
 lens AS (SELECT *, list_transform(parts, lambda p: length(p)) AS L FROM parts),
 ends AS (
-  SELECT doc_id, g, L, list_transform(range(1, len(L) + 1), lambda i: list_sum(L[1:i])::BIGINT) AS E,
-         list_transform(L, lambda x: greatest(1, x // 4)) AS T FROM lens
+  SELECT doc_id, g, L, parts, list_transform(range(1, len(L) + 1), lambda i: list_sum(L[1:i])::BIGINT) AS E,
+         {tokens} AS T FROM lens
+),
+totals AS (SELECT *, list_transform(range(1, len(L) + 1), lambda i: list_sum(T[1:i])::BIGINT) AS C FROM ends),
+spans AS (
+  SELECT *, list_transform(range(1, len(L) + 1), lambda i: E[i] - L[i]) AS B,
+         list_transform(range(1, len(L) + 1), lambda i: C[i] - T[i]) AS D FROM totals
 ),
-spans AS (SELECT *, list_transform(range(1, len(L) + 1), lambda i: E[i] - L[i]) AS B FROM ends),
 pack AS (
   SELECT doc_id, g, 1::BIGINT AS first, 1::BIGINT AS n,
-         greatest(1, len(list_filter(E, lambda x: greatest(1, x // 4) <= {target})))::BIGINT AS last FROM spans
+         greatest(1, len(list_filter({upto}, lambda x: {size} <= {target})))::BIGINT AS last FROM spans
   UNION ALL
   SELECT doc_id, g, nf, n + 1,
-         greatest(last + 1, len(list_filter(E, lambda x: greatest(1, (x - B[nf]) // 4) <= {target})))::BIGINT
+         greatest(last + 1, len(list_filter({upto}, lambda y: {later} <= {target})))::BIGINT
   FROM (
-    SELECT p.doc_id, p.g, p.n, p.last, s.E, s.B,
+    SELECT p.doc_id, p.g, p.n, p.last, s.E, s.B, s.C, s.D,
       CASE WHEN p.last = p.first THEN p.last + 1
            ELSE coalesce(list_max(list_filter(range(p.first + 1, p.last + 1), lambda j: list_sum(s.T[j:p.last]) >= {overlap})),
                          p.first + 1) END::BIGINT AS nf
     FROM pack p JOIN spans s USING (doc_id, g) WHERE p.last < len(s.E))
 ),
 sized AS (
-  SELECT p.doc_id, p.g, p.n, p.first, p.last, s.B[p.first] AS b, s.E[p.last] AS e, count(*) OVER w AS cnt,
+  SELECT p.doc_id, p.g, p.n, p.first, p.last, s.B[p.first] AS b, s.E[p.last] AS e, s.{upto}[p.last] - s.{before}[p.first] AS x, count(*) OVER w AS cnt,
          max(p.n) OVER w AS top
   FROM pack p JOIN spans s USING (doc_id, g) WINDOW w AS (PARTITION BY p.doc_id, p.g)
 ),
-tail AS (SELECT doc_id, g, e AS tail_e, cnt > 1 AND greatest(1, (e - b) // 4) < {least} AS merged FROM sized WHERE n = top),
+tail AS (SELECT doc_id, g, e AS tail_e, cnt > 1 AND {size} < {least} AS merged FROM sized WHERE n = top),
 packed AS (
   SELECT s.doc_id, s.g, s.n, s.b, CASE WHEN t.merged AND s.n = s.top - 1 THEN t.tail_e ELSE s.e END AS e
   FROM sized s JOIN tail t USING (doc_id, g) WHERE NOT (t.merged AND s.n = s.top)
@@ -409,8 +413,14 @@ WITH {_HITS} SELECT q AS query_idx, rnk AS rank, url FROM hits QUALIFY row_numbe
 
     sql["html_title"] = r"""
 SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages"""
-    pack = _PACK.format(target=512, overlap=64, least=48)
-    small = _PACK.format(target=64, overlap=12, least=8)
+    by_length = {"tokens": "list_transform(L, lambda x: greatest(1, x // 4))", "upto": "E", "before": "B",
+                 "size": "greatest(1, x // 4)", "later": "greatest(1, (y - B[nf]) // 4)"}
+    by_words = {"tokens": r"list_transform(parts, lambda x: len(regexp_extract_all(x, '\S+')))", "upto": "C", "before": "D", "size": "x", "later": "(y - D[nf])"}
+    pack = _PACK.format(target=512, overlap=64, least=48, **by_length)
+    small = _PACK.format(target=64, overlap=12, least=8, **by_length)
+    counted = _PACK.format(target=100, overlap=20, least=15, **by_words)
+    words_of = r"len(regexp_extract_all(text, '\S+')) AS token_count"
+    sql["chunk_counted"] = f"WITH RECURSIVE {_DOC_GRP}, {counted} {_CHUNK_VIEW.replace('greatest(1, length(text) // 4) AS token_count', words_of)}"
     sql["chunk_documents"] = f"WITH RECURSIVE {_DOC_GRP}, {pack} {_CHUNK_VIEW}"
     sql["chunk_sectioned_documents"] = f"WITH RECURSIVE {_LINE_GRP}, {small} {_CHUNK_VIEW}"
     sql["chunk_heading_islands"] = f"WITH {_LINE_GRP} SELECT doc_id, g AS island, heading, start AS start_char, length(gtext) AS n_chars FROM grp"

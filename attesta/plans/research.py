@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from attesta import schemas
 from attesta.config import Settings
 from attesta.functions import text as tx
+from attesta.functions.tokens import BY_LENGTH, TokenCounter
 from attesta.operators import chunking, dedup, evidence, extract, ledger, retrieve, sections, triage, verify
 from attesta.operators.scan import row_rank
 from attesta.session import cut_lineage, ship_package
@@ -103,6 +104,8 @@ class Components:
     robots: Callable[[SparkSession, DataFrame], DataFrame] = _no_robots
     # assembled draft to a polished one; None keeps the draft
     polish: Callable[[str, Meter], str] | None = None
+    # tokens of chunks and of corpus entries
+    counter: TokenCounter = BY_LENGTH
 
 
 class Research:
@@ -266,7 +269,7 @@ class Research:
 
         # At most rerank_top_k rows per sub-question and pass.
         everything = cut_lineage(triage.accumulate(collected, ["sub_question_id", "chunk_id"], "ord"))
-        chosen = evidence.select_evidence(everything, cfg.report.corpus_budget_tokens)
+        chosen = evidence.select_evidence(everything, cfg.report.corpus_budget_tokens, counter=self.parts.counter)
         # The numbering comes from the selected evidence, in every run and resume.
         cited = cut_lineage(evidence.citation_table(chosen))
         n_cited = cited.count()
@@ -303,7 +306,7 @@ class Research:
         return extract.extract_documents(ok.select("url", "url_ord").join(bodies, "url"))
 
     def _ordered_chunks(self, docs: DataFrame) -> DataFrame:
-        chunks = chunking.chunk_documents(docs.select("url_ord", "url", "title", "blocks"), self.settings.chunk)
+        chunks = chunking.chunk_documents(docs.select("url_ord", "url", "title", "blocks"), self.settings.chunk, self.parts.counter)
         return row_rank(chunks, [F.col("url_ord"), F.col("position")], out="ord").drop("url_ord")
 
     def _reranked(self, index: ChunkIndex, found: DataFrame, questions: DataFrame) -> DataFrame:

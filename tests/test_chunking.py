@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.config import ChunkSettings
+from attesta.functions.tokens import WORDS, arrow_counter, column_counter
 from attesta.operators import chunking
 
 from test_text import spans
@@ -16,14 +17,15 @@ def tokens(n):
     return max(1, n // 4)
 
 
-def pack(text, cfg):
-    """Restatement in plain Python: offsets of the packed chunks of one text."""
+def pack(text, cfg, count=lambda t: tokens(len(t)), run=None):
+    """Restatement in plain Python: offsets of the packed chunks of one text. ``run`` counts sentences a to b, else their text is counted."""
     ss = spans(text)
-    t = [tokens(e - b) for b, e in ss]
+    t = [count(text[b:e]) for b, e in ss]
+    run = run or (lambda a, b: count(text[ss[a][0] : ss[b][1]]))
     out, first, unseen = [], 0, 0
     while unseen < len(ss):
         last = unseen
-        while last + 1 < len(ss) and tokens(ss[last + 1][1] - ss[first][0]) <= cfg.target_tokens:
+        while last + 1 < len(ss) and run(first, last + 1) <= cfg.target_tokens:
             last += 1
         out.append((first, last))
         unseen = last + 1
@@ -32,7 +34,7 @@ def pack(text, cfg):
         else:
             fits = [k for k in range(first + 1, last + 1) if sum(t[k : last + 1]) >= cfg.overlap_tokens]
             first = max(fits) if fits else first + 1
-    if len(out) > 1 and tokens(ss[out[-1][1]][1] - ss[out[-1][0]][0]) < cfg.min_tokens:
+    if len(out) > 1 and run(*out[-1]) < cfg.min_tokens:
         tail = out.pop()
         out[-1] = (out[-1][0], tail[1])
     return [(ss[a][0], ss[b][1]) for a, b in out]
@@ -85,3 +87,30 @@ def test_groups_are_never_crossed(spark):
     rows = chunking.chunk_documents(docs, cfg).orderBy("position").collect()
     assert [(r.heading_path, r.start_char, r.end_char) for r in rows] == want
     assert all(r.text == full[r.start_char : r.end_char] and r.url == "u" and r.doc_title == "T" for r in rows)
+
+
+def odd(text):
+    """Not additive: a run of sentences is no sum of theirs."""
+    return len(text) // 7 + 1
+
+
+@pytest.mark.parametrize("name", ["words", "odd", "arrow"])
+def test_other_counters(spark, name):
+    """Words add up, another column is counted run by run, a Python tokenizer once per sentence."""
+    counter, count = {
+        "words": (WORDS, lambda t: len(t.split())),
+        "odd": (column_counter(lambda t: F.floor(F.length(t) / 7) + 1), odd),
+        "arrow": (arrow_counter(lambda texts: [len(t) // 5 + 1 for t in texts]), lambda t: len(t) // 5 + 1),
+    }[name]
+    rng, cfg = random.Random(3), ChunkSettings(12, 4, 3)
+    texts = [text_of(rng, rng.randint(1, 40)).replace("www", "w w") for _ in range(30)] + ["", "  ", "One. " * 200]
+    docs = chunking.as_single_block(
+        spark.createDataFrame(list(enumerate(texts)), "n int, text string"), F.col("n").cast("string"), F.lit("t"), F.col("text"), "n"
+    )
+    rows = chunking.chunk_documents(docs, cfg, counter).orderBy("n", "position").collect()
+    for n, text in enumerate(texts):
+        ss = spans(text)
+        run = None if name == "odd" else lambda a, b: sum(count(text[x:y]) for x, y in ss[a : b + 1])  # noqa: B023
+        own = [r for r in rows if r.n == n]
+        assert [(r.start_char, r.end_char) for r in own] == (pack(text, cfg, count, run) if text.strip() else [])
+        assert all(r.token_count == count(r.text) for r in own)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta import schemas
 from attesta.functions import text as tx
+from attesta.functions.tokens import WORDS
 from attesta.operators import evidence, quantile, retrieve, scan, sections, topk, triage, verify
 
 
@@ -48,6 +49,15 @@ def test_selection_equals_the_walk(spark, budget):
     assert [(r.sub_question_id, r.chunk_id) for r in got] == walk(rows, budget)
 
 
+def test_selection_by_words(spark, monkeypatch):
+    """Another counter prices the entries."""
+    rows = rows_of(200, seed=9)
+    words = lambda r: len(f"[0] source: {r[3]} | section: {' > '.join(r[5]) or '(top)'}\nclaim: {r[9]}\nevidence: {r[10]}\ntext: {r[6]}".split())
+    monkeypatch.setitem(globals(), "cost", words)
+    got = evidence.select_evidence(spark.createDataFrame(rows, schemas.EVIDENCE), 500, counter=WORDS).orderBy("visit_no").collect()
+    assert [(r.sub_question_id, r.chunk_id) for r in got] == walk(rows, 500)
+
+
 def test_budget_per_group(spark):
     rows = rows_of(200, seed=4, hot=0.3)
     df = spark.createDataFrame(rows, schemas.EVIDENCE).withColumn("part", F.when(F.col("sub_question_id") < "sq03", 0).otherwise(1))
