@@ -72,6 +72,11 @@ def sentences(col: Column | str) -> Column:
     return F.split(marked, _CUT, -1)
 
 
+def sentence(col: Column | str, number: int) -> Column:
+    """The sentence of that number (from 0) without white space around it; the first one if there are fewer, null for a null text."""
+    return let(sentences(col), lambda parts: strip(F.coalesce(F.get(parts, F.lit(number)), F.get(parts, F.lit(0)))))
+
+
 def running_total(values: Column, block: int = 512) -> Column:
     """Inclusive running totals of an integer array.
 

@@ -597,7 +597,7 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
 
     def rewrites(text: Column, proof: Column) -> Column:
         marks = F.regexp_extract_all(text, F.lit(r"(\[\d+\])"), F.lit(1))
-        return F.array(F.lit("no marker"), F.concat(F.substring(proof, 1, 40), F.lit(" "), F.get(marks, F.lit(0))))
+        return F.array(F.lit("no marker"), F.concat(tx.sentence(proof, 0), F.lit(" "), F.get(marks, F.lit(0))))
 
     return verify.judge(cut_lineage(with_text), score, rewrites)
 

@@ -50,8 +50,8 @@ def cited_evidence(spark: SparkSession, sf: str, settings: Settings | None = Non
         "verdict",
         F.struct(
             (F.coalesce("quality", F.lit(1)) == 1).alias("relevant"),
-            F.substring("text", 1, 120).alias("claim"),
-            F.substring("text", 1, 60).alias("evidence_span"),
+            tx.sentence("text", 0).alias("claim"),
+            tx.sentence("text", 1).alias("evidence_span"),
             F.col("overlap").alias("confidence"),
         ),
     )

@@ -6,14 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions import text as tx
 from attesta.functions.urls import chunk_id, host
 from attesta.functions.vectors import normalize
 from attesta.operators.chunking import as_single_block, chunk_documents
 from attesta.sources.tables import read_table
 
-PASSAGE = 120
-SPAN = 60
-
 
 def document_rows(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents", spread=True)
@@ -33,7 +31,7 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as one piece of evidence for its source: the label is the
-    rerank score, the opening characters are claim and quote."""
+    rerank score, the first sentence is the claim, the second one the quote."""
     docs = document_rows(spark, sf)
     labels = read_table(spark, sf, "labels").select("doc_id", "quality")
     rows = docs.join(labels, "doc_id", "left")
@@ -47,8 +45,8 @@ def document_evidence(spark: SparkSession, sf: str) -> DataFrame:
         "text",
         F.lit(0).alias("start_char"),
         F.length("text").alias("end_char"),
-        F.substring("text", 1, PASSAGE).alias("claim"),
-        F.substring("text", 1, SPAN).alias("evidence_span"),
+        tx.sentence("text", 0).alias("claim"),
+        tx.sentence("text", 1).alias("evidence_span"),
         F.lit(1.0).alias("confidence"),
         F.coalesce(F.col("quality"), F.lit(-1)).cast("double").alias("rerank_score"),
     )

@@ -6,11 +6,17 @@ from __future__ import annotations
 
 _URL = "'doc://' || source || '/' || doc_id"
 
-_EVIDENCE = """
+def _sentence(text: str, number: int) -> str:
+    """A sentence without white space around it; the first one if there are fewer."""
+    parts = rf"string_split(regexp_replace({text}, '([.!?]\s+)', '\1' || chr(1), 'g'), chr(1))"
+    return f"trim(coalesce({parts}[{number + 1}], {parts}[1]), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+_EVIDENCE = f"""
 evidence AS (
   SELECT d.doc_id AS ord, d.source AS sq, substr(sha256(d.source || '|' || d.doc_id), 1, 16) AS chunk_id,
          'doc://' || d.source || '/' || d.doc_id AS url, d.lang, d.text,
-         substr(d.text, 1, 120) AS claim, substr(d.text, 1, 60) AS span, coalesce(l.quality, -1)::DOUBLE AS score
+         {_sentence('d.text', 0)} AS claim, {_sentence('d.text', 1)} AS span, coalesce(l.quality, -1)::DOUBLE AS score
   FROM documents d LEFT JOIN labels l USING (doc_id)
 )"""
 
@@ -282,7 +288,7 @@ def _score(text: str) -> str:
 
 _JUDGED = _CLAIMS + rf""",
 s1 AS (
-  SELECT *, {_score('piece')} AS s, substr(proof, 1, 40) || ' [' || regexp_extract(piece, '\[(\d+)\]', 1) || ']' AS cand FROM proofs
+  SELECT *, {_score('piece')} AS s, {_sentence('proof', 0)} || ' [' || regexp_extract(piece, '\[(\d+)\]', 1) || ']' AS cand FROM proofs
 ),
 s2 AS (SELECT *, trim(cand, ' ' || chr(9) || chr(10) || chr(13)) AS attempt FROM s1),
 s3 AS (
@@ -608,8 +614,8 @@ sc AS (SELECT f.*, len(list_intersect(qt, tt))::DOUBLE AS score FROM found f JOI
 rr AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY sq ORDER BY score DESC, ann) <= 40),
 evidence AS (SELECT r.sq, r.chunk_id, r.score, c.url, c.text FROM rr r JOIN ch c USING (chunk_id) LEFT JOIN labels l USING (doc_id)
   WHERE coalesce(l.quality, 1) = 1 AND r.overlap >= 0.3),
-cand AS (SELECT sq, chunk_id, score, greatest(1, length('[0] source: ' || url || ' | section: (top)' || chr(10) || 'claim: ' || substr(text, 1, 120) || chr(10)
-  || 'evidence: ' || substr(text, 1, 60) || chr(10) || 'text: ' || text) // 4) AS cost FROM evidence),
+cand AS (SELECT sq, chunk_id, score, greatest(1, length('[0] source: ' || url || ' | section: (top)' || chr(10) || 'claim: ' || {_sentence('text', 0)} || chr(10)
+  || 'evidence: ' || {_sentence('text', 1)} || chr(10) || 'text: ' || text) // 4) AS cost FROM evidence),
 {_SELECTED.format(budget=45000)}, {_NUMBERED}
 SELECT number, sq AS sub_question_id, chunk_id, score AS rerank_score, greatest(1, length(text) // 4) AS token_count
 FROM evidence JOIN selected USING (sq, chunk_id) JOIN numbered USING (chunk_id)"""
