@@ -90,6 +90,47 @@ def test_index(spark, tmp_path):
     assert err.value.found == 7
 
 
+def test_index_reads_few_files(spark, tmp_path):
+    """Buckets that cannot hold an id are not read, by an insert or a lookup; counts come from the manifest."""
+    index = ChunkIndex(spark, str(tmp_path / "index"), buckets=128).open()
+    assert index.add(chunk_rows(spark, [f"c{i}" for i in range(1000)])) == 1000
+    files = sum(len(c["rows"]) for c in index.manifest()["commits"])
+    some = spark.createDataFrame([(f"c{i}",) for i in range(0, 1000, 100)], "chunk_id string")
+    read = index.possible(some)
+    assert files > 120 and sum(map(len, read.values())) < 0.1 * files
+    assert index.get_many(some).count() == 10 and len(index.get_many(some).inputFiles()) < 0.1 * files
+    new = spark.createDataFrame([(f"n{i}",) for i in range(200)], "chunk_id string")
+    assert sum(map(len, index.possible(new).values())) < 0.1 * files
+    assert index.add(chunk_rows(spark, [f"c{i}" for i in range(995, 1005)])) == 5 and index.count() == index.table().count() == 1005
+    index.compact()
+    assert len(index.manifest()["commits"]) == 1 and index.table().count() == 1005 and index.add(chunk_rows(spark, ["c7"])) == 0
+
+
+def test_index_with_two_writers(spark, tmp_path, monkeypatch):
+    """The second of two writers finds the version taken, looks at what the first has added and adds the rest."""
+    path = str(tmp_path / "index")
+    one, two = ChunkIndex(spark, path).open(), ChunkIndex(spark, path).open()
+    one.add(chunk_rows(spark, ["a"]))
+    commit, meanwhile = one._commit, []
+
+    def late(manifest):
+        if not meanwhile:
+            meanwhile.append(two.add(chunk_rows(spark, ["b", "c"])))
+        return commit(manifest)
+
+    monkeypatch.setattr(one, "_commit", late)
+    assert one.add(chunk_rows(spark, ["a", "b", "d"])) == 1 and meanwhile == [2]
+    assert sorted(r.chunk_id for r in two.table().collect()) == ["a", "b", "c", "d"] and two.count() == 4
+
+
+def test_plain_index_is_taken_over(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    rows = chunk_rows(spark, ["a", "b"]).withColumn("schema_version", F.lit(schemas.INDEX_VERSION))
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.INDEX.fields]).write.parquet(path)
+    index = ChunkIndex(spark, path).open()
+    assert index.count() == 2 and index.add(chunk_rows(spark, ["b", "c"])) == 1
+
+
 def test_run_store(spark, tmp_path):
     store = runs.RunStore(spark, str(tmp_path / "log"))
     first = store.create_run("topic", {"a": 1})
