@@ -158,3 +158,9 @@ def ndcg(ranked: DataFrame, key: str, position: str, grade: str, k: int) -> Data
     best = ideal.groupBy(key).agg(F.sum(F.col(grade) / F.log2(F.col("_best") + F.lit(1))).alias("idcg"))
     score = F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(F.lit(0.0))
     return best.join(got, key, "left").select(key, score.alias("ndcg"))
+
+
+def mean_ndcg(ranked: DataFrame, key: str, position: str, grade: str, k: int) -> DataFrame:
+    """One row: how many keys there are and the mean of their nDCG at ``k``, NULL without keys."""
+    each = ndcg(ranked, key, position, grade, k)
+    return each.agg(F.count("*").alias("n_queries"), F.avg("ndcg").alias("mean_ndcg"))

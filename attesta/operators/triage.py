@@ -10,18 +10,37 @@ from attesta.functions.text import strip_code_fences
 from attesta.schemas import VERDICT
 
 
+# What models write for yes and no, besides JSON's own.
+YES = ["true", "t", "yes", "y", "on", "1", "1.0"]
+NO = ["false", "f", "no", "n", "off", "0", "0.0"]
+
+
+def lenient_boolean(value: Column) -> Column:
+    """The text of a JSON value as a boolean: JSON's own, 0 and 1, or a word for yes or no; else NULL."""
+    word = F.lower(value)
+    return F.when(word.isin(YES), F.lit(True)).when(word.isin(NO), F.lit(False))
+
+
+def lenient_number(value: Column) -> Column:
+    """The text of a JSON value as a number: a number, quoted or not, or a boolean as 0 or 1; else NULL."""
+    word = F.lower(F.trim(value))
+    return F.when(word == "true", 1.0).when(word == "false", 0.0).otherwise(word.try_cast("double"))
+
+
 def parse_verdict(reply: Column | str) -> Column:
     """A model's JSON reply as a verdict, NULL where it is malformed: no JSON,
-    ``relevant`` or ``confidence`` missing, or a confidence outside 0..1."""
-    parsed = F.from_json(strip_code_fences(reply), VERDICT.simpleString(), {"mode": "PERMISSIVE"})
-    good = parsed["relevant"].isNotNull() & parsed["confidence"].between(0.0, 1.0)
+    ``relevant`` or ``confidence`` missing or not to be read as such, or a confidence outside 0..1."""
+    # Values as the reply has them; their types are judged afterwards.
+    raw = ", ".join(f"{f.name} string" for f in VERDICT.fields)
+    parsed = F.from_json(strip_code_fences(reply), raw, {"mode": "PERMISSIVE"})
+    relevant, confidence = lenient_boolean(parsed["relevant"]), lenient_number(parsed["confidence"])
     return F.when(
-        good,
+        relevant.isNotNull() & confidence.between(0.0, 1.0),
         F.struct(
-            parsed["relevant"].alias("relevant"),
+            relevant.alias("relevant"),
             F.coalesce(parsed["claim"], F.lit("")).alias("claim"),
             F.coalesce(parsed["evidence_span"], F.lit("")).alias("evidence_span"),
-            parsed["confidence"].alias("confidence"),
+            confidence.alias("confidence"),
         ),
     )
 

@@ -18,7 +18,7 @@ from attesta.functions import text as tx
 from attesta.functions import urls
 from attesta.functions import vectors as vec
 from attesta.functions.tokens import WORDS
-from attesta.operators import chunking, dedup, evidence, extract, ledger, neardup, quantile, report, retrieve, sections
+from attesta.operators import chunking, dedup, evidence, extract, gap, ledger, neardup, quantile, report, retrieve, sections
 from attesta.operators import triage, verify
 from attesta.operators.topk import top_k
 from attesta.plans import inputs as src
@@ -375,12 +375,21 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def knn_ndcg(spark: SparkSession, sf: str) -> DataFrame:
     """nDCG at 10 of each label's ranking, a vector of the label being relevant."""
+    return retrieve.ndcg(_graded(spark, sf), "label", "ann_rank", "grade", 10).withColumn("ndcg", F.round("ndcg", 6))
+
+
+def _graded(spark: SparkSession, sf: str) -> DataFrame:
     near = _nearest(spark, sf, 200)
     grades = read_table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("own"))
-    ranked = near.join(grades, "vec_id").select(
+    return near.join(grades, "vec_id").select(
         "label", "ann_rank", F.when(F.col("own") == F.col("label"), 1.0).otherwise(0.0).alias("grade")
     )
-    return retrieve.ndcg(ranked, "label", "ann_rank", "grade", 10).withColumn("ndcg", F.round("ndcg", 6))
+
+
+@query
+def knn_mean_ndcg(spark: SparkSession, sf: str) -> DataFrame:
+    """How good the rankings of all labels are on average."""
+    return retrieve.mean_ndcg(_graded(spark, sf), "label", "ann_rank", "grade", 10).withColumn("mean_ndcg", F.round("mean_ndcg", 6))
 
 
 @query
@@ -445,6 +454,39 @@ def triage_counters(spark: SparkSession, sf: str) -> DataFrame:
     return triage.triage_counts(_replies(spark, sf))
 
 
+@query
+def triage_lenient(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of models that quote numbers and write words or digits for booleans."""
+    n = F.col("doc_id")
+    words = F.array(*[F.lit(w) for w in ('"true"', '"Yes"', "1", "true", '"maybe"', '"no"', "0")])
+    numbers = F.array(*[F.lit(w) for w in ('"0.9"', "0.9", '" 0.4 "', "1", "true", '"high"')])
+    reply = F.concat(F.lit('{"relevant": '), F.get(words, (n % 7).cast("int")), F.lit(', "confidence": '), F.get(numbers, (n % 6).cast("int")), F.lit("}"))
+    d = src.document_rows(spark, sf).select("doc_id", triage.outcome(triage.parse_verdict(reply)).alias("outcome"))
+    return d.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def _gap_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """A gap analysis per language: a source is covered if it has at least ten documents of the language. Some replies are cut off."""
+    d = read_table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    enough = F.when(F.col("n") >= 10, "true").otherwise("no")
+    one = F.struct(F.col("source").alias("sub_question_id"), enough.alias("covered"), F.when(F.col("n") < 10, F.col("source")).alias("missing"))
+    # A sub-question per source.
+    per_lang = d.groupBy("lang").agg(F.collect_list(one).alias("assessments"), F.count_if(F.col("n") < 10).alias("few"))
+    body = F.to_json(F.struct((F.col("few") == 0).alias("saturated"), "assessments", F.array("lang").alias("new_queries")))
+    reply = F.when(F.col("lang") == "es", F.substring_index(body, "}", 1)).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    return per_lang.select("lang", gap.parse_gap(reply).alias("gap"))
+
+
+@query
+def gap_uncovered(spark: SparkSession, sf: str) -> DataFrame:
+    return gap.gap_summary(_gap_replies(spark, sf), "lang")
+
+
+@query
+def gap_open_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return gap.open_questions(_gap_replies(spark, sf), "lang")
+
+
 @query
 def evidence_upsert(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")

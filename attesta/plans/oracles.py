@@ -469,6 +469,12 @@ dcg AS (SELECT label, sum(grade / log2(ann_rank + 1)) FILTER (ann_rank <= 10) AS
 best AS (SELECT label, grade, row_number() OVER (PARTITION BY label ORDER BY grade DESC, ann_rank) AS k FROM g QUALIFY k <= 10),
 idcg AS (SELECT label, sum(grade / log2(k + 1)) AS idcg FROM best GROUP BY label)
 SELECT label, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM dcg JOIN idcg USING (label)"""
+    sql["knn_mean_ndcg"] = f"""
+WITH {_CENTROID}, g AS (SELECT label, ann_rank, (own = label)::INT::DOUBLE AS grade FROM top),
+dcg AS (SELECT label, sum(grade / log2(ann_rank + 1)) FILTER (ann_rank <= 10) AS dcg FROM g GROUP BY label),
+best AS (SELECT label, grade, row_number() OVER (PARTITION BY label ORDER BY grade DESC, ann_rank) AS k FROM g QUALIFY k <= 10),
+idcg AS (SELECT label, sum(grade / log2(k + 1)) AS idcg FROM best GROUP BY label)
+SELECT count(*) AS n_queries, round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 6) AS mean_ndcg FROM dcg JOIN idcg USING (label)"""
     words_q, words_d = _WORDS.format("text"), _WORDS.format("text")
     lex = f"""
 q AS (SELECT item_id, text AS qtext, {words_q} AS qw FROM benchmark),
@@ -492,6 +498,13 @@ FROM s, (SELECT unnest([0.0, 0.05, 0.5, 0.95, 1.0]::DOUBLE[]) AS f)"""
     sql["triage_counters"] = f"""
 WITH {_REPLY} SELECT count(*) AS n_in, count(*) FILTER (NOT bad AND relevant AND confidence >= 0.3) AS n_kept,
   count(*) FILTER (NOT bad AND NOT (relevant AND confidence >= 0.3)) AS n_dropped_verdict, count(*) FILTER (bad) AS n_dropped_malformed FROM r"""
+    sql["triage_lenient"] = """
+WITH r AS (SELECT doc_id % 7 AS w, doc_id % 6 AS c FROM documents)
+SELECT CASE WHEN w = 4 OR c = 5 THEN 'dropped_malformed' WHEN w < 4 THEN 'kept' ELSE 'dropped_verdict' END AS outcome, count(*) AS n FROM r GROUP BY ALL"""
+    gaps = "g AS (SELECT lang, source, count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY ALL)"
+    sql["gap_uncovered"] = f"""
+WITH {gaps} SELECT lang, count(*) FILTER (n < 10) = 0 AS saturated, 1::BIGINT AS n_new_queries, count(*) FILTER (n < 10) AS n_uncovered FROM g GROUP BY lang"""
+    sql["gap_open_questions"] = f"WITH {gaps} SELECT lang, source AS sub_question_id, source AS missing FROM g WHERE n < 10"
     sql["evidence_upsert"] = """
 SELECT min(event_id) AS event_id, user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type"""
     sql["select_evidence"] = f"WITH RECURSIVE {_DOC_SELECTED} SELECT sq AS sub_question_id, chunk_id, visit_no FROM selected"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta import schemas
 from attesta.functions import text as tx
 from attesta.functions.tokens import WORDS
-from attesta.operators import evidence, quantile, retrieve, scan, sections, topk, triage, verify
+from attesta.operators import evidence, gap, quantile, retrieve, scan, sections, topk, triage, verify
 
 
 def rows_of(n, seed=1, questions=4, hot=0.4):
@@ -254,3 +254,23 @@ def test_polish_guard(spark):
     assert {r.key: r.accepted for r in sections.guard_polish(b, a).collect()} == {"ok": True, "marker": False, "prefix": False, "order": False}
     parts = sections.polished_sections(a.filter("key = 'ok'")).orderBy("section_ord").collect()
     assert [(r.title, r.markdown) for r in parts] == [("A", "better [1]"), ("B", "y [2]")]
+
+
+def test_lenient_replies(spark):
+    """Booleans and numbers as models write them, and gap analyses with null texts or missing parts."""
+    cases = {
+        '{"relevant": "true", "confidence": "0.9"}': (True, 0.9), '{"relevant": 1, "confidence": true}': (True, 1.0), '{"relevant": "Off", "confidence": " 1 "}': (False, 1.0),
+        '{"relevant": "maybe", "confidence": 0.5}': None, '{"relevant": 2, "confidence": 0.5}': None, '{"relevant": true, "confidence": "NaN"}': None,
+        '{"relevant": true, "confidence": "x"}': None, '{"relevant": {"a": 1}, "confidence": 1}': None, '{"relevant": null, "confidence": 1}': None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "r string")
+    got = {r.r: r.v and (r.v.relevant, r.v.confidence) for r in df.select("r", triage.parse_verdict("r").alias("v")).collect()}
+    assert got == cases
+    gaps = {
+        '{"saturated": false, "assessments": [{"sub_question_id": "a", "covered": true, "missing": null}, {"sub_question_id": "b", "covered": "no", "missing": "x"}], "new_queries": ["q"]}': (False, 1, 1),
+        '```json\n{"saturated": "yes"}\n```': (True, 0, 0),
+        '{"assessments": []}': None, '{"saturated": true, "assessments": [{"sub_question_id": "a"}]}': None, "no json": None,
+    }
+    df = spark.createDataFrame([(c,) for c in gaps], "r string").withColumn("gap", gap.parse_gap("r"))
+    assert {r.r: tuple(r)[1:] for r in gap.gap_summary(df, "r").collect()} == {k: v for k, v in gaps.items() if v}
+    assert [tuple(r)[1:] for r in gap.open_questions(df, "r").collect()] == [("b", "x")]
