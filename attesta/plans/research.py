@@ -12,7 +12,6 @@ import datetime as dt
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +25,7 @@ from attesta.operators import chunking, dedup, evidence, extract, ledger, retrie
 from attesta.operators.scan import row_rank
 from attesta.session import cut_lineage, ship_package
 from attesta.sources import fetch, search
+from attesta.sources.files import Folder
 from attesta.sources.index import ChunkIndex
 from attesta.sources.runs import RunStore, list_runs, payload_summary
 
@@ -355,6 +355,8 @@ class Research:
         whole = "\n\n".join(x for r in rows for x in (f"<!--Q-SECTION:{r.title}-->", r.markdown))
         try:
             reply = self.parts.polish(whole, meter)
+        except CostCapExceeded:
+            raise
         except Exception:
             return clean
         before = self.spark.createDataFrame([("draft", whole)], "key string, text string")
@@ -389,13 +391,11 @@ class Research:
             ledger.ledger_markdown(costs, self.settings.run.cost_cap_usd), "", "## Run manifest", "", "```json",
             json.dumps(manifest, indent=2, sort_keys=True), "```", "",
         ]
-        return write_report("\n".join(parts), f"{self.dir}/reports", run_id)
+        return write_report(self.spark, "\n".join(parts), f"{self.dir}/reports", run_id)
 
 
-def write_report(markdown: str, folder: str, run_id: str) -> str:
-    """Write ``report-<run_id>.md`` as UTF-8 with line feeds; returns the path."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    path = out / f"report-{run_id}.md"
-    path.write_text(markdown, encoding="utf-8", newline="\n")
-    return str(path)
+def write_report(spark: SparkSession, markdown: str, folder: str, run_id: str) -> str:
+    """Write ``report-<run_id>.md`` as UTF-8 with line feeds, on any file system that Spark reads; returns the path."""
+    name = f"report-{run_id}.md"
+    Folder(spark, folder).write(name, markdown)
+    return f"{folder}/{name}"

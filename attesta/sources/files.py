@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 
@@ -32,21 +31,24 @@ class Folder:
         finally:
             stream.close()
 
-    def create(self, name: str, text: str, draft: str) -> bool:
-        """Write a file of that name unless there is one; says whether it did. It appears whole, under its final name, or not at all: it is written as
-        ``draft`` and renamed without overwriting, so of several writers one succeeds."""
-        stream = self._fs.create(self._at(draft), True)
+    def write(self, name: str, text: str) -> None:
+        """Write a file in UTF-8, in place of one of that name."""
+        stream = self._fs.create(self._at(name), True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+
+    def create(self, name: str, text: str, draft: str) -> bool:
+        """Write a file of that name unless there is one; says whether it did. It appears whole, under its final name, or not at all: it is written as
+        ``draft`` and renamed without overwriting, so of several writers one succeeds."""
+        self.write(draft, text)
         fs = self._jvm.org.apache.hadoop.fs
         plain = self._gateway.new_array(getattr(fs, "Options$Rename"), 0)
         try:
             fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._fs.makeQualified(self._at(draft)), self._fs.makeQualified(self._at(name)), plain)
-        except Exception as e:
-            if not isinstance(e, PySparkException) and "FileAlreadyExists" not in str(getattr(e, "java_exception", e)):
-                raise
+        except Exception:
+            # Only a file of that name is a reason to go on.
             if not self.exists(name):
                 raise
             self.delete(draft)
