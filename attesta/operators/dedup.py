@@ -1,26 +1,35 @@
 """Greedy first-wins removal of near duplicates.
 
 In the given order an item is dropped if it matches an item that was kept before
-it; a match with a dropped item does not count. The result is the same as going
-through the items one by one, but it is computed in rounds: every item that no
-undecided earlier item matches is kept, and whatever matches it is dropped. Pairs
-of items are never listed: items that share a hash, a vector or a ball meet through
-that key, and only distinct values that are near each other are joined by an edge.
+it; a match with a dropped item does not count. Items of different components of the
+graph of matches do not touch each other, so each component that is small enough is
+gone through item by item in one task. A larger one is decided in rounds: every item
+that no undecided earlier item matches is kept, whatever matches it is dropped, and
+what is left falls into components again. Pairs of items are never listed: items that
+share a hash, a vector or a ball meet through that key, and only distinct values that
+are near each other are joined by an edge.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.config import DedupSettings
 from attesta.functions.simhash import simhash64
 from attesta.functions.vectors import dot
+from attesta.operators.components import components
 from attesta.operators.neardup import cosine_pairs, hamming_pairs
 from attesta.session import cut_lineage
 
+# Items and edges that one task goes through. Larger components go on in rounds.
+WALK_ROWS = 100_000
+
 
 @dataclass(frozen=True)
 class Matching:
@@ -53,31 +62,98 @@ def _with_first(items: DataFrame, source: DataFrame, matchings: list[Matching],
     return items.withColumn(out, best).drop(*[f"{out}{i}" for i in range(len(matchings))])
 
 
+def _graph(items: DataFrame, matchings: list[Matching]) -> DataFrame:
+    """Items as ``(rank, keys)`` and the edges between their keys as ``(m, a, b)`` in one table. A key is named by the
+    smallest rank that has it, so ranks are the only nodes."""
+    rows, edges = items, None
+    for i, m in enumerate(matchings):
+        least = items.filter(F.col(m.key).isNotNull()).groupBy(m.key).agg(F.min("rank").alias(f"_k{i}"))
+        rows = rows.join(least, m.key, "left")
+        if m.edges is not None:
+            ends = m.edges.join(least.toDF("a", "ra"), "a").join(least.toDF("b", "rb"), "b")
+            ends = ends.select(F.lit(i).alias("m"), F.col("ra").alias("a"), F.col("rb").alias("b"))
+            edges = ends if edges is None else edges.union(ends)
+    rows = rows.select("rank", F.array(*[f"_k{i}" for i in range(len(matchings))]).alias("keys"))
+    return rows if edges is None else rows.unionByName(edges, allowMissingColumns=True)
+
+
+def _in_parts(graph: DataFrame, n_rows: int) -> DataFrame:
+    """The rows with ``part``, the number of the task that goes through their component, NULL where it is too large."""
+    across = graph.filter("a IS NOT NULL").select("a", "b")
+    own = graph.filter("rank IS NOT NULL").select(F.col("rank").alias("a"), F.explode("keys").alias("b"))
+    found = components(own.filter("b IS NOT NULL").union(across)).withColumnRenamed("id", "_node")
+    node = F.coalesce("rank", "a")
+    rows = graph.withColumn("_node", node).join(found, "_node", "left")
+    rows = cut_lineage(rows.withColumn("component", F.coalesce("component", "_node")).drop("_node"))
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") <= WALK_ROWS)
+    parts = F.pmod(F.xxhash64("component"), F.lit(-(-n_rows // WALK_ROWS)))
+    return rows.join(sizes.select("component", parts.alias("part")), "component", "left").drop("component")
+
+
+def _walk(rows: pa.Table) -> pa.Table:
+    """Whole components, item by item: ``(rank, dup_of)`` with NULL for the kept ones."""
+    items, near = [], defaultdict(list)
+    for row in rows.to_pylist():
+        if row["rank"] is not None:
+            items.append((row["rank"], row["keys"]))
+        else:
+            near[row["m"], row["a"]].append(row["b"])
+            near[row["m"], row["b"]].append(row["a"])
+    first, out = {}, []
+    for rank, keys in sorted(items, key=lambda item: item[0]):
+        own = [(m, k) for m, k in enumerate(keys) if k is not None]
+        hits = [first[key] for key in own if key in first]
+        out.append((rank, min(hits, default=None)))
+        if not hits:
+            for m, k in own:
+                for other in (k, *near.get((m, k), ())):
+                    first.setdefault((m, other), rank)
+    ranks, dup_of = zip(*out) if out else ((), ())
+    return pa.table({"rank": pa.array(ranks, pa.int64()), "dup_of": pa.array(dup_of, pa.int64())})
+
+
 def first_wins(items: DataFrame, matchings: list[Matching]) -> DataFrame:
     """``items`` has a unique ``rank`` and the key columns. Returns
     ``(rank, dup_of)`` for the dropped items: the rank of the earliest kept match.
 
-    Every round decides at least the first undecided item; in practice a handful
-    of rounds suffices, because a round decides all items without an undecided
-    earlier match at once.
+    What has at most ``WALK_ROWS`` items and edges is one walk; of more, each
+    component within that bound is. A round decides at least the first undecided
+    item of every larger component, and in practice most of it, because all items
+    without an undecided earlier match are decided at once.
     """
     keys = [m.key for m in matchings]
-    items = cut_lineage(items.select("rank", *keys))
-    open_items, kept = items, None
+    items = open_items = cut_lineage(items.select("rank", *keys))
+    walked, winners = [], []
     while not open_items.isEmpty():
+        graph = cut_lineage(_graph(open_items, matchings))
+        if "m" not in graph.columns:
+            graph = graph.selectExpr("*", "CAST(NULL AS int) m", "CAST(NULL AS bigint) a", "CAST(NULL AS bigint) b")
+        n_rows = graph.count()
+        fits = n_rows <= WALK_ROWS
+        graph = graph.withColumn("part", F.lit(0).cast("bigint")) if fits else cut_lineage(_in_parts(graph, n_rows))
+        small = graph.filter("part IS NOT NULL")
+        walked.append(cut_lineage(small.groupBy("part").applyInArrow(_walk, "rank bigint, dup_of bigint")))
+        if fits:
+            break
+        open_items = open_items.join(graph.filter("part IS NULL AND rank IS NOT NULL").select("rank"), "rank", "left_semi")
         seen = _with_first(open_items, open_items, matchings, "first")
-        winners = seen.filter(F.col("first").isNull() | (F.col("first") >= F.col("rank"))).select("rank", *keys)
-        winners = cut_lineage(winners)
-        kept = winners if kept is None else kept.union(winners)
-        rest = open_items.join(winners.select("rank"), "rank", "left_anti")
-        rest = _with_first(rest, winners, matchings, "hit")
+        won = cut_lineage(seen.filter(F.col("first").isNull() | (F.col("first") >= F.col("rank"))).select("rank", *keys))
+        winners.append(won)
+        rest = _with_first(open_items.join(won.select("rank"), "rank", "left_anti"), won, matchings, "hit")
         open_items = cut_lineage(
             rest.filter(F.col("hit").isNull() | (F.col("hit") > F.col("rank"))).select("rank", *keys)
         )
-    if kept is None:
+    if not walked:
         return items.select("rank", F.col("rank").alias("dup_of"))
-    dropped = items.join(kept.select("rank"), "rank", "left_anti")
-    return _with_first(dropped, kept, matchings, "dup_of").select("rank", "dup_of")
+    by_walk = reduce(DataFrame.union, walked)
+    found = by_walk.filter("dup_of IS NOT NULL")
+    if not winners:
+        return found
+    # What a round dropped may match an item that was kept later and comes before the winner.
+    by_round = reduce(DataFrame.union, winners)
+    kept = by_round.union(items.join(by_walk.filter("dup_of IS NULL").select("rank"), "rank", "left_semi"))
+    dropped = items.join(by_walk.select("rank").union(by_round.select("rank")), "rank", "left_anti")
+    return found.union(_with_first(dropped, kept, matchings, "dup_of").select("rank", "dup_of"))
 
 
 def _shared(items: DataFrame, m: Matching) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.config import DedupSettings
 from attesta.functions import simhash as sh
 from attesta.operators import dedup, neardup
+from attesta.operators.components import components
 
 
 def votes(text, size=5):
@@ -74,7 +75,51 @@ def test_chain_keeps_its_ends(spark):
     assert dropped_of(dedup.first_wins(items, [dedup.Matching("h", edges)])) == {1: 0}
 
 
-def test_two_matchings_equal_the_loop(spark):
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(0, 3000) if i % 500] + [(9000, k) for k in range(8000, 8600)] + [(5, 5), (2**62, 2**62 + 1)]
+    pairs += [rng.choice(pairs) for _ in range(50)]
+    rng.shuffle(pairs)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        lo, hi = sorted((find(a), find(b)))
+        parent[hi] = lo
+    # A batch of few rows leaves the contraction to the joins.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {x: find(x) for pair in pairs if pair[0] != pair[1] for x in pair}
+    assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).isEmpty()
+
+
+@pytest.mark.parametrize("walk_rows", [100_000, 3000])
+def test_long_chains_take_one_pass(spark, monkeypatch, walk_rows):
+    """A chain of 10,000 in one walk, and ten of 1,000 that are found as components."""
+    step = 10_000 if walk_rows > 10_000 else 1000
+    passes = []
+    graph = dedup._graph
+    monkeypatch.setattr(dedup, "WALK_ROWS", walk_rows)
+    monkeypatch.setattr(dedup, "_graph", lambda *args: passes.append(1) or graph(*args))
+    items = spark.range(10_000).selectExpr("id AS rank", "id * 3 AS h")
+    edges = spark.range(9999).filter(F.col("id") % step != step - 1).selectExpr("id * 3 AS a", "id * 3 + 3 AS b")
+    got = dropped_of(dedup.first_wins(items, [dedup.Matching("h", edges)]))
+    assert got == {i: i - 1 for i in range(10_000) if i % step % 2}
+    assert len(passes) == 1
+
+
+@pytest.mark.parametrize("walk_rows", [100_000, 60, 8, 0])
+def test_two_matchings_equal_the_loop(spark, monkeypatch, walk_rows):
+    """In one walk, by components, in rounds and walks by turns, in rounds alone."""
+    monkeypatch.setattr(dedup, "WALK_ROWS", walk_rows or 1)
     rng = random.Random(5)
     n = 120
     keys = [(rng.randint(0, 25), rng.choice([None, *range(15)])) for _ in range(n)]
