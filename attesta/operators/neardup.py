@@ -8,7 +8,8 @@ mask leaves free, so no bucket is ever compared in full while it is hot.
 
 Cosine pairs come from cells around pivots: a vector belongs to its nearest pivot
 and is copied to every cell whose border it is close enough to for a match to lie
-beyond. Vectors tightly around one pivot all match each other; they become a group
+beyond. A crowded cell is cut again around pivots of its own, as often as that saves
+comparisons. Vectors tightly around one pivot all match each other; they become a group
 key instead of pairs.
 """
 
@@ -26,12 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.simhash import hamming
+from attesta.operators.topk import top_k
 from attesta.session import cut_lineage
 
 BUCKET_ROWS = 1000
 MAX_TABLES = 400
 MAX_PIVOTS = 256
 BLOCK_ROWS = 2048
+# Pivots that cut a crowded cell, and rows of it that one task places.
+SPLIT_PIVOTS = 16
+PLACE_ROWS = 8192
+# A cut stands if it leaves less than this share of the comparisons.
+WORTH = 0.7
 
 
 def _signed(mask: int) -> int:
@@ -126,20 +133,120 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def _pivots(vectors: DataFrame, threshold: float) -> tuple[np.ndarray, int]:
-    """A bounded sample of vectors, thinned until no pivot lies inside another's
-    tight ball; also the number of vectors seen."""
-    n = vectors.count()
-    want = max(1, min(MAX_PIVOTS, n // BLOCK_ROWS))
-    sample = vectors.orderBy(F.xxhash64("id")).limit(want).collect()
+def _thinned(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit vectors in the given order, without those inside the tight ball of one before."""
     inside = math.cos(math.acos(threshold) / 2)
     kept: list[np.ndarray] = []
-    for row in sample:
-        v = np.asarray(row["v"], dtype=np.float64)
+    for v in vectors.astype(np.float64):
         v = v / (np.linalg.norm(v) or 1.0)
         if all(float(v @ p) < inside for p in kept):
             kept.append(v)
-    return np.stack(kept), n
+    return np.stack(kept)
+
+
+def _pivots(vectors: DataFrame, threshold: float) -> np.ndarray:
+    """A bounded sample of vectors, thinned."""
+    want = max(1, min(MAX_PIVOTS, vectors.count() // BLOCK_ROWS))
+    sample = vectors.orderBy(F.xxhash64("id")).limit(want).collect()
+    return _thinned(np.array([row["v"] for row in sample]), threshold)
+
+
+PLACED = "up string, cell string, foreign bigint, core boolean, near_core boolean, id bigint, v array<float>"
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32())}
+_NONE_PLACED = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in PLACED.split(", ")]).empty_table()
+
+
+def _place(up: str, depth: int, ids: pa.Array, vectors: pa.Array, foreign: np.ndarray, pivots: np.ndarray, threshold: float) -> pa.Table:
+    """The rows of one cell, ``up``, in the cells around ``pivots``. ``foreign`` has a bit per depth, set for a copy."""
+    angle, slack = math.acos(threshold), 1e-6
+    tight = math.cos(angle / 2) + slack
+    reach = math.cos(min(math.pi, 1.5 * angle)) - slack
+    gap = math.sqrt(max(0.0, 2 - 2 * threshold)) + slack
+    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
+    np.fill_diagonal(apart, 1.0)
+    dots = _matrix(vectors) @ pivots.T
+    home = dots.argmax(axis=1)
+    best = dots[np.arange(len(home)), home]
+    # Distance to the border with each other cell; the lower cell of two receives the copy.
+    row, cell = np.nonzero((best[:, None] - dots) / apart[home] <= gap)
+    keep = cell <= home[row]
+    row, cell = row[keep], cell[keep]
+    foreign = foreign[row] | np.where(cell == home[row], 0, 1 << depth)
+    names = pa.array([f"{up}.{c}" for c in range(len(pivots))])
+    columns = [
+        pa.array(np.full(len(row), up, dtype=object), pa.string()),
+        names.take(pa.array(cell)),
+        pa.array(foreign),
+        pa.array((foreign == 0) & (best[row] >= tight)),
+        pa.array(dots[row, cell] >= reach),
+        ids.take(pa.array(row)),
+        vectors.take(pa.array(row)),
+    ]
+    return pa.table(columns, names=["up", "cell", "foreign", "core", "near_core", "id", "v"])
+
+
+def _cut(rows: DataFrame, sizes: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """The rim rows of crowded cells in cells of their own; ``sizes`` has these cells with their ``rim``."""
+    rows = rows.filter("NOT core").join(sizes.select("cell", F.ceil(F.col("rim") / PLACE_ROWS).alias("tasks")), "cell")
+    chosen = top_k(rows, ["cell"], [F.xxhash64("id"), F.col("id")], SPLIT_PIVOTS, salt_on=["id"])
+    chosen = chosen.select("cell", "tasks", "rn", F.col("v").alias("pivot"))
+    chosen = chosen.withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)))
+    rows = rows.select("cell", F.pmod(F.xxhash64("id"), F.col("tasks")).alias("task"), "foreign", "id", "v")
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0:
+            return _NONE_PLACED
+        left, right = left.combine_chunks(), right.sort_by("rn").combine_chunks()
+        pivots = _thinned(_matrix(right["pivot"].combine_chunks()), threshold)
+        foreign = left["foreign"].to_numpy()
+        return _place(left["cell"][0].as_py(), depth, left["id"].combine_chunks(), left["v"].combine_chunks(), foreign, pivots, threshold)
+
+    # New names: both sides come from the same rows.
+    chosen = chosen.select(F.col("cell").alias("c"), F.col("task").alias("t"), "rn", "pivot")
+    return cut_lineage(rows.groupBy("cell", "task").cogroup(chosen.groupBy("c", "t")).applyInArrow(place, PLACED))
+
+
+def _sizes(placed: DataFrame) -> DataFrame:
+    counts = [F.count_if(~F.col("core")).alias("rim"), F.count_if("core").alias("cores")]
+    return cut_lineage(placed.groupBy("up", "cell").agg(*counts))
+
+
+def _fitting_cells(placed: DataFrame, block_rows: int, threshold: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Cut crowded cells until they fit or a cut saves too little. Returns the rows of all depths with ``nr`` and ``nc``, the
+    blocks of rim and core rows in their cell, and ``deep``, true where the rim rows meet each other in cells further down;
+    and ``(id, ball)`` of all depths."""
+    parts, balls, depth = [], [], 0
+    sizes = _sizes(placed)
+    while True:
+        balls.append(placed.filter("core").select("id", F.col("cell").alias("ball")))
+        crowded = sizes.filter(F.col("rim") > 2 * block_rows)
+        if depth == 61 or crowded.isEmpty():
+            below, split = None, sizes.select("cell").limit(0)
+        else:
+            below = _cut(placed, crowded, depth + 1, threshold)
+            child_sizes = _sizes(below)
+            left = child_sizes.groupBy(F.col("up").alias("cell")).agg(F.sum(F.col("rim").cast("double") * F.col("rim")).alias("left"))
+            split = crowded.join(left, "cell").filter(F.col("left") <= WORTH * F.col("rim") * F.col("rim")).select("cell")
+            split = cut_lineage(split)
+        blocks = [F.ceil(F.col(c) / block_rows).cast("int").alias(n) for c, n in (("rim", "nr"), ("cores", "nc"))]
+        known = sizes.join(split.withColumn("deep", F.lit(True)), "cell", "left").select(
+            "cell", *blocks, F.coalesce("deep", F.lit(False)).alias("deep")
+        )
+        # Where rim rows meet further down, only those near the core are left to do.
+        busy = known.filter("nr > 0 AND (nc > 0 OR NOT deep)")
+        parts.append(placed.drop("up").join(busy, "cell").filter("NOT deep OR core OR near_core"))
+        if below is None or split.isEmpty():
+            return parts, balls
+        placed = below.join(split.withColumnRenamed("cell", "up"), "up", "left_semi")
+        sizes = child_sizes.join(split.withColumnRenamed("cell", "up"), "up", "left_semi")
+        depth += 1
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -149,79 +256,38 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_R
     one ball match; every other matching pair is in ``pairs``. Dots are compared
     unrounded in double precision.
 
-    Comparing happens per cell in pieces of two blocks of about ``block_rows``
-    rows, so the largest group is bounded whatever the cell holds. Core rows of a
-    cell are never compared with each other.
+    Cells form a tree: one that is crowded is cut around pivots drawn from it, until
+    it fits or the borders overlap so much that a cut saves nothing. Comparing happens
+    per cell in pieces of two blocks of about ``block_rows`` rows, so the largest group
+    is bounded whatever the cell holds. Core rows of a cell are never compared with
+    each other.
     """
     vectors = cut_lineage(vectors)
     if vectors.isEmpty():
         spark = vectors.sparkSession
-        return spark.createDataFrame([], "id bigint, ball int"), spark.createDataFrame([], "a bigint, b bigint")
-    pivots, _ = _pivots(vectors, threshold)
-    angle = math.acos(threshold)
-    slack = 1e-6
-    tight = math.cos(angle / 2) + slack
-    reach = math.cos(min(math.pi, 1.5 * angle)) - slack
-    gap = math.sqrt(max(0.0, 2 - 2 * threshold)) + slack
-    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
-    np.fill_diagonal(apart, 1.0)
+        return spark.createDataFrame([], "id bigint, ball string"), spark.createDataFrame([], "a bigint, b bigint")
+    pivots = _pivots(vectors, threshold)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            dots = _matrix(batch.column(1)) @ pivots.T
-            home = dots.argmax(axis=1)
-            best = dots[np.arange(len(ids)), home]
-            # Distance to the border with each other cell; the lower cell of two
-            # receives the copy.
-            border = (best[:, None] - dots) / apart[home]
-            row, cell = np.nonzero(border <= gap)
-            keep = cell <= home[row]
-            row, cell = row[keep], cell[keep]
-            own = cell == home[row]
-            core = own & (best[row] >= tight)
-            near_core = dots[row, cell] >= reach
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cell.astype(np.int32)),
-                    pa.array(own),
-                    pa.array(core),
-                    pa.array(near_core),
-                    pa.array(ids[row]),
-                    batch.column(1).take(pa.array(row)),
-                ],
-                names=["cell", "own", "core", "near_core", "id", "v"],
-            )
-
-    placed = vectors.select("id", "v").mapInArrow(
-        place, "cell int, own boolean, core boolean, near_core boolean, id bigint, v array<float>"
-    )
-    placed = cut_lineage(placed)
-    balls = placed.filter("core").select("id", F.col("cell").alias("ball"))
+            if batch.num_rows:
+                none = np.zeros(batch.num_rows, dtype=np.int64)
+                yield from _place("", 0, batch.column(0), batch.column(1), none, pivots, threshold).to_batches()
 
-    # At most MAX_PIVOTS rows.
-    sizes = placed.groupBy("cell").agg(
-        F.count_if(~F.col("core")).alias("rim"), F.count_if("core").alias("cores")
-    )
-    sizes = sizes.select(
-        "cell",
-        F.ceil(F.col("rim") / block_rows).cast("int").alias("nr"),
-        F.ceil(F.col("cores") / block_rows).cast("int").alias("nc"),
-    ).filter("nr > 0")
-    blocked = placed.join(F.broadcast(sizes), "cell").withColumn(
+    parts, balls = _fitting_cells(cut_lineage(vectors.select("id", "v").mapInArrow(place, PLACED)), block_rows, threshold)
+    blocked = _union(parts).withColumn(
         "i",
         F.when(F.col("core"), F.col("nr") + F.pmod(F.xxhash64("id"), F.col("nc")).cast("int")).otherwise(
             F.pmod(F.xxhash64("id"), F.col("nr")).cast("int")
         ),
     )
-    # A core block meets the rim blocks only; a rim block meets every block.
+    # A core block meets the rim blocks only; a rim block meets every block, or the core alone where the rest is done further down.
+    first = F.when(F.col("deep"), F.col("nr")).otherwise(F.lit(0))
     partners = F.when(F.col("core"), F.sequence(F.lit(0), F.col("nr") - 1)).otherwise(
-        F.sequence(F.lit(0), F.col("nr") + F.col("nc") - 1)
+        F.sequence(first, F.col("nr") + F.col("nc") - 1)
     )
-    work = blocked.select("cell", "own", "core", "near_core", "id", "v", "i", F.explode(partners).alias("j")).select(
-        "cell", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "own", "core", "near_core", "id", "v", "i"
+    work = blocked.select("cell", "foreign", "core", "near_core", "id", "v", "i", F.explode(partners).alias("j")).select(
+        "cell", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "foreign", "core", "near_core", "id", "v", "i"
     )
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -232,8 +298,8 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_R
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
         dots = np.stack(left["v"].to_numpy()).astype(np.float64) @ np.stack(right["v"].to_numpy()).astype(np.float64).T
         hit = dots >= threshold
-        # One of the two must live here, or the pair belongs to another cell.
-        hit &= left["own"].to_numpy()[:, None] | right["own"].to_numpy()[None, :]
+        # At every depth one of the two must be at home, or the pair belongs to another cell.
+        hit &= (left["foreign"].to_numpy()[:, None] & right["foreign"].to_numpy()[None, :]) == 0
         hit &= ~right["core"].to_numpy()[None, :] | left["near_core"].to_numpy()[:, None]
         x, y = np.nonzero(hit)
         a, b = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
@@ -242,4 +308,4 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_R
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     pairs = work.groupBy("cell", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
-    return balls, pairs
+    return _union(balls), pairs

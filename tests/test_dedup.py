@@ -188,6 +188,50 @@ def test_balls_and_pairs_cover_every_match(spark):
     assert same <= want and got <= want and same | got == want
 
 
+@pytest.mark.parametrize("worth", [0.7, 10.0])
+def test_crowded_cells_are_cut_without_losing_a_match(spark, monkeypatch, worth):
+    """One cell of everything at first, cut to the bottom; with ``worth`` 10 also where a cut saves nothing."""
+    for name, value in (("BLOCK_ROWS", 10_000), ("SPLIT_PIVOTS", 4), ("PLACE_ROWS", 50), ("WORTH", worth)):
+        monkeypatch.setattr(neardup, name, value)
+    # Where every cut stands, the depth has to end by itself.
+    cuts, cut = [], neardup._cut
+    monkeypatch.setattr(neardup, "_cut", lambda rows, sizes, depth, t: cuts.append(depth) or cut(rows, sizes.filter(F.lit(depth < 4)), depth, t))
+    vectors = _cluster_vectors(360)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id bigint, v array<float>").dropDuplicates(["v"])
+    balls, pairs = neardup.cosine_pairs(df, 0.92, block_rows=7)
+    ball = {r.id: r.ball for r in balls.collect()}
+    assert len(ball) == balls.count() and len(cuts) > 1
+    ids = sorted(r.id for r in df.select("id").collect())
+    exact = vectors.astype(np.float64)
+    want = {(i, j) for x, i in enumerate(ids) for j in ids[x + 1 :] if exact[i] @ exact[j] >= 0.92}
+    got = {tuple(r) for r in pairs.collect()}
+    same = {(i, j) for x, i in enumerate(ids) for j in ids[x + 1 :] if i in ball and ball[i] == ball.get(j)}
+    assert same <= want and got <= want and same | got == want
+
+
+def test_unlike_vectors_meet_few_others(spark):
+    """Rows that go into the comparison grow about linearly: random directions in eight dimensions, alike at 0.99."""
+    def placed(n):
+        rng = np.random.default_rng(n)
+        v = rng.normal(size=(n, 6))
+        v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+        df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id bigint, v array<float>")
+
+        def everything(batches):
+            for batch in batches:
+                none = np.zeros(batch.num_rows, dtype=np.int64)
+                yield from neardup._place("", 0, batch.column(0), batch.column(1), none, _matrix_of(v[:1]), 0.995).to_batches()
+
+        parts, _ = neardup._fitting_cells(df.mapInArrow(everything, neardup.PLACED), 50, 0.995)
+        return neardup._union(parts).filter("NOT deep").select(F.sum("nr")).head()[0]
+
+    def _matrix_of(rows):
+        return rows.astype(np.float64)
+
+    small, large = placed(1500), placed(6000)
+    assert large < 8 * small, (small, large)
+
+
 def test_either_signal_drops(spark):
     words = "completely different wording that shares no shingle with anything else at all here"
     rows = [(0, words, [1.0, 0.0]), (1, "paraphrase in other terms", [0.95, float(np.sqrt(1 - 0.95**2))]), (2, words, [0.0, 1.0])]
