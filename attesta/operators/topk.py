@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,22 +56,22 @@ def scored_top_k(
     names = ["query_no", "id", "score", *carry]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table | None] = [None] * n_queries
+        held: list[pa.Table] = []
+        floor = np.full(n_queries, -np.inf)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column(0)
+            batch = batch.take(pc.sort_indices(batch.column(0)))
             scores = np.round(score(batch.column(1)), 9)
-            more = [batch.column(2 + i) for i in range(len(carry))]
-            for q in range(n_queries):
-                found = _first_k(pa.table([ids, pa.array(scores[:, q]), *more], names=names[1:]), k)
-                if held[q] is not None:
-                    found = _first_k(pa.concat_tables([held[q], found]), k)
-                held[q] = found
-        for q, found in enumerate(held):
-            if found is not None:
-                number = pa.array(np.full(found.num_rows, q, dtype=np.int32))
-                yield from found.add_column(0, "query_no", number).combine_chunks().to_batches()
+            row, query = _best_rows(scores, k, floor)
+            kept = [batch.column(i).take(pa.array(row)) for i in (0, *range(2, 2 + len(carry)))]
+            numbers, values = pa.array(query.astype(np.int32)), pa.array(scores[row, query])
+            held.append(pa.table([numbers, kept[0], values, *kept[1:]], names=names))
+            if sum(t.num_rows for t in held) > 2 * n_queries * k:
+                rows, floor = _first_k(pa.concat_tables(held), k, n_queries)
+                held = [rows]
+        if held:
+            yield from _first_k(pa.concat_tables(held), k, n_queries)[0].combine_chunks().to_batches()
 
     types = dict(df.dtypes)
     more_types = "".join(f", {c} {types[c]}" for c in carry)
@@ -81,10 +82,22 @@ def scored_top_k(
     return top_k(partial, ["query_no"], order, k, salt_on=["id"])
 
 
-def _first_k(rows: pa.Table, k: int) -> pa.Table:
-    """The ``k`` rows with the highest score, ties to the smaller id."""
-    if rows.num_rows > k:
-        scores = rows["score"].to_numpy()
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        rows = rows.filter(pa.array(scores >= floor))
-    return rows.sort_by([("score", "descending"), ("id", "ascending")]).slice(0, k)
+def _best_rows(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and query number of the best ``k`` rows of each query, ties to the earlier row, without what is below ``floor``."""
+    if len(scores) <= k:
+        return np.nonzero(scores >= floor)
+    last = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    above, level = scores > last, scores == last
+    taken = above | (level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0)))
+    return np.nonzero(taken & (scores >= floor))
+
+
+def _first_k(rows: pa.Table, k: int, n_queries: int) -> tuple[pa.Table, np.ndarray]:
+    """The ``k`` rows of each query with the highest score, ties to the smaller id, and the score that a further row has to reach."""
+    rows = rows.sort_by([("query_no", "ascending"), ("score", "descending"), ("id", "ascending")])
+    query = rows["query_no"].to_numpy()
+    place = np.arange(len(query)) - np.searchsorted(query, np.arange(n_queries))[query]
+    floor = np.full(n_queries, -np.inf)
+    full = place == k - 1
+    floor[query[full]] = rows["score"].to_numpy()[full]
+    return rows.filter(pa.array(place < k)), floor

@@ -50,9 +50,10 @@ def parse_robots(robots: DataFrame, agent: str) -> DataFrame:
     """``(host, body)`` to the rules that apply to ``agent``.
 
     Returns ``(host, allow, rule, pattern, crawl_delay)`` with ``pattern`` a
-    regular expression. The groups of lines that name the agent apply, the ``*``
-    groups where none does. A body is read line by line inside
-    its row.
+    regular expression. Of the groups of lines whose name the agent's name begins with,
+    those with the longest name apply, the ``*`` groups where there is none. Names and
+    rules may differ in case and in percent-encoding from what they mean. A body is read
+    line by line inside its row.
     """
     token = F.lit(agent.split("/")[0].lower())
     lines = F.filter(
@@ -89,13 +90,14 @@ def parse_robots(robots: DataFrame, agent: str) -> DataFrame:
 
     rules = robots.select("host", F.aggregate(lines, zero, step)["rules"].alias("rules"))
 
-    def named(r: Column) -> Column:
-        return F.exists(r["agents"], lambda a: (a != "") & (a != "*") & F.contains(token, a))
+    # A name fits if it is how the agent's own name begins; the longest one that fits decides.
+    def fits(a: Column) -> Column:
+        return (a != "") & (a != "*") & F.startswith(token, a)
 
-    own = F.filter("rules", named)
-    mine = F.when(F.size(own) > 0, own).otherwise(
-        F.filter("rules", lambda r: F.array_contains(r["agents"], "*"))
-    )
+    names = F.flatten(F.transform("rules", lambda r: F.filter(r["agents"], fits)))
+    longest = F.array_max(F.transform(names, lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
+    rules = rules.withColumn("name", F.coalesce(longest, F.lit("*")))
+    mine = F.filter("rules", lambda r: F.array_contains(r["agents"], F.col("name")))
     rules = rules.select("host", mine.alias("rules"))
     delays = F.filter("rules", lambda r: r["k"] == "crawl-delay")
     paths = F.filter("rules", lambda r: r["k"].isin("allow", "disallow") & (r["v"] != ""))

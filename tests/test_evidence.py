@@ -274,3 +274,28 @@ def test_lenient_replies(spark):
     df = spark.createDataFrame([(c,) for c in gaps], "r string").withColumn("gap", gap.parse_gap("r"))
     assert {r.r: tuple(r)[1:] for r in gap.gap_summary(df, "r").collect()} == {k: v for k, v in gaps.items() if v}
     assert [tuple(r)[1:] for r in gap.open_questions(df, "r").collect()] == [("b", "x")]
+
+
+def test_lexical_top_k_equals_scoring_every_text(spark):
+    """Ties, texts and queries without words, repeated texts, blocks of queries, batches smaller than k."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(["Alpha", "beta", "GAMMA", "delta", "é", "Σίγμας", "zeta", "eta", "theta"])
+    texts = [" ".join(word() for _ in range(rng.randint(0, 6))) for _ in range(150)] + [None, "", " \u2003 ", "beta\u00a0eta"]
+    asked = [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(12)] + [None, "", "unheard of"]
+    docs = spark.createDataFrame([(i, t, -i) for i, t in enumerate(texts)], "doc_id bigint, text string, score int")
+    docs = docs.withColumnRenamed("score", "extra")
+    queries = spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = retrieve.lexical_top_k(docs, queries, 20, "doc_id", "text", "item_id", "text", block=4, carry=["extra"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for q, question in enumerate(asked):
+        own = set((question or "").lower().split())
+        score = [round(len(own & set((t or "").lower().split())) / max(1, len(own)), 9) for t in texts]
+        best = sorted(range(len(texts)), key=lambda d: (-score[d], d))[:20]
+        want += [(q, d, score[d], n + 1, -d) for n, d in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    none = retrieve.lexical_top_k(docs.limit(0), queries, 20, "doc_id", "text", "item_id", "text")
+    assert none.collect() == [] and retrieve.lexical_top_k(docs, queries.limit(0), 3, "doc_id", "text", "item_id", "text").isEmpty()
