@@ -50,10 +50,10 @@ def parse_robots(robots: DataFrame, agent: str) -> DataFrame:
     """``(host, body)`` to the rules that apply to ``agent``.
 
     Returns ``(host, allow, rule, pattern, crawl_delay)`` with ``pattern`` a
-    regular expression. Of the groups of lines whose name the agent's name begins with,
-    those with the longest name apply, the ``*`` groups where there is none. Names and
-    rules may differ in case and in percent-encoding from what they mean. A body is read
-    line by line inside its row.
+    regular expression. Of the groups of lines that name a part of the agent's name, those
+    with the longest name apply, the ``*`` groups where there is none; the case of names does
+    not count. A rule comes back in one form of percent-encoding (``same_encoding``). A body
+    is read line by line inside its row.
     """
     token = F.lit(agent.split("/")[0].lower())
     lines = F.filter(
@@ -90,12 +90,12 @@ def parse_robots(robots: DataFrame, agent: str) -> DataFrame:
 
     rules = robots.select("host", F.aggregate(lines, zero, step)["rules"].alias("rules"))
 
-    # A name fits if it is how the agent's own name begins; the longest one that fits decides.
+    # A name fits if the agent's own name contains it; the longest one that fits decides, of equally long ones the first.
     def fits(a: Column) -> Column:
-        return (a != "") & (a != "*") & F.startswith(token, a)
+        return (a != "") & (a != "*") & F.contains(token, a)
 
     names = F.flatten(F.transform("rules", lambda r: F.filter(r["agents"], fits)))
-    longest = F.array_max(F.transform(names, lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
+    longest = F.array_max(F.transform(names, lambda a, i: F.struct(F.length(a).alias("n"), (-i).alias("i"), a.alias("a"))))["a"]
     rules = rules.withColumn("name", F.coalesce(longest, F.lit("*")))
     mine = F.filter("rules", lambda r: F.array_contains(r["agents"], F.col("name")))
     rules = rules.select("host", mine.alias("rules"))
@@ -109,12 +109,26 @@ def parse_robots(robots: DataFrame, agent: str) -> DataFrame:
     return flat.select(
         "host",
         (F.col("r.k") == "allow").alias("allow"),
-        F.col("r.v").alias("rule"),
-        path_pattern(F.col("r.v")).alias("pattern"),
+        same_encoding(F.col("r.v")).alias("rule"),
+        path_pattern(same_encoding(F.col("r.v"))).alias("pattern"),
         "crawl_delay",
     )
 
 
+def same_encoding(path: Column) -> Column:
+    """A path as it is compared: letters, digits and ``-._~`` as they are, everything beyond ASCII as
+    the percent codes of its UTF-8 bytes, other percent codes in upper case, the rest as written."""
+
+    def one(part: Column) -> Column:
+        plain = F.unhex(F.substring(part, 2, 2)).cast("string")
+        coded = F.when(F.rlike(plain, F.lit(r"^[A-Za-z0-9._~-]$")), plain).otherwise(F.upper(part))
+        beyond = F.regexp_replace(F.hex(F.encode(part, "UTF-8")), "(..)", r"%$1")
+        return F.when(F.length(part) == 3, coded).when(F.octet_length(part) > 1, beyond).otherwise(part)
+
+    parts = F.regexp_extract_all(path, F.lit(r"(%[0-9A-Fa-f]{2}|[\s\S])"), F.lit(1))
+    return F.array_join(F.transform(parts, one), "")
+
+
 def path_pattern(rule: Column) -> Column:
     """A robots path with ``*`` and a closing ``$`` as a regular expression."""
     quoted = F.regexp_replace(rule, r"([\\.\[\]{}()+?^|$])", r"\\$1")
@@ -129,7 +143,7 @@ def robots_allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     ``pages`` needs a ``url``. The join is on the host; a host with very many URLs
     is split by the skew handling of the join, since its rules are few.
     """
-    paged = pages.withColumn("_host", urls.host("url")).withColumn("_path", urls.path_query("url"))
+    paged = pages.withColumn("_host", urls.host("url")).withColumn("_path", same_encoding(urls.path_query("url")))
     told = rules.filter(F.col("rule").isNotNull()).select(
         F.col("host").alias("_host"),
         F.struct(

@@ -35,6 +35,31 @@ def test_robots(spark):
     assert {r.crawl_delay for r in rules.filter("host = 'a.com'").collect()} == {3.0}
 
 
+def test_robots_most_specific_name_decides(spark):
+    """The longest name that is part of the agent's, wherever its groups stand; ``*`` only without one."""
+    bodies = {
+        "a.com": "User-agent: bot\nDisallow: /bot\n\nUser-agent: AttestaBot\nDisallow: /own\n\nUser-agent: attesta\nDisallow: /short\n\nUser-agent: attestabot\nDisallow: /more\n",
+        "b.com": "User-agent: attestabots\nDisallow: /\n\nUser-agent: *\nDisallow: /all\n",
+        "c.com": "User-agent: attestabot\nUser-agent: bot\nAllow: /\n\nUser-agent: *\nDisallow: /\n",
+        "d.com": None,
+    }
+    rules = fetch.parse_robots(spark.createDataFrame(list(bodies.items()), "host string, body string"), "AttestaBot/1")
+    want = {"http://a.com/own": False, "http://a.com/more": False, "http://a.com/bot": True, "http://a.com/short": True, "http://b.com/x": True,
+            "http://b.com/all": False, "http://c.com/x": True, "http://d.com/x": True}
+    got = fetch.robots_allowed(spark.createDataFrame([(u,) for u in want], "url string"), rules).collect()
+    assert {r.url: r.allowed for r in got} == want
+
+
+def test_robots_percent_codes(spark):
+    """Rules and URLs meet in one form of percent-encoding; coded reserved characters stay apart from plain ones."""
+    body = "User-agent: *\nDisallow: /caf\u00e9\nDisallow: /%7Euser/\nDisallow: /a%2fb\nDisallow: /%e2%82%ac*x$\nDisallow: /\U0001f600\n"
+    rules = fetch.parse_robots(spark.createDataFrame([("a.com", body)], "host string, body string"), "AttestaBot/1")
+    want = {"/caf%C3%A9/1": False, "/caf%c3%a9": False, "/caf\u00e9": False, "/cafe": True, "/~user/x": False, "/%7euser/x": False, "/a%2Fb": False, "/a/b": True,
+            "/\u20acuro/x": False, "/%E2%82%ACuro/xy": True, "/%F0%9F%98%80": False, "/100%": True, "/%zz": True}
+    got = fetch.robots_allowed(spark.createDataFrame([("http://a.com" + u,) for u in want], "url string"), rules).collect()
+    assert {r.url[len("http://a.com"):]: r.allowed for r in got} == want
+
+
 def test_schedule(spark):
     pages = spark.createDataFrame([(i, f"http://{h}/{i}") for i, h in enumerate("aabab")], "n int, url string")
     delays = spark.createDataFrame([("a", 0.1), ("b", 4.0)], "host string, crawl_delay double")
