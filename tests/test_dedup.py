@@ -210,7 +210,7 @@ def test_crowded_cells_are_cut_without_losing_a_match(spark, monkeypatch, worth)
 
 
 def test_unlike_vectors_meet_few_others(spark):
-    """Rows that go into the comparison grow about linearly: random directions in eight dimensions, alike at 0.99."""
+    """Rows that go into the comparison grow about linearly: random directions in six dimensions, alike at 0.995."""
     def placed(n):
         rng = np.random.default_rng(n)
         v = rng.normal(size=(n, 6))
