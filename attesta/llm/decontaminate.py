@@ -213,8 +213,9 @@ def find_leaks(
     score (relative BM25), question_overlap, answer_overlap.
 
     Every passage of every document is a query against all items. Null or wordless texts and items find nothing, equal items are
-    found each, rows with one id answer as one document. No shuffle of documents; the index is broadcast in parts of
-    at most ``INDEX_WORDS`` words, each part a pass over the documents.
+    found each. Rows with one id, or without one, answer as one document: a document and an item make one row, of the passage with the best score, then the
+    smallest number. No shuffle of documents, only of what they hold; the index is broadcast in parts of
+    at most ``INDEX_WORDS`` words, each part a pass over the documents. Texts are read whole, whatever their length; other columns are not read.
     """
     spark = docs.sparkSession
     q, a = question_answer(F.col("_t"))
@@ -250,7 +251,8 @@ def find_leaks(
         index = build_index([r.item_id for r in rows], [r["_t"] for r in rows], [r.q for r in rows], [r.a for r in rows], df, stats.n, stats.words / stats.n)
         found = _scan(docs, spark.sparkContext.broadcast(index), step, key, text, schema)
         out = found if out is None else out.union(found)
-    return out
+    best = F.max_by(F.struct("passage", "score", "question_overlap", "answer_overlap"), F.struct("score", -F.col("passage"), "question_overlap", "answer_overlap"))
+    return out.groupBy(key, "item_id").agg(best.alias("_best")).select(key, "item_id", "_best.*")
 
 
 def _scan(docs: DataFrame, shared, step: int, key: str, text: str, schema: str) -> DataFrame:
