@@ -166,7 +166,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
     Of rows with equal payloads of at least DEDUP_BYTES the one with the largest id is the response (all of them if that
     row is repeated), the others revisit it; rows without an id come before all others. A null page is an empty payload.
-    A task writes to a name of its own and renames it when the archive is whole, so a task that runs again replaces what it wrote.
+    Each attempt of a task writes to names of its own, and the result lists those of the attempt that succeeded: a task that runs again, or late,
+    touches none of them. What an attempt without success left in the folder is listed nowhere.
     """
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload")
@@ -189,13 +190,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         size = number = 0
 
         def flush() -> pa.RecordBatch:
-            name = f"{base}/part-{task.partitionId():06d}-{number:06d}.warc.zst"
-            own = f"{name}.{task.taskAttemptId()}"
-            with fs.open_output_stream(own, compression=None) as out:
+            name = f"{base}/part-{task.partitionId():06d}-{number:06d}-{task.taskAttemptId()}.warc.zst"
+            with fs.open_output_stream(name, compression=None) as out:
                 write_archive(out, waiting)
-            if fs.get_file_info(name).type != pafs.FileType.NotFound:
-                fs.delete_file(name)
-            fs.move(own, name)
             return pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.array([len(waiting)], pa.int64()), pa.array([fs.get_file_info(name).size], pa.int64())], ["path", "records", "bytes"]
             )
