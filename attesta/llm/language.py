@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.session import cut_lineage
 
@@ -181,7 +182,8 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: the key, lang_pred, score (then the columns ``keep``). Equal texts get equal answers.
     Null texts and texts without a letter get ``und`` and 0. Of equally good languages the first in
-    the alphabet wins. No shuffle; the model is broadcast, its size bounded by ``MODEL_ENTRIES``."""
+    the alphabet wins. No shuffle; the model is broadcast, its size bounded by ``MODEL_ENTRIES``. Columns with names that the result uses
+    are kept inside a struct of the caller's; others are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []
 
@@ -203,8 +205,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 first = stop
 
     slim = docs.select(F.col(key).alias("_key"), *(F.col(c) for c in keep), F.col(text).cast("string").alias("_text"))
-    fields = slim.schema
-    schema = ", ".join([f"_key {fields['_key'].dataType.simpleString()}", "lang_pred string", "score double", *(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep)])
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([slim.schema.fields[0], *made, *slim.schema.fields[1:-1]])
     return slim.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 

@@ -33,7 +33,8 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     Lines are ended by a newline and compared without white space at their ends. Blank lines belong to no window and
     stay, unless no other line of the text does: the text is then empty. Texts with fewer than three non-blank lines have
     no window and stay as they are; null texts stay null. Rows with one id are told apart by their text; exact copies of a row (id and text) count as
-    one document, and so does each with the others' result. Rows without an id come after all others.
+    one document, and so does each with the others' result. Rows without an id come after all others. Other columns stay as they are, whatever
+    their names; only n_lines and n_removed take the place of columns of these names. An empty table gives an empty one; a text of any length is one row.
     """
     own = F.xxhash64(F.col(text).cast("string"))
     rows = docs.select(F.col(key).cast("long").alias("_id"), own.alias("_own"), F.col(text).cast("string").alias("_t"))
@@ -55,7 +56,11 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     # As many windows as the document has lines at most; repeats of one row collapse.
     covered = later.groupBy("_id", "_own").agg(F.collect_set("w").alias("_covered"))
     covered = covered.select(F.col("_id").alias("_cid"), F.col("_own").alias("_cown"), "_covered")
-    marked = docs.withColumn("_key", F.col(key).cast("long")).withColumn("_own", own)
+    # All other columns travel in one struct, where their names meet no others.
+    others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    marked = docs.select(
+        F.col(key).cast("long").alias("_key"), own.alias("_own"), F.col(text).cast("string").alias("_t"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row")
+    )
     out = marked.join(covered, F.col("_key").eqNullSafe(F.col("_cid")) & (F.col("_own") == F.col("_cown")), "left")
     # Each array is bound once; inside a lambda it would be computed again for every line.
     def cleaned(lines: Column) -> Column:
@@ -70,12 +75,12 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
         return let(let(_filled(lines), bound), without)
 
-    same = F.struct(F.col(text).cast("string").alias("text"), F.size(_lines(F.col(text))).alias("n_lines"), F.lit(0).alias("n_removed"))
-    result = F.when(F.col("_covered").isNull(), same).otherwise(let(_lines(F.col(text)), cleaned))
-    others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    same = F.struct(F.col("_t").alias("text"), F.size(_lines(F.col("_t"))).alias("n_lines"), F.lit(0).alias("n_removed"))
+    result = F.when(F.col("_covered").isNull(), same).otherwise(let(_lines(F.col("_t")), cleaned))
     # A generator is a barrier: what filters on the result later does not compute it again.
-    out = out.select(*others, F.inline(F.array(result)).alias("_text", "n_lines", "n_removed"))
-    return out.select(*(F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+    out = out.select("_row", F.inline(F.array(result)).alias("_text", "n_lines", "n_removed"))
+    named = (F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed"))
+    return out.select(*named, "n_lines", "n_removed")
 
 
 def op4_line_windows(spark, sf_dir: str) -> DataFrame:
