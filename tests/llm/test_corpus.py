@@ -23,7 +23,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     parent = {i: i for i, _ in rows}
 
     def top(x):
@@ -34,7 +34,7 @@ def brute_groups(rows):
     sets = [(i, shingles(t)) for i, t in rows]
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = top(i), top(j)
                 parent[max(x, y)] = min(x, y)
     return {i: top(i) for i, _ in rows}
@@ -215,6 +215,38 @@ def test_pipeline(spark):
         assert stage(spark, odd, SMALL).count() <= 2 and stage(spark, odd.limit(0), SMALL).count() == 0
 
 
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """Columns with the names that the operators use inside, and with those of their results, come out as they went in."""
+    names = ["score", "lang_pred", "_text", "_key", "_own", "_whole", "_doc", "_row", "_t", "_covered", "_cid", "_cown", "_r", "col1", "size", "id", "key",
+             "n_lines", "n_removed", "n_shingles", "component_id", "kept", "band", "item_id", "passage", "a.b"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = docs.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        want = sorted(map(tuple, stage(spark, docs, SMALL).collect()), key=lambda r: r[0])
+        out = stage(spark, more, SMALL)
+        assert out.columns == more.columns, name
+        rows = sorted(map(tuple, out.collect()), key=lambda r: r[0])
+        at = docs.columns.index("doc_id")
+        assert [r[: len(docs.columns)] for r in rows] == want, name
+        assert all(r[len(docs.columns) :] == tuple(f"{n} {r[at]}" for n in names) for r in rows), name
+
+
+def test_near_dedup_stage_at_four_fifths(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL, percent=80).collect()}
+    assert kept == set(brute_groups([(r.doc_id, r.text) for r in docs.collect()], 80).values())
+
+
+def test_repeated_rows_leak_once(spark):
+    """One row per document and item, also for rows that are there twice and for several texts with one id."""
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    once = {tuple(r) for r in decontaminate.find_leaks(docs, items).collect()}
+    both = decontaminate.find_leaks(docs.union(docs), items).collect()
+    assert once and len(both) == len(once) and {tuple(r) for r in both} == once
+    one_id = decontaminate.find_leaks(docs.withColumn("doc_id", F.lit(None).cast("long")), items).collect()
+    assert sorted(r.item_id for r in one_id) == sorted({r[1] for r in once})
+
+
 def test_bands_reach_similarity_of_four_fifths(spark):
     """Pairs of exactly 0.8 share a band when 80 percent are asked for; with all 8 registers to a band two of these do not."""
     rng = random.Random(12)
