@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.bpe import bpe_round_trip, vocabulary_path
@@ -27,39 +27,49 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull())
 
 
+def _packed(names: list[str]) -> Column:
+    """Columns as one struct, where their names do not meet those that an operator makes."""
+    return F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language. Null and empty texts, texts without a letter and rows without an id go."""
     docs = _numbered(docs)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # The text itself passes through the scoring, so nothing has to be joined.
-    rows = predict(docs.withColumn("_whole", F.col("text")), learned(docs), keep=[*others, "_whole"])
-    kept = rows.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumnRenamed("_whole", "text")
-    return kept.select(*docs.columns)
+    # The whole row passes through the scoring, so nothing has to be joined.
+    rows = predict(docs.select("doc_id", "text", _packed(docs.columns)), learned(docs), keep=["_doc"])
+    return rows.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which nothing is left go. n_chars is counted anew."""
-    out = remove_repeated_lines(docs).filter((F.col("n_removed") == 0) | (F.coalesce(F.col("text"), F.lit("")) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", _packed([c for c in docs.columns if c != "text"]))
+    out = remove_repeated_lines(rows).filter((F.col("n_removed") == 0) | (F.coalesce(F.col("text"), F.lit("")) != ""))
+
+    def column(name: str) -> Column:
+        own = F.col("text") if name == "text" else F.col("_doc").getField(name)
+        if name == "n_chars":
+            own = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(own)
+        return own.alias(name)
+
+    return out.select(*map(column, docs.columns))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, once. Of several texts with one id the longest
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
+    """One document of each group of near duplicates, alike to ``percent`` or more: the one with the smallest id, once. Of several texts with one id the longest
     stays, then the first in order; then the other columns decide."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("id").alias("doc_id")).distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = near_duplicates(docs, percent=percent).filter("kept").select(F.col("id").alias("doc_id")).distinct()
+    others = _packed([c for c in docs.columns if c != "text"])
     rows = docs.join(kept, "doc_id", "left_semi")
     # A fixed choice: aggregated in each task first, so that many copies of one id do not meet in one.
-    order = F.struct(-F.coalesce(F.length("text"), F.lit(-1)), "text", *others)
-    return rows.groupBy("doc_id").agg(F.min(order).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
+    order = F.struct((-F.coalesce(F.length("text"), F.lit(-1))).alias("size"), "text", others)
+    best = rows.groupBy("doc_id").agg(F.min(order).alias("_r"))
+    return best.select(*(F.col("_r.text") if c == "text" else F.col("_r._doc").getField(c).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaks, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
