@@ -15,7 +15,7 @@ from attesta.operators.topk import scored_top_k, top_k
 QUERY_BLOCK = 1024
 
 
-def _blocks(queries: DataFrame, key: str, value: str, size: int):
+def query_blocks(queries: DataFrame, key: str, value: str, size: int):
     """The queries in key order, a bounded number at a time."""
     last = None
     while True:
@@ -28,7 +28,7 @@ def _blocks(queries: DataFrame, key: str, value: str, size: int):
             return
 
 
-def _named(part: DataFrame, key: str, rows: list, key_type: str) -> DataFrame:
+def with_keys(part: DataFrame, key: str, rows: list, key_type: str) -> DataFrame:
     """Put the query keys back in place of their numbers."""
     keys = F.array(*[F.lit(r[key]) for r in rows]).cast(f"array<{key_type}>")
     return part.withColumn(key, F.get(keys, F.col("query_no"))).drop("query_no")
@@ -52,7 +52,7 @@ def nearest_chunks(
     """
     key_type = queries.schema[query_id].dataType.simpleString()
     out: DataFrame | None = None
-    for rows in _blocks(queries, query_id, query_vector, block):
+    for rows in query_blocks(queries, query_id, query_vector, block):
         q = np.asarray([r[query_vector] for r in rows], dtype=np.float64)
         q_sq = (q * q).sum(axis=1)
 
@@ -62,7 +62,7 @@ def nearest_chunks(
             return 2 * (m @ q.T) - (m * m).sum(axis=1)[:, None] - q_sq[None, :]
 
         part = scored_top_k(chunks, chunk_id, vector, closeness, len(rows), k)
-        part = _named(part, query_id, rows, key_type).select(
+        part = with_keys(part, query_id, rows, key_type).select(
             query_id, F.col("id").alias(chunk_id), (-F.col("score")).alias("distance"), F.col("rn").alias("ann_rank")
         )
         out = part if out is None else out.unionByName(part)
@@ -93,7 +93,7 @@ def lexical_top_k(
     """
     key_type = queries.schema[query_id].dataType.simpleString()
     out: DataFrame | None = None
-    for rows in _blocks(queries, query_id, query_text, block):
+    for rows in query_blocks(queries, query_id, query_text, block):
         terms = [set((r[query_text] or "").lower().split()) for r in rows]
         sizes = np.array([max(1, len(t)) for t in terms], dtype=np.float64)
         where: dict[str, list[int]] = {}
@@ -112,7 +112,7 @@ def lexical_top_k(
             return hits / sizes
 
         part = scored_top_k(docs, doc_id, text, overlap, len(rows), k, carry)
-        part = _named(part, query_id, rows, key_type).select(
+        part = with_keys(part, query_id, rows, key_type).select(
             query_id, F.col("id").alias(doc_id), "score", "rn", *carry
         )
         out = part if out is None else out.unionByName(part)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
+#: Scores below this one, minus infinity, are of rows that a query does not ask for.
+LEAST = float(np.finfo(np.float64).min)
 
 
 def top_k(
@@ -46,7 +48,7 @@ def scored_top_k(
     """Score every row against a bounded set of queries and keep the best ``k``
     per query: ``(query_no, id, score, carry.., rn)``, ties to the smaller id.
 
-    ``score`` maps a batch of the value column to a ``rows x n_queries`` matrix;
+    ``score`` maps a batch of the value column to a ``rows x n_queries`` matrix, minus infinity where a query leaves a row out;
     ``carry`` names further columns of the rows that are kept.
     Every task carries only its own ``n_queries * k`` best rows, so neither the
     scores of all pairs nor a group per query is ever shuffled. Scores are
@@ -57,7 +59,7 @@ def scored_top_k(
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        floor = np.full(n_queries, -np.inf)
+        floor = np.full(n_queries, LEAST)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -97,7 +99,7 @@ def _first_k(rows: pa.Table, k: int, n_queries: int) -> tuple[pa.Table, np.ndarr
     rows = rows.sort_by([("query_no", "ascending"), ("score", "descending"), ("id", "ascending")])
     query = rows["query_no"].to_numpy()
     place = np.arange(len(query)) - np.searchsorted(query, np.arange(n_queries))[query]
-    floor = np.full(n_queries, -np.inf)
+    floor = np.full(n_queries, LEAST)
     full = place == k - 1
     floor[query[full]] = rows["score"].to_numpy()[full]
     return rows.filter(pa.array(place < k)), floor

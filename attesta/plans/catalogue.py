@@ -5,6 +5,7 @@ Every entry takes ``(spark, folder)`` and returns a DataFrame over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +21,11 @@ from attesta.functions import vectors as vec
 from attesta.functions.tokens import WORDS
 from attesta.operators import chunking, dedup, evidence, extract, gap, ledger, neardup, quantile, report, retrieve, sections
 from attesta.operators import triage, verify
+from attesta.operators.cells import VectorCells
 from attesta.operators.topk import top_k
 from attesta.plans import inputs as src
 from attesta.plans.flagship import cited_evidence
-from attesta.session import cut_lineage, spread_out
+from attesta.session import cut_lineage, ensure_checkpoint_dir, spread_out
 from attesta.sources import fetch, index, runs, search
 from attesta.sources.tables import read_table
 
@@ -372,6 +374,16 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("label", "vec_id", F.round("distance", 6).alias("distance"), F.col("ann_rank").cast("bigint").alias("ann_rank"))
 
 
+@query
+def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same neighbours as ``knn_topk``, from vectors laid out in cells."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cells-{uuid.uuid4().hex}"
+    cells = VectorCells.build(read_table(spark, sf, "embeddings", spread=True), folder, "vec_id", "embedding")
+    near = cells.nearest(src.label_questions(spark, sf), 200, query_id="label")
+    return near.select("label", "vec_id", F.round("distance", 6).alias("distance"), F.col("ann_rank").cast("bigint").alias("ann_rank"))
+
+
 @query
 def knn_ndcg(spark: SparkSession, sf: str) -> DataFrame:
     """nDCG at 10 of each label's ranking, a vector of the label being relevant."""

@@ -463,6 +463,7 @@ u AS (SELECT *, list_transform(v, lambda x: x / n) AS u FROM n)
 SELECT vec_id, round(n, 6) AS norm_before, round(list_dot_product(u, e), 6) AS cosine,
   round(list_sum(list_transform(range(1, len(u) + 1), lambda i: (u[i] - v[i]) * (u[i] - v[i]))), 6) AS moved FROM u"""
     sql["knn_topk"] = f"WITH {_CENTROID} SELECT label, vec_id, round(round(d, 9), 6) AS distance, ann_rank FROM top"
+    sql["knn_cells"] = sql["knn_topk"]
     sql["knn_ndcg"] = f"""
 WITH {_CENTROID}, g AS (SELECT label, ann_rank, (own = label)::INT::DOUBLE AS grade FROM top),
 dcg AS (SELECT label, sum(grade / log2(ann_rank + 1)) FILTER (ann_rank <= 10) AS dcg FROM g GROUP BY label),

@@ -245,7 +245,7 @@ class Research:
             stage("index", it, indexed)
             questions = plan.select("sub_question_id", "question")
             asked = questions.withColumn("vector", parts.embed(F.col("question")))
-            found = stage("retrieve", it, lambda a=asked: retrieve.nearest_chunks(index.table(), a, cfg.retrieve.ann_top_k))
+            found = stage("retrieve", it, lambda a=asked: index.nearest(a, cfg.retrieve.ann_top_k))
             ranked = stage("rerank", it, lambda f=found, q=questions: self._reranked(index, f, q))
             judged = stage("triage", it, lambda r=ranked, i=it: self._judged(r, i))
             good = triage.keep_relevant(judged, cfg.triage.confidence_floor)

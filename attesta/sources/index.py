@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from attesta import schemas
+from attesta.operators import retrieve
+from attesta.operators.cells import VectorCells
+from attesta.operators.topk import top_k
 from attesta.sources.files import Folder
 
 #: Buckets of a new index, hash functions of a filter, bits per id in it.
@@ -179,9 +182,35 @@ class ChunkIndex:
             if len(manifest["commits"]) < 2:
                 return
             one = self._stored(self._read(manifest["commits"]).drop("commit", "bucket"), manifest)
-            if self._commit({**manifest, "version": manifest["version"] + 1, "commits": [one]}):
+            # Cells cover commits by name; they are arranged anew when asked for.
+            if self._commit({**manifest, "version": manifest["version"] + 1, "commits": [one], "cells": None}):
                 return
 
+    def arrange(self) -> VectorCells:
+        """Lay the vectors of all present commits out in cells, for ``nearest``. Later commits are searched besides, until the next call."""
+        while True:
+            manifest = self.manifest()
+            covered = [c["id"] for c in manifest["commits"]]
+            folder = f"{self.path}/cells/{uuid.uuid4().hex}"
+            cells = VectorCells.build(self._read(manifest["commits"]), folder)
+            while set(covered) <= {c["id"] for c in manifest["commits"]}:
+                if self._commit({**manifest, "version": manifest["version"] + 1, "cells": {"folder": folder, "commits": covered}}):
+                    return cells
+                manifest = self.manifest()
+
+    def nearest(self, queries: DataFrame, k: int, query_id: str = "sub_question_id", query_vector: str = "vector") -> DataFrame:
+        """The ``k`` nearest chunks of each question, as ``retrieve.nearest_chunks`` has them. Of arranged commits only cells that can hold one are read."""
+        manifest = self.manifest()
+        cells = manifest.get("cells") or {"commits": []}
+        rest = [c for c in manifest["commits"] if c["id"] not in cells["commits"]]
+        found = retrieve.nearest_chunks(self._read(rest), queries, k, query_id=query_id, query_vector=query_vector)
+        if not cells["commits"]:
+            return found
+        near = VectorCells(self.spark, cells["folder"]).nearest(queries, k, query_id=query_id, query_vector=query_vector)
+        if not any(c["rows"] for c in rest):
+            return near
+        return top_k(near.unionByName(found).drop("ann_rank"), [query_id], [F.col("distance"), F.col("chunk_id")], k, out="ann_rank")
+
     def count(self) -> int:
         """Rows by the manifest; no data is read."""
         return sum(sum(c["rows"].values()) for c in self.manifest()["commits"])

@@ -9,6 +9,7 @@ from attesta import schemas
 from attesta.functions import text as tx
 from attesta.functions.tokens import WORDS
 from attesta.operators import evidence, gap, quantile, retrieve, scan, sections, topk, triage, verify
+from attesta.operators.cells import VectorCells
 
 
 def rows_of(n, seed=1, questions=4, hot=0.4):
@@ -187,6 +188,36 @@ def test_nearest_in_blocks_with_ties(spark):
     assert retrieve.nearest_chunks(chunks, queries.limit(0), 7).collect() == []
 
 
+def clustered(n, seed=5, clusters=25):
+    """Vectors around far apart centres, every fourth one a copy of one vector."""
+    rng = random.Random(seed)
+    centres = [[rng.uniform(-50, 50) for _ in range(6)] for _ in range(clusters)]
+    return [(f"c{i:05d}", centres[0] if i % 4 == 0 else [x + rng.gauss(0, 1) for x in rng.choice(centres)]) for i in range(n)]
+
+
+def ranking(found):
+    return sorted((r.sub_question_id, r.ann_rank, r.chunk_id, round(r.distance, 6)) for r in found.collect())
+
+
+def test_nearest_from_cells_is_exact_and_skips(spark, tmp_path):
+    rows = clustered(3000)
+    chunks = spark.createDataFrame(rows, "chunk_id string, vector array<float>")
+    queries = spark.createDataFrame([(f"q{j}", v) for j, (_, v) in enumerate(clustered(9, seed=6)[1:] + rows[1:20:3])] + [("far", [900.0] * 6)],
+                                    "sub_question_id string, vector array<float>")
+    extra = chunks.unionByName(spark.createDataFrame([("none", None)], chunks.schema))
+    cells = VectorCells.build(extra, str(tmp_path / "cells"))
+    for k, block in ((7, 1024), (7, 4), (900, 1024)):
+        assert ranking(cells.nearest(queries, k, block=block)) == ranking(retrieve.nearest_chunks(chunks, queries, k))
+    near = queries.filter("sub_question_id like 'q%'")
+    cells.nearest(near, 7)
+    assert 0 < cells.share < 0.5
+    again = VectorCells(spark, cells.path)
+    assert ranking(again.nearest(near.limit(2), 4000)) == ranking(retrieve.nearest_chunks(chunks, near.limit(2), 4000)) and again.share == 1.0
+    assert again.nearest(queries.limit(0), 7).collect() == []
+    empty = VectorCells.build(chunks.limit(0), str(tmp_path / "empty"))
+    assert empty.nearest(queries, 7).collect() == [] and empty.nearest(queries, 7).columns == ["sub_question_id", "chunk_id", "distance", "ann_rank"]
+
+
 def test_rerank_keeps_order_of_ties(spark):
     rows = [("q", "the cat", f"c{i}", i, t) for i, t in enumerate(["dog", "the", "cat", "the cat", "the x"])]
     df = spark.createDataFrame(rows, "sub_question_id string, question string, chunk_id string, ann_rank int, text string")

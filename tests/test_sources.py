@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta import schemas
 from attesta.config import FetchSettings, Settings, load_settings, overlay
-from attesta.operators import ledger, report
+from attesta.operators import ledger, report, retrieve
 from attesta.operators.extract import extract_documents, read_page
 from attesta.sources import fetch, runs, search
 from attesta.sources.index import ChunkIndex
@@ -148,6 +148,33 @@ def test_index_with_two_writers(spark, tmp_path, monkeypatch):
     assert sorted(r.chunk_id for r in two.table().collect()) == ["a", "b", "c", "d"] and two.count() == 4
 
 
+def test_index_finds_nearest_in_cells_and_in_later_commits(spark, tmp_path):
+    """Arranged or not, with commits that came after, and after compaction: the same neighbours."""
+    def some(lo, hi):
+        return chunk_rows(spark, [f"c{i:03d}" for i in range(lo, hi)]).withColumn(
+            "vector", F.array((F.col("position") * 37 % 50).cast("float"), (F.col("position") * 11 % 7 + lo % 3).cast("float")))
+
+    index = ChunkIndex(spark, str(tmp_path / "near"), buckets=4).open()
+    queries = spark.createDataFrame([("q1", [3.0, 2.0]), ("q2", [40.0, 1.0])], "sub_question_id string, vector array<float>")
+    assert index.nearest(queries, 5).collect() == []
+    index.add(some(0, 80))
+
+    def check():
+        got, want = index.nearest(queries, 9), retrieve.nearest_chunks(index.table(), queries, 9)
+        key = ["sub_question_id", "ann_rank", "chunk_id", "distance"]
+        assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+
+    check()
+    index.arrange()
+    check()
+    index.add(some(80, 130))
+    check()
+    assert index.manifest()["cells"]["commits"] == [index.manifest()["commits"][0]["id"]]
+    index.compact()
+    check()
+    assert index.count() == 130 and not index.manifest()["cells"]
+
+
 def test_plain_index_is_taken_over(spark, tmp_path):
     path = str(tmp_path / "plain")
     rows = chunk_rows(spark, ["a", "b"]).withColumn("schema_version", F.lit(schemas.INDEX_VERSION))
