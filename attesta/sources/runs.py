@@ -10,8 +10,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from attesta.sources.files import Folder
+
+#: A file of events is merged with smaller ones once these have more than one in so many of its events.
+GROWTH = 4
 # The stages of a run in order.
 STAGES = [
     "plan", "search", "fetch", "extract", "chunk", "embed", "dedup", "index", "retrieve", "rerank", "triage",
@@ -67,35 +70,81 @@ def _now() -> str:
     return dt.datetime.now(dt.UTC).isoformat()
 
 
+class EventLog:
+    """Events in a folder as lines of JSON, in few files: about the logarithm of their number.
+
+    An event appears as a file of its own, renamed into place. Files are then merged, small ones first, into one that appears before they go, so
+    each event is in some file at any time; one that is in two counts once. Files that a merge replaced stay until the next merge, for readers that
+    have listed them. Several writers may append; what a lost one left behind is merged by the next.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._folder = Folder(spark, path)
+        self._replaced: list[str] = []
+
+    def append(self, event: dict[str, Any]) -> None:
+        self._put(1, json.dumps(event) + "\n")
+        self._merge()
+
+    def _put(self, n: int, lines: str) -> None:
+        self._folder.create(f"events-{n}-{uuid.uuid4().hex}.json", lines, f".{uuid.uuid4().hex}")
+
+    def _merge(self) -> None:
+        present = [n for n in self._folder.names() if n.startswith("events-") and n not in self._replaced]
+        small, total = [], 0
+        for size, name in sorted((int(n.split("-")[1]), n) for n in present):
+            if total and size >= GROWTH * total:
+                break
+            small.append(name)
+            total += size
+        if len(small) < 2:
+            return
+        lines: dict[str, None] = {}
+        for name in small:
+            try:
+                lines.update(dict.fromkeys(self._folder.read(name).splitlines()))
+            except Exception:
+                if self._folder.exists(name):
+                    raise
+                # Another writer has merged it.
+                return
+        self._put(len(lines), "".join(f"{line}\n" for line in lines))
+        for name in self._replaced:
+            self._folder.delete(name)
+        self._replaced = small
+
+
 class RunStore:
-    """Runs, stage transitions and ledger entries as parquet event logs.
+    """Runs, stage transitions and ledger entries as event logs, the last two apart for each run.
 
     Nothing is updated in place: each change appends an event, and the views pick
-    the latest one, so a lost writer never damages earlier state.
+    the latest one, so a lost writer never damages earlier state. What is asked about one run reads the files of that run.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        self._logs: dict[str, EventLog] = {}
 
     def _append(self, table: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([(time.time_ns(), *row)], schema).coalesce(1).write.mode("append").parquet(
-            f"{self.path}/{table}"
-        )
-
-    def _events(self, table: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        except AnalysisException:
+        names = [column.split()[0] for column in schema.split(", ")]
+        folder = f"{self.path}/{table}" if table == "runs" else f"{self.path}/{table}/run={row[0]}"
+        if folder not in self._logs:
+            self._logs[folder] = EventLog(self.spark, folder)
+        self._logs[folder].append(dict(zip(names, (time.time_ns(), *row), strict=True)))
+
+    def _events(self, table: str, schema: str, run_id: str | None = None) -> DataFrame:
+        """Events of a table, or of one run in it; some may come twice."""
+        folder = f"{self.path}/{table}" if run_id is None else f"{self.path}/{table}/run={run_id}"
+        if not Folder(self.spark, folder).exists():
             return self.spark.createDataFrame([], schema)
+        lines = self.spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "events-*.json")
+        return lines.json(folder)
 
     def runs(self) -> DataFrame:
         return latest_stages(self._events("runs", _RUNS), ("run_id",))
 
     def stages(self, run_id: str | None = None) -> DataFrame:
-        events = self._events("stages", _STAGES)
-        if run_id is not None:
-            events = events.filter(F.col("run_id") == run_id)
-        return latest_stages(events)
+        return latest_stages(self._events("stages", _STAGES, run_id))
 
     def create_run(self, topic: str, config: dict[str, Any]) -> str:
         run_id = uuid.uuid4().hex[:12]
@@ -146,4 +195,4 @@ class RunStore:
         self._append("ledger", _LEDGER, (run_id, json.dumps(entry)))
 
     def ledger(self, run_id: str) -> DataFrame:
-        return self._events("ledger", _LEDGER).filter(F.col("run_id") == run_id).orderBy("seq")
+        return self._events("ledger", _LEDGER, run_id).dropDuplicates(["seq", "entry"]).orderBy("seq")

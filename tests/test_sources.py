@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,59 @@ def test_run_store(spark, tmp_path):
     assert [r.run_id for r in runs.list_runs(store.runs(), 1).collect()] == [second]
 
 
+class MemoryFolder(dict):
+    """What an event log asks of a folder, without files."""
+
+    def names(self):
+        return list(self)
+
+    def read(self, name):
+        return self[name]
+
+    def create(self, name, text, draft):
+        self[name] = text
+        return True
+
+    def exists(self, name):
+        return name in self
+
+    def delete(self, name):
+        self.pop(name, None)
+
+
+def test_thousand_events_in_few_files(spark, tmp_path):
+    log = runs.EventLog(spark, str(tmp_path))
+    log._folder = MemoryFolder()
+    most = 0
+    for n in range(1000):
+        log.append({"n": n})
+        most = max(most, len(log._folder))
+        stored = {line for text in log._folder.values() for line in text.splitlines()}
+        assert len(stored) == n + 1
+    assert most < 10
+
+
+def test_run_log(spark, tmp_path):
+    """A run reads its own files, and events that stand in two files count once."""
+    path = tmp_path / "log"
+    store = runs.RunStore(spark, str(path))
+    for n in range(25):
+        store.append_ledger("one", {"n": n, "text": "a\nb\u2028c"})
+    store.append_ledger("two", {"n": -1})
+    files = list((path / "ledger" / "run=one").glob("events-*"))
+    assert len(files) < 10
+    got = [json.loads(r.entry) for r in store.ledger("one").collect()]
+    assert [e["n"] for e in got] == list(range(25)) and {e["text"] for e in got} == {"a\nb\u2028c"}
+    assert store.ledger("three").collect() == [] and store.ledger("two").count() == 1
+    read = [f for f in store.ledger("one").inputFiles()]
+    assert read and all("run=one" in f for f in read)
+    # Another writer, and one that was lost before its old files went.
+    other = runs.RunStore(spark, str(path))
+    other.append_ledger("one", {"n": 25})
+    store.append_ledger("one", {"n": 26})
+    assert [json.loads(r.entry)["n"] for r in other.ledger("one").collect()] == list(range(27))
+
+
 def call(seq, model, on, batch=False, stage="gap", it=0, tokens=(1_000_000, 0, 0, 0)):
     return (seq, on, model, stage, it, batch, *tokens, "")
 
