@@ -8,14 +8,21 @@ that no undecided earlier item matches is kept, whatever matches it is dropped,
 what is left falls into components again. Pairs of items are never listed: items that
 share a hash, a vector or a ball meet through that key, and only distinct values that
 are near each other are joined by an edge.
+
+Vectors that lie in all directions have no cells that would save comparisons, and their
+near pairs grow with the square of their number. Such items are decided in slices of the
+order, each as large as all before: first against what was kept so far, of which only the
+first match is noted, then what no kept item matches among itself.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +31,14 @@ from attesta.config import DedupSettings
 from attesta.functions.simhash import simhash64
 from attesta.functions.vectors import dot
 from attesta.operators.components import components
-from attesta.operators.neardup import cosine_pairs, hamming_pairs
+from attesta.operators.neardup import block_limit, cells_save, cosine_pairs, flat_matrix, hamming_pairs, tiles
 from attesta.session import cut_lineage
 
 # Items and edges that one task goes through. Larger components go on in rounds.
 WALK_ROWS = 100_000
+# Vectors of the first slice, and the least number of groups in which a slice is compared with the kept items.
+SLICE_ROWS = 8192
+GROUPS = 32
 
 
 @dataclass(frozen=True)
@@ -167,6 +177,70 @@ def _shared(items: DataFrame, m: Matching) -> DataFrame:
     return many.union(ends).distinct()
 
 
+def _first_alike(later: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
+    """``(vid, r)``: of each vector of ``later (vid, v)`` the smallest rank of the vectors of ``kept (rank, v)`` that reach the
+    threshold with it. Every block of the one meets every block of the other."""
+    some = kept.first()
+    if some is None:
+        return later.select("vid", F.lit(None).cast("bigint").alias("r")).limit(0)
+    most = block_limit(len(some["v"]))
+    n_kept = -(-kept.count() // most)
+    n_later = max(-(-later.count() // most), GROUPS // n_kept)
+
+    def dealt(rows: DataFrame, by: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        number = F.pmod(F.xxhash64(by), F.lit(n)).alias(own)
+        return rows.select(by, "v", number, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))).alias(other))
+
+    left = dealt(later, "vid", "i", n_later, "j", n_kept).groupBy("i", "j")
+    right = dealt(kept, "rank", "j", n_kept, "i", n_later).groupBy("i", "j")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        first = np.full(left.num_rows, np.iinfo(np.int64).max)
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("rank")
+            ranks = right["rank"].to_numpy()
+            for i, j, dots in tiles(*(flat_matrix(t["v"].combine_chunks()) for t in (left, right))):
+                hit = dots >= threshold
+                some = np.flatnonzero(hit.any(axis=1))
+                first[some + i] = np.minimum(first[some + i], ranks[j + hit[some].argmax(axis=1)])
+        found = first < np.iinfo(np.int64).max
+        return pa.table({"vid": left["vid"].to_numpy()[found], "r": first[found]}, schema=pa.schema([("vid", pa.int64()), ("r", pa.int64())]))
+
+    return left.cogroup(right).applyInArrow(compare, "vid bigint, r bigint").groupBy("vid").agg(F.min("r").alias("r"))
+
+
+def _slice_by_slice(
+    classes: DataFrame, vectors: DataFrame, n_vectors: int, matchings: list[Matching], threshold: float, decide: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``(rank, dup_of)`` of the dropped classes. ``matchings`` are those by key, ``decide`` gives the dropped of some classes by themselves."""
+    shares, rows = [], SLICE_ROWS
+    while rows < n_vectors:
+        shares.append(rows / n_vectors)
+        rows *= 2
+    ends = sorted({int(x) for x in classes.filter("vid IS NOT NULL").approxQuantile("rank", shares, 0.25 * shares[0])})
+    dropped, kept, start = [], None, None
+    for end in [*ends, None]:
+        part = classes
+        if start is not None:
+            part = part.filter(F.col("rank") > start)
+        if end is not None:
+            part = part.filter(F.col("rank") <= end)
+        start = end
+        if kept is not None:
+            later = vectors.join(part.select("vid").distinct(), "vid", "left_semi").select("vid", "v")
+            near = kept.filter("v IS NOT NULL").groupBy("vid").agg(F.min("rank").alias("rank"), F.first("v").alias("v"))
+            alike = _first_alike(later, cut_lineage(near.select("rank", "v")), threshold)
+            seen = _with_first(part, kept, matchings, "hit").join(alike, "vid", "left").withColumn("dup_of", F.least("hit", "r"))
+            seen = cut_lineage(seen.select(*classes.columns, "dup_of"))
+            dropped.append(seen.filter("dup_of IS NOT NULL").select("rank", "dup_of"))
+            part = seen.filter("dup_of IS NULL").drop("dup_of")
+        lost = cut_lineage(decide(part))
+        dropped.append(lost)
+        new = part.join(lost, "rank", "left_anti").join(vectors.select("vid", "v"), "vid", "left")
+        kept = cut_lineage(new if kept is None else kept.unionByName(new))
+    return reduce(DataFrame.union, dropped)
+
+
 def dedup(
     chunks: DataFrame,
     rank: str,
@@ -200,28 +274,37 @@ def dedup(
     alike = [c for c in ("h", "vk") if c in base.columns]
     known = F.coalesce(*(F.when(F.col(c).isNotNull(), True) for c in alike), F.lit(False))
     classes = base.filter(known).groupBy(*alike).agg(F.min("rank").alias("rank"))
-    matchings: list[Matching] = []
+    by_key: list[Matching] = []
     if text:
         hashes = cut_lineage(classes.filter(F.col("h").isNotNull()).select("h").distinct())
         edges = cut_lineage(hamming_pairs(hashes, "h", settings.simhash_hamming_max))
-        matchings.append(Matching("h", edges))
+        by_key.append(Matching("h", edges))
     if vector:
         firsts = base.filter(F.col("vk").isNotNull()).groupBy("vk").agg(F.min("rank").alias("vid"), F.min_by("v", "rank").alias("v"))
         firsts = cut_lineage(firsts)
-        balls, pairs = cosine_pairs(firsts.select(F.col("vid").alias("id"), "v"), settings.cosine_threshold)
-        matchings.append(Matching("vid", cut_lineage(pairs)))
-        matchings.append(Matching("ball"))
-        classes = classes.join(firsts.select("vk", "vid"), "vk", "left").join(
-            balls.select(F.col("id").alias("vid"), "ball"), "vid", "left"
-        )
+        classes = classes.join(firsts.select("vk", "vid"), "vk", "left")
     classes = cut_lineage(classes)
 
-    # Most rows match nothing; only the others take part in the rounds.
-    involved = None
-    for m in matchings:
-        part = classes.join(_shared(classes, m), m.key, "left_semi").select("rank", *[x.key for x in matchings])
-        involved = part if involved is None else involved.union(part)
-    dropped = first_wins(involved.dropDuplicates(["rank"]), matchings)
+    def decide(part: DataFrame) -> DataFrame:
+        """The dropped of some classes, as far as they match each other."""
+        matchings = list(by_key)
+        if vector:
+            own = firsts.join(part.select("vid").distinct(), "vid", "left_semi")
+            balls, pairs = cosine_pairs(own.select(F.col("vid").alias("id"), "v"), settings.cosine_threshold)
+            matchings += [Matching("vid", cut_lineage(pairs)), Matching("ball")]
+            part = cut_lineage(part.join(balls.select(F.col("id").alias("vid"), "ball"), "vid", "left"))
+        # Most rows match nothing; only the others take part in the rounds.
+        involved = None
+        for m in matchings:
+            some = part.join(_shared(part, m), m.key, "left_semi").select("rank", *[x.key for x in matchings])
+            involved = some if involved is None else involved.union(some)
+        return first_wins(involved.dropDuplicates(["rank"]), matchings)
+
+    n_vectors = firsts.count() if vector else 0
+    if n_vectors > 2 * SLICE_ROWS and not cells_save(firsts.select(F.col("vid").alias("id"), "v"), settings.cosine_threshold):
+        dropped = _slice_by_slice(classes, firsts, n_vectors, [*by_key, Matching("vid")], settings.cosine_threshold, decide)
+    else:
+        dropped = decide(classes)
 
     decided = classes.join(dropped, "rank", "left").select(
         *[F.col(c).alias(f"_{c}") for c in alike], F.col("rank").alias("first_rank"), "dup_of"

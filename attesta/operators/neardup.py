@@ -9,7 +9,8 @@ mask leaves free, so no bucket is ever compared in full while it is hot.
 Cosine pairs come from cells around pivots: a vector belongs to its nearest pivot
 and is copied to every cell whose border it is close enough to for a match to lie
 beyond. A crowded cell is cut again around pivots of its own, as often as that saves
-comparisons. Vectors tightly around one pivot all match each other; they become a group
+comparisons; of a large one a bounded sample is cut first, so that copies are made only
+where they pay. Vectors tightly around one pivot all match each other; they become a group
 key instead of pairs.
 """
 
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -37,8 +37,13 @@ BLOCK_ROWS = 2048
 # Pivots that cut a crowded cell, and rows of it that one task places.
 SPLIT_PIVOTS = 16
 PLACE_ROWS = 8192
-# A cut stands if it leaves less than this share of the comparisons.
+# A cut stands if it leaves less than this share of the comparisons. Rows of a large cell that tell it beforehand.
 WORTH = 0.7
+TRIED_ROWS = 4096
+# Blocks of a cell as long as none has more than so many numbers, and rows and columns of scores held at once.
+BLOCKS = 16
+BLOCK_VALUES = 1 << 22
+TILE = (1024, 4096)
 
 
 def _signed(mask: int) -> int:
@@ -126,11 +131,15 @@ def _pairs_in_buckets(rows: DataFrame, max_distance: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    return flat_matrix(column).astype(np.float64)
+
+
+def flat_matrix(column: pa.Array) -> np.ndarray:
+    """A row per vector, in the type of the column."""
     lengths = pc.list_value_length(column)
     if pc.min(lengths) != pc.max(lengths):
         raise ValueError("vectors of different lengths cannot be compared")
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _thinned(vectors: np.ndarray, threshold: float) -> np.ndarray:
@@ -151,6 +160,19 @@ def _pivots(vectors: DataFrame, threshold: float) -> np.ndarray:
     return _thinned(np.array([row["v"] for row in sample]), threshold)
 
 
+def block_limit(dim: int) -> int:
+    """Vectors of ``dim`` numbers in one block at most."""
+    return max(1, BLOCK_VALUES // max(1, dim))
+
+
+def tiles(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Dots of all rows of both in double precision, in pieces of a bounded size with their first row and column."""
+    for j in range(0, len(right), TILE[1]):
+        columns = right[j : j + TILE[1]].astype(np.float64).T
+        for i in range(0, len(left), TILE[0]):
+            yield i, j, left[i : i + TILE[0]].astype(np.float64) @ columns
+
+
 PLACED = "up string, cell string, foreign bigint, core boolean, near_core boolean, id bigint, v array<float>"
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32())}
 _NONE_PLACED = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in PLACED.split(", ")]).empty_table()
@@ -211,24 +233,49 @@ def _sizes(placed: DataFrame) -> DataFrame:
     return cut_lineage(placed.groupBy("up", "cell").agg(*counts))
 
 
-def _fitting_cells(placed: DataFrame, block_rows: int, threshold: float) -> tuple[list[DataFrame], list[DataFrame]]:
+def _promising(placed: DataFrame, crowded: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """The crowded cells without those large ones of which a sample says that a cut saves too little."""
+    large = cut_lineage(crowded.filter(F.col("rim") > 4 * TRIED_ROWS))
+    if large.isEmpty():
+        return crowded
+    every = F.floor(F.col("rim") / TRIED_ROWS)
+    sample = placed.filter("NOT core").join(large.select("cell", every.alias("every")), "cell")
+    sample = cut_lineage(sample.filter(F.pmod(F.xxhash64("id", F.lit(depth)), F.col("every")) == 0).drop("every"))
+    sizes = cut_lineage(sample.groupBy("cell").agg(F.count("*").alias("rim")))
+    left = _left_over(_sizes(_cut(sample, sizes, depth, threshold)))
+    poor = sizes.join(left, "cell").filter(F.col("left") > WORTH * F.col("rim") * F.col("rim")).select("cell")
+    return cut_lineage(crowded.join(poor, "cell", "left_anti"))
+
+
+def _left_over(child_sizes: DataFrame) -> DataFrame:
+    """Comparisons that a cut leaves of each cell."""
+    return child_sizes.groupBy(F.col("up").alias("cell")).agg(F.sum(F.col("rim").cast("double") * F.col("rim")).alias("left"))
+
+
+def _fitting_cells(placed: DataFrame, block_rows: int, threshold: float, most_rows: int | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
     """Cut crowded cells until they fit or a cut saves too little. Returns the rows of all depths with ``nr`` and ``nc``, the
     blocks of rim and core rows in their cell, and ``deep``, true where the rim rows meet each other in cells further down;
-    and ``(id, ball)`` of all depths."""
+    and ``(id, ball)`` of all depths. A cell has up to ``BLOCKS`` blocks of more than ``block_rows`` rows, so that copies for
+    comparing do not grow with its size; with ``most_rows`` in each it has more."""
     parts, balls, depth = [], [], 0
+    most_rows = max(block_rows, most_rows or block_rows)
     sizes = _sizes(placed)
     while True:
         balls.append(placed.filter("core").select("id", F.col("cell").alias("ball")))
         crowded = sizes.filter(F.col("rim") > 2 * block_rows)
+        if depth < 61:
+            crowded = _promising(placed, crowded, depth + 1, threshold)
         if depth == 61 or crowded.isEmpty():
             below, split = None, sizes.select("cell").limit(0)
         else:
             below = _cut(placed, crowded, depth + 1, threshold)
             child_sizes = _sizes(below)
-            left = child_sizes.groupBy(F.col("up").alias("cell")).agg(F.sum(F.col("rim").cast("double") * F.col("rim")).alias("left"))
-            split = crowded.join(left, "cell").filter(F.col("left") <= WORTH * F.col("rim") * F.col("rim")).select("cell")
+            split = crowded.join(_left_over(child_sizes), "cell").filter(F.col("left") <= WORTH * F.col("rim") * F.col("rim")).select("cell")
             split = cut_lineage(split)
-        blocks = [F.ceil(F.col(c) / block_rows).cast("int").alias(n) for c, n in (("rim", "nr"), ("cores", "nc"))]
+        blocks = [
+            F.least(F.ceil(F.col(c) / block_rows), F.greatest(F.lit(BLOCKS), F.ceil(F.col(c) / most_rows))).cast("int").alias(n)
+            for c, n in (("rim", "nr"), ("cores", "nc"))
+        ]
         known = sizes.join(split.withColumn("deep", F.lit(True)), "cell", "left").select(
             "cell", *blocks, F.coalesce("deep", F.lit(False)).alias("deep")
         )
@@ -249,6 +296,31 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
+def _placed(vectors: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                none = np.zeros(batch.num_rows, dtype=np.int64)
+                yield from _place("", 0, batch.column(0), batch.column(1), none, pivots, threshold).to_batches()
+
+    return vectors.select("id", "v").mapInArrow(place, PLACED)
+
+
+def _cells_save(vectors: DataFrame, pivots: np.ndarray, threshold: float) -> bool:
+    """Whether cells around the pivots save comparisons; of many vectors a sample of bounded size tells."""
+    n = vectors.count()
+    if len(pivots) < 2 or n <= 4 * TRIED_ROWS:
+        return True
+    sample = cut_lineage(vectors.filter(F.pmod(F.xxhash64("id", F.lit(0)), F.lit(n // TRIED_ROWS)) == 0))
+    left = _left_over(_placed(sample, pivots, threshold).groupBy("up", "cell").agg(F.count_if(~F.col("core")).alias("rim"))).first()
+    return left is None or left["left"] <= WORTH * sample.count() ** 2
+
+
+def cells_save(vectors: DataFrame, threshold: float) -> bool:
+    """Whether near pairs of ``(id, v)`` are found without comparing most of the vectors with each other."""
+    return _cells_save(vectors, _pivots(vectors, threshold), threshold)
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Near pairs among distinct unit vectors ``(id bigint, v array<float>)``.
 
@@ -258,8 +330,8 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_R
 
     Cells form a tree: one that is crowded is cut around pivots drawn from it, until
     it fits or the borders overlap so much that a cut saves nothing. Comparing happens
-    per cell in pieces of two blocks of about ``block_rows`` rows, so the largest group
-    is bounded whatever the cell holds. Core rows of a cell are never compared with
+    per cell in pieces of two blocks of about ``block_rows`` rows, of more in a large cell (``BLOCK_VALUES``
+    numbers at most), so the largest group is bounded whatever the cell holds. Core rows of a cell are never compared with
     each other.
     """
     vectors = cut_lineage(vectors)
@@ -267,14 +339,10 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_R
         spark = vectors.sparkSession
         return spark.createDataFrame([], "id bigint, ball string"), spark.createDataFrame([], "a bigint, b bigint")
     pivots = _pivots(vectors, threshold)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                none = np.zeros(batch.num_rows, dtype=np.int64)
-                yield from _place("", 0, batch.column(0), batch.column(1), none, pivots, threshold).to_batches()
-
-    parts, balls = _fitting_cells(cut_lineage(vectors.select("id", "v").mapInArrow(place, PLACED)), block_rows, threshold)
+    if not _cells_save(vectors, pivots, threshold):
+        pivots = pivots[:1]
+    placed = cut_lineage(_placed(vectors, pivots, threshold))
+    parts, balls = _fitting_cells(placed, block_rows, threshold, block_limit(pivots.shape[1]))
     blocked = _union(parts).withColumn(
         "i",
         F.when(F.col("core"), F.col("nr") + F.pmod(F.xxhash64("id"), F.col("nc")).cast("int")).otherwise(
@@ -290,22 +358,22 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_R
         "cell", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "foreign", "core", "near_core", "id", "v", "i"
     )
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, lo, hi = key
-        left = rows[rows["i"] == lo]
-        right = rows[rows["i"] == hi]
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        dots = np.stack(left["v"].to_numpy()).astype(np.float64) @ np.stack(right["v"].to_numpy()).astype(np.float64).T
-        hit = dots >= threshold
-        # At every depth one of the two must be at home, or the pair belongs to another cell.
-        hit &= (left["foreign"].to_numpy()[:, None] & right["foreign"].to_numpy()[None, :]) == 0
-        hit &= ~right["core"].to_numpy()[None, :] | left["near_core"].to_numpy()[:, None]
-        x, y = np.nonzero(hit)
-        a, b = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
-        real = a != b
-        a, b = a[real], b[real]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    pairs = work.groupBy("cell", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        mine = pc.equal(rows["i"], rows["lo"])
+        left, right = rows.filter(mine), rows.filter(pc.equal(rows["i"], rows["hi"]))
+        if not left.num_rows or not right.num_rows:
+            return
+        (lid, lf, lnear), (rid, rf, rcore) = (
+            [t[c].to_numpy() for c in names] for t, names in ((left, ("id", "foreign", "near_core")), (right, ("id", "foreign", "core")))
+        )
+        for i, j, dots in tiles(*(flat_matrix(t["v"].combine_chunks()) for t in (left, right))):
+            x, y = np.nonzero(dots >= threshold)
+            x, y = x + i, y + j
+            # At every depth one of the two must be at home, or the pair belongs to another cell.
+            real = ((lf[x] & rf[y]) == 0) & (~rcore[y] | lnear[x]) & (lid[x] != rid[y])
+            a, b = lid[x[real]], rid[y[real]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    pairs = work.groupBy("cell", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
     return _union(balls), pairs

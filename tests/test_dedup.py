@@ -256,3 +256,46 @@ def test_vectors_that_match_nothing(spark):
     assert both == {0: None, 1: None, 2: None, 3: None, 4: 3, 5: 2}
     alone = {r["rank"]: r.dup_of for r in dedup.dedup(df, "id", None, "v", DedupSettings()).collect()}
     assert alone == {0: None, 1: None, 2: None, 3: None, 4: 3, 5: None}
+
+
+def _directions(n, seed=3):
+    """Vectors in all directions of 64 dimensions, a few of them copies or close to an earlier one."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 64))
+    v[n // 2 :: 9] = v[: len(v[n // 2 :: 9])] + 0.05 * rng.normal(size=v[n // 2 :: 9].shape)
+    v[n // 2 + 4 :: 11] = v[: len(v[n // 2 + 4 :: 11])]
+    return (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+
+
+@pytest.mark.parametrize("tile", [(1024, 4096), (7, 5)])
+def test_directions_without_cells_go_in_slices(spark, monkeypatch, tile):
+    """What is kept already decides most of the later vectors, so few of them are paired with each other; the result is that of the loop."""
+    for name, value in (("BLOCK_ROWS", 64), ("TRIED_ROWS", 100), ("BLOCK_VALUES", 64 * 90), ("TILE", tile)):
+        monkeypatch.setattr(neardup, name, value)
+    monkeypatch.setattr(dedup, "SLICE_ROWS", 100)
+    paired, find = [], dedup.cosine_pairs
+    monkeypatch.setattr(dedup, "cosine_pairs", lambda v, t: paired.append(v.count()) or find(v, t))
+    n, vectors = 1000, _directions(1000)
+    texts = [f"a text {i % 150 if i > 300 else i} of some words that only it has {i % 150 if i > 300 else i}" for i in range(n)]
+    rows = [(i, texts[i], [float(x) for x in vectors[i]] if i % 5 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "id bigint, t string, v array<float>")
+    got = dropped_of(dedup.dedup(df, "id", "t", "v", DedupSettings(cosine_threshold=0.40)))
+    exact, h = vectors.astype(np.float64), [votes(t) for t in texts]
+    assert got == greedy(n, lambda i, j: bits(h[i], h[j]) <= 3 or bool(i % 5 and j % 5 and float(exact[i] @ exact[j]) >= 0.40))
+    assert len(paired) > 2 and max(paired) < 300
+
+
+def test_large_cells_are_not_copied_where_it_saves_nothing(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 64), ("TRIED_ROWS", 100)):
+        monkeypatch.setattr(neardup, name, value)
+    placed, sizes = [], neardup._sizes
+    monkeypatch.setattr(neardup, "_sizes", lambda df: placed.append(df.count()) or sizes(df))
+    n, vectors = 1200, _directions(1200, 4)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id bigint, v array<float>").dropDuplicates(["v"])
+    balls, pairs = neardup.cosine_pairs(df, 0.40, block_rows=20)
+    ball = {r.id: r.ball for r in balls.collect()}
+    got, exact = {tuple(r) for r in pairs.collect()}, vectors.astype(np.float64)
+    ids = sorted(r.id for r in df.select("id").collect())
+    want = {(i, j) for x, i in enumerate(ids) for j in ids[x + 1 :] if exact[i] @ exact[j] >= 0.40}
+    assert got <= want and want - got <= {(i, j) for i, j in want if i in ball and ball[i] == ball.get(j)}
+    assert max(placed) <= n
