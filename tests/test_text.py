@@ -133,3 +133,20 @@ def test_redaction_knows_all_letters(spark):
         for pattern, to in shapes:
             want = re.sub(pattern, to, want)
         assert row.r == want
+
+
+def test_texts_of_a_batch_go_in_pieces():
+    import pyarrow as pa
+
+    from attesta.functions.arrays import PIECE_BYTES, PIECE_ROWS, pieces
+    from attesta.operators.extract import _read_pages, read_page
+
+    page = "<html lang='en'><body><p>" + "words of a page that are long enough to stay " * 6 + "</p></body></html>"
+    pages = [page, None, ""] * 300
+    out = list(_read_pages(iter([pa.array(pages)])))
+    assert max(map(len, out)) <= PIECE_ROWS
+    assert [x for b in out for x in b.to_pylist()] == [read_page(p) for p in pages]
+    texts = ["a" * (PIECE_BYTES // 3)] * 7 + ["b" * (2 * PIECE_BYTES), None, "c"]
+    cut = list(pieces(pa.array(texts).slice(1)))
+    assert [x for p in cut for x in p.to_pylist()] == texts[1:] and [len(p) for p in cut] == [3, 3, 1, 2]
+    assert [len(p) for p in pieces(pa.array([], pa.string()))] == [0]
