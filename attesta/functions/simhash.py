@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attesta.functions.arrays import pieces
+
 
 def _blake2b(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=8).digest()
@@ -43,13 +45,16 @@ def simhash64(col: Column | str, shingle: int = 5, hash_name: str = "blake2b") -
     """SimHash as a signed bigint; 0 for a text without words.
 
     Neither BLAKE2b nor a vote over bits exists as a Spark function, so the
-    column is computed in Arrow batches. Each row is one text; nothing is grouped.
+    column is computed in Arrow batches, some texts at a time. Each row is one text; nothing is grouped.
     """
     digest = _HASHES[hash_name]
 
-    @F.pandas_udf("bigint")
-    def column(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _votes(t.lower().split(), shingle, digest))
+    @F.arrow_udf("bigint")
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for some in pieces(texts):
+                votes = [None if t is None else _votes(t.lower().split(), shingle, digest) for t in some.to_pylist()]
+                yield pa.array(votes, pa.int64())
 
     return column(F.col(col) if isinstance(col, str) else col)
 
