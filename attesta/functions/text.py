@@ -41,7 +41,8 @@ def let(value: Column, body) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(_c(col), f"^{SPACE}+|{SPACE}+$", "")
+    # From the last character that is no white space back: the class is not tried at every place.
+    return F.regexp_extract(_c(col), rf"(?s)^{SPACE}*+(.*[^{SPACE_CHARS}])?", 1)
 
 
 def squeeze_space(col: Column | str) -> Column:

@@ -55,19 +55,18 @@ def attach_evidence(
     nothing is passed over; a repeated one repeats its text. ``evidence`` is empty
     where nothing resolves."""
     settings = settings or VerifySettings()
-    at = [*key, "block_no", "piece_no"]
     pieces = pieces.withColumn("numbers", F.when(F.col("passthrough"), F.array().cast("array<bigint>"))
                                .otherwise(ct.markers("piece")))
     cited = citations.select("number", "chunk_id").join(
         chunks.select("chunk_id", F.substring("text", 1, settings.chars_per_chunk).alias("t")), "chunk_id"
     )
-    asked = pieces.select(*at, F.posexplode("numbers").alias("pos", "number"))
-    found = asked.join(cited.select("number", "t"), "number").groupBy(*at).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("ts")
-    )
+    # The text follows from the list of numbers alone, so it is put together once per list.
+    lists = pieces.filter(F.size("numbers") > 0).select("numbers").distinct()
+    found = lists.select("numbers", F.posexplode("numbers").alias("pos", "number")).join(cited.select("number", "t"), "number")
+    found = found.groupBy("numbers").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("ts"))
     joined = F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n")
-    text = found.select(*at, F.substring(joined, 1, settings.chars_total).alias("evidence"))
-    return pieces.join(text, at, "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    text = found.select("numbers", F.substring(joined, 1, settings.chars_total).alias("evidence"))
+    return pieces.join(text, "numbers", "left").select(*pieces.columns, F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
 def judge(

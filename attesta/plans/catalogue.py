@@ -644,7 +644,7 @@ def claim_units(spark: SparkSession, sf: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     chunks = src.document_evidence(spark, sf).select("chunk_id", "text")
-    with_text = verify.attach_evidence(_pieces(spark, sf), ["conv_id", "turn"], _citations(spark, sf), chunks)
+    with_text = verify.attach_evidence(cut_lineage(_pieces(spark, sf)), ["conv_id", "turn"], _citations(spark, sf), chunks)
 
     def score(text: Column, proof: Column) -> Column:
         return tx.lexical_overlap(text, proof) * 20 - 10
@@ -653,7 +653,8 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
         marks = F.regexp_extract_all(text, F.lit(r"(\[\d+\])"), F.lit(1))
         return F.array(F.lit("no marker"), F.concat(tx.sentence(proof, 0), F.lit(" "), F.get(marks, F.lit(0))))
 
-    return verify.judge(cut_lineage(with_text), score, rewrites)
+    # Written down without the texts it rests on; filters on the result would otherwise score the pieces again.
+    return cut_lineage(verify.judge(with_text, score, rewrites).drop("numbers", "evidence"))
 
 
 @query

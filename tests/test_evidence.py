@@ -330,3 +330,31 @@ def test_lexical_top_k_equals_scoring_every_text(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
     none = retrieve.lexical_top_k(docs.limit(0), queries, 20, "doc_id", "text", "item_id", "text")
     assert none.collect() == [] and retrieve.lexical_top_k(docs, queries.limit(0), 3, "doc_id", "text", "item_id", "text").isEmpty()
+
+
+def test_strip_takes_white_space_of_any_kind(spark):
+    from attesta.functions import text as tx
+
+    texts = [None, "", " ", "One", "One. Two", " a.  b!\n\nc? d", "a.b. ￿c", "x ￿ y. z", "!! ?", ". . .", "e. f.　"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace("t", f"^{tx.SPACE}+|{tx.SPACE}+$", "")
+    assert all(r[0] == r[1] for r in df.select(tx.strip("t"), plain).collect())
+
+
+def test_evidence_is_put_together_once_per_list_of_numbers(spark):
+    from attesta.operators import verify
+
+    pieces = spark.createDataFrame(
+        [(i, 0, 0, False, False, "Said [1] and [2]." if i % 2 else "Said [2] and [9].") for i in range(200)]
+        + [(500, 0, 0, True, False, "# Head [1]"), (501, 0, 0, False, False, "Nothing."), (502, 0, 0, False, False, "Only [9].")],
+        "k int, block_no int, piece_no int, passthrough boolean, is_list boolean, piece string",
+    )
+    cited = spark.createDataFrame([(1, "a"), (2, "b")], "number bigint, chunk_id string")
+    chunks = spark.createDataFrame([("a", "text a"), ("b", "text b")], "chunk_id string, text string")
+    out = verify.attach_evidence(pieces, ["k"], cited, chunks)
+    got = {r.k: r.evidence for r in out.collect()}
+    assert len(got) == 203 and {got[k] for k in (500, 501, 502)} == {""}
+    assert {got[k] for k in range(0, 200, 2)} == {"text b"} and {got[k] for k in range(1, 200, 2)} == {"text a\n\ntext b"}
+    # Texts are collected by their list of numbers, never by piece.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("piece_no" not in line.split("],")[0] for line in plan.splitlines() if "collect_list" in line)
