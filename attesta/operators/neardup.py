@@ -83,7 +83,9 @@ def hamming_pairs(values: DataFrame, col: str, max_distance: int, bucket_rows: i
 
     The values must be distinct already: copies share a value and are no pairs.
     """
-    values = values.filter(F.col(col) != 0).select(F.col(col).alias("h"))
+    # Every step below reads the values again, and a filter that Spark moves down to a Python column computes it twice;
+    # so they are made once, and before the filter.
+    values = cut_lineage(values.select(F.col(col).alias("h"))).filter("h != 0")
     n = values.count()
     masks = _masks(list(range(64)), max_distance, n)
     rows = values.select(

@@ -67,6 +67,19 @@ def test_hamming_pairs_are_all_pairs(spark, distance, bucket):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_hamming_pairs_makes_its_values_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def made(v):
+        calls.add(1)
+        return v
+
+    values = spark.createDataFrame([(v,) for v in (0, 1, 3, 1 << 40)], "v bigint").select(made("v").alias("h")).distinct()
+    assert {tuple(r) for r in neardup.hamming_pairs(values, "h", 1).collect()} == {(1, 3)}
+    assert calls.value == 4
+
+
 def test_chain_keeps_its_ends(spark):
     # a~b and b~c but not a~c: b falls to a, and c stays although b matched it.
     values = [0b1, 0b111, 0b11111]
