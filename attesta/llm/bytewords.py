@@ -125,14 +125,27 @@ def words(block: Block, table: np.ndarray = NOT_SPACE, lower: bool = True) -> Wo
     return Words(starts, ends, owner, span_hashes(data, starts, ends), bounds)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same wherever the span stands."""
-    power, inverse = _power_tables(len(data) + 1)
+def running_sums(data: np.ndarray) -> np.ndarray:
+    """The polynomial over the first 0, 1, ... bytes."""
+    power, _ = _power_tables(len(data) + 1)
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
+    return prefix
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte span, the same wherever the span stands. ``prefix``: the running sums of ``data``, if they are at hand."""
+    prefix = running_sums(data) if prefix is None else prefix
+    _, inverse = _power_tables(len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(prefix: np.ndarray, start: int, end: int, width: int) -> np.ndarray:
+    """The hashes of the spans of ``width`` bytes that begin at ``start``, ``start`` + 1, ... before ``end``."""
+    _, inverse = _power_tables(len(prefix))
+    return mix((prefix[start + width : end + width] - prefix[start:end]) * inverse[start:end] + np.uint64(width))
+
+
 def hash_words(words_: list[str]) -> np.ndarray:
     """Hashes as ``words`` gives them, for words that are known already."""
     if not words_:

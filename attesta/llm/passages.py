@@ -12,13 +12,14 @@ what they have in common, down to single windows, of which only equal ones meet.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions.arrays import pieces
 from attesta.llm import bytewords as bw
 from attesta.llm.keyfilter import bit_table, possible
 from attesta.llm.skew import join_weighted
@@ -28,39 +29,60 @@ from attesta.llm.workspace import Workspace
 LENGTH, GRAM = 100, 32
 #: Different stretches of an anchor beyond which it is split; bytes sorted side by side.
 CROWDED, SORTED_BYTES = 16, 1 << 20
-#: Windows handled at once.
-_PIECE = 1 << 20
+#: Windows handled at once, and those of them whose anchors are looked for at once.
+_PIECE, _CACHED = 1 << 20, 1 << 14
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     """The smallest of each ``width`` neighbouring values."""
-    n = len(values) - width + 1
-    rows = np.concatenate([values, np.full(-len(values) % width, np.iinfo(values.dtype).max, dtype=values.dtype)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
-def stretches(block: bw.Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, place and hash of the anchor of every stretch of a block."""
-    found: list[list[np.ndarray]] = [[], [], [], []]
-    bits = np.uint64(21)
-    for at in range(0, max(0, len(block.data) - length + 1), _PIECE):
-        part = block.data[at : at + _PIECE + length - 1]
-        spots = np.arange(len(part) - gram + 1)
-        h = bw.span_hashes(part, spots, spots + gram)
+    reach = 1
+    while 2 * reach <= width:
+        values = np.minimum(values[:-reach], values[reach:])
+        reach *= 2
+    rest = width - reach
+    return np.minimum(values[:-rest], values[rest:]) if rest else values
+
+
+def _anchors(prefix: np.ndarray, at: int, end: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows that begin at ``at``, ``at`` + 1, ... before ``end``: hash and place (from ``at``) of the anchor as one number, and
+    the hashes of all grams from ``at`` on."""
+    bits, width = np.uint64(21), length - gram + 1
+    best, hashes = np.empty(end - at, dtype=np.uint64), np.empty(end - at + width - 1, dtype=np.uint64)
+    # Some at a time, so that what is in between stays in the processor's cache.
+    for lo in range(at, end, _CACHED):
+        hi = min(end, lo + _CACHED)
+        h = bw.window_hashes(prefix, lo, hi + width - 1, gram)
+        hashes[lo - at : hi - at + width - 1] = h
         # The place in the low bits makes the leftmost of equal hashes the smallest.
-        best = _smallest((h >> bits << bits) | spots.astype(np.uint64), length - gram + 1)
-        place = (best & np.uint64((1 << 21) - 1)).astype(np.int64)
-        windows = np.arange(len(place)) + at
-        owner = np.searchsorted(block.offsets, windows, side="right") - 1
-        whole = windows + length <= block.offsets[owner + 1]
-        new = np.ones(len(place), dtype=bool)
-        new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | ~whole[:-1]
-        edges = np.flatnonzero(new | ~whole)
-        first = edges[whole[edges]]
-        count = np.append(edges, len(place))[np.searchsorted(edges, first, side="right")] - first
-        for column, values in zip(found, (first + at, count, place[first] + at, h[place[first]]), strict=True):
+        h >>= bits
+        h <<= bits
+        h |= np.arange(lo - at, hi - at + width - 1, dtype=np.uint64)
+        best[lo - at : hi - at] = _smallest(h, width)
+    return best, hashes
+
+
+def stretches(
+    block: bw.Block, length: int = LENGTH, gram: int = GRAM, prefix: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, place and hash of the anchor of every stretch of a block. ``prefix``: the running sums of its bytes, if they are at hand."""
+    prefix = bw.running_sums(block.data) if prefix is None else prefix
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    # Windows from here to the end of the document are not whole.
+    cut = np.maximum(block.offsets[:-1], block.offsets[1:] - length + 1)
+    borders = np.concatenate([block.offsets[:-1], cut])
+    windows = max(0, len(block.data) - length + 1)
+    for at in range(0, windows, _PIECE):
+        end = min(windows, at + _PIECE)
+        best, hashes = _anchors(prefix, at, end, length, gram)
+        new = np.ones(len(best), dtype=bool)
+        new[1:] = best[1:] != best[:-1]
+        new[borders[(borders >= at) & (borders < end)] - at] = True
+        edges = np.flatnonzero(new)
+        owner = np.searchsorted(block.offsets, edges + at, side="right") - 1
+        whole = edges + at < cut[owner]
+        first, count = edges[whole], np.diff(np.append(edges, len(best)))[whole]
+        place = (best[first] & np.uint64((1 << 21) - 1)).astype(np.int64)
+        for column, values in zip(found, (first + at, count, place + at, hashes[place]), strict=True):
             column.append(values)
     if not found[0]:
         none = np.zeros(0, dtype=np.int64)
@@ -68,9 +90,9 @@ def stretches(block: bw.Block, length: int = LENGTH, gram: int = GRAM) -> tuple[
     return tuple(np.concatenate(c) for c in found)  # type: ignore[return-value]
 
 
-def _content(block: bw.Block, first: np.ndarray, count: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+def _content(block: bw.Block, first: np.ndarray, count: np.ndarray, place: np.ndarray, length: int, prefix: np.ndarray) -> np.ndarray:
     """A hash of each stretch and of where its anchor lies in it."""
-    return bw.mix(bw.span_hashes(block.data, first, first + count + length - 1) + (place - first).astype(np.uint64))
+    return bw.mix(bw.span_hashes(block.data, first, first + count + length - 1, prefix) + (place - first).astype(np.uint64))
 
 
 def _repeated_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -79,8 +101,9 @@ def _repeated_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in bw.blocks(batch.column(0)):
-                first, count, place, anchor = stretches(block, length, gram)
-                content = _content(block, first, count, place, length)
+                prefix = bw.running_sums(block.data)
+                first, count, place, anchor = stretches(block, length, gram, prefix)
+                content = _content(block, first, count, place, length, prefix)
                 order = np.lexsort((content, anchor))
                 a, c = anchor[order], content[order]
                 at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])[: len(a)])
@@ -132,7 +155,8 @@ def _items(docs: DataFrame, table, several, length: int, gram: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in bw.blocks(batch.column(3)):
-                first, count, place, anchor = stretches(block, length, gram)
+                prefix = bw.running_sums(block.data)
+                first, count, place, anchor = stretches(block, length, gram, prefix)
                 some = possible(table.value, anchor)
                 first, count, place, anchor = first[some], count[some], place[some], anchor[some]
                 if not len(first):
@@ -141,7 +165,7 @@ def _items(docs: DataFrame, table, several, length: int, gram: int) -> DataFrame
                 late, ids, hashes = (own.column(i).to_numpy(zero_copy_only=False) for i in range(3))
                 rank = _ranks(late, ids, hashes)
                 owner = np.searchsorted(block.offsets, first, side="right") - 1
-                content = _content(block, first, count, place, length)
+                content = _content(block, first, count, place, length, prefix)
                 order = np.lexsort((first - block.offsets[owner], rank[owner], place - first, content, anchor))
                 a, c, d = anchor[order], content[order], (place - first)[order]
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
@@ -313,48 +337,57 @@ def remove_repeated_passages(
         lists = Workspace(docs.sparkSession).write(lists)
     finally:
         space.remove()
-    # Documents without such ranges need not move.
+    # Documents without such ranges need not move. They are read and written in one go, so that a task keeps one Python worker busy, not two.
     table = docs.sparkSession.sparkContext.broadcast(bit_table(lists, "own"))
 
-    def part(repeated: bool) -> DataFrame:
-        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(possible(table.value, batch.column(2).to_numpy().view(np.uint64)) == repeated))
+    def part(batch: pa.RecordBatch, repeated: bool) -> pa.RecordBatch:
+        return batch.filter(pa.array(possible(table.value, batch.column(2).to_numpy().view(np.uint64)) == repeated))
 
-        return slim.mapInArrow(some, slim.schema)
+    def with_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield part(batch, True)
+
+    def as_they_are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = part(batch, False)
+            late, number, _, texts = some.columns
+            yield from _without([pa.RecordBatch.from_arrays([late, number, texts, pa.nulls(len(some), _LIST)], columns)])
 
     columns = ["late", "id", "text", "ranges"]
-    moved = part(True).join(lists, _DOC, "left").select(*columns)
-    others = part(False).withColumn("ranges", F.lit(None).cast(_RANGES)).select(*columns)
-    out = moved.union(others).mapInArrow(_without, f"late boolean, id long, n_bytes long, spans {_RANGES}, kept binary")
+    result = f"late boolean, id long, n_bytes long, spans {_RANGES}, kept binary"
+    moved = slim.mapInArrow(with_ranges, slim.schema).join(lists, _DOC, "left").select(*columns).mapInArrow(_without, result)
+    out = moved.union(slim.mapInArrow(as_they_are, result))
     return out.select(F.when(~F.col("late"), F.col("id")).alias(key), "n_bytes", "spans", "kept")
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_bytes, spans, kept = [], [], []
-        for text, ranges in zip(batch.column(2), batch.column(3), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            gone: list[list[int]] = []
-            if ranges.is_valid:
-                pairs = ranges.values
-                starts, ends = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-                order = np.argsort(starts, kind="stable")
-                starts, ends = starts[order], np.maximum.accumulate(ends[order])
-                starts, ends, _ = _merged(starts, ends, np.zeros(len(starts), dtype=np.int64))
-                gone = np.stack([starts, ends], axis=1).tolist()
-            rest, at = [], 0
-            for a, b in gone:
-                rest.append(raw[at:a])
-                at = b
-            rest.append(raw[at:])
-            n_bytes.append(len(raw))
-            spans.append([{"start": a, "end": b} for a, b in gone])
-            kept.append(b"".join(rest))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n_bytes, pa.int64()), pa.array(spans, _LIST), pa.array(kept, pa.binary())],
-            ["late", "id", "n_bytes", "spans", "kept"],
-        )
+        at = 0
+        for texts in pieces(batch.column(2)):
+            n_bytes, spans, kept = [], [], []
+            for text, ranges in zip(texts, batch.column(3).slice(at, len(texts)), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                gone: list[list[int]] = []
+                if ranges.is_valid:
+                    pairs = ranges.values
+                    starts, ends = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+                    order = np.argsort(starts, kind="stable")
+                    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+                    starts, ends, _ = _merged(starts, ends, np.zeros(len(starts), dtype=np.int64))
+                    gone = np.stack([starts, ends], axis=1).tolist()
+                rest, end = [], 0
+                for a, b in gone:
+                    rest.append(raw[end:a])
+                    end = b
+                rest.append(raw[end:])
+                n_bytes.append(len(raw))
+                spans.append([{"start": a, "end": b} for a, b in gone])
+                kept.append(b"".join(rest))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).slice(at, len(texts)) for i in (0, 1)), pa.array(n_bytes, pa.int64()), pa.array(spans, _LIST), pa.array(kept, pa.binary())],
+                ["late", "id", "n_bytes", "spans", "kept"],
+            )
+            at += len(texts)
 
 
 def op13_passages(spark, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.llm import collocations, passages, spelling
+from attesta.llm import bytewords, collocations, passages, spelling
 from attesta.llm.queries import ORACLES, QUERIES
 from attesta.llm.suffix_groups import suffix_orders
 from compare import compare, connect
@@ -169,6 +170,33 @@ def test_repeated_passages_of_equal_rows(spark):
     assert passages_of(df.filter("doc_id > 5")) == []
 
 
+def test_stretches_by_single_windows(monkeypatch):
+    """Runs of windows with one anchor, though anchors are looked for a few windows at a time; the bytes of a block are summed up once."""
+    calls, sums = [], bytewords.running_sums
+    monkeypatch.setattr(passages, "_CACHED", 7)
+    monkeypatch.setattr(bytewords, "running_sums", lambda data: calls.append(len(data)) or sums(data))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (0, 200, 9, 10, 0, 11, 300, 3)]
+    (block,) = bytewords.blocks(pa.array(texts))
+    prefix = bytewords.running_sums(block.data)
+    found = passages.stretches(block, 10, 4, prefix)
+    passages._content(block, *found[:3], 10, prefix)
+    assert calls == [len(block.data)]
+    at, want = 0, []
+    for text in texts:
+        last = None
+        for w in range(at, at + len(text) - 9):
+            spots = np.arange(w, w + 7)
+            h = bytewords.span_hashes(block.data, spots, spots + 4)
+            best = int(np.argmin(h >> np.uint64(21)))
+            if last != w + best:
+                want.append([w, 0, w + best, int(h[best])])
+                last = w + best
+            want[-1][1] += 1
+        at += len(text)
+    assert np.stack([c.astype(np.uint64) for c in found], axis=1).tolist() == want
+
+
 def test_suffix_orders():
     rng = np.random.default_rng(0)
     for _ in range(100):
