@@ -306,7 +306,8 @@ def _repeated_ranges(space: Workspace, docs: DataFrame, length: int, gram: int,
         # At most ``crowded`` stretches a set.
         sets = fits.groupBy("key").agg(F.collect_list(F.struct(*(F.col(f"first.{c}").alias(c) for c in (*_DOC, "at")), "bytes")).alias("items"), F.sum(F.length("bytes")).alias("size"))
         found = found.union(space.write(_sorted(sets.select("items", "size"), length)))
-        hot = sizes.filter(F.col("different") > crowded)
+        # Written down, so that its size is known before the join: a few keys need no shuffle of all classes.
+        hot = space.write(sizes.filter(F.col("different") > crowded))
         total = hot.agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0]
         if not total:
             return found
